@@ -122,7 +122,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
                 for k in range(0, len(raw), cut):
                     part = raw[k : k + cut]
                     ids = np.frombuffer(part, enc.dtype).astype("<u4").tobytes()
-                    rows.append((doc, k // cut, k // wide, len(part) // wide, zlib.crc32(ids), ids))
+                    rows.append((doc, k // cut, k // wide, len(part) // wide, zlib.crc32(ids), ids if with_ids else None))
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]

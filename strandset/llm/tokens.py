@@ -9,20 +9,33 @@ white space); a chunk that holds other white space goes to the library as it is.
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 END_ID = 1
-#: Chunks that a worker remembers (about 180 bytes each).
-CACHE_CHUNKS = 1_000_000
+#: Chunks that each half of a worker's memory holds (about 180 bytes each).
+CACHE_CHUNKS = 500_000
 #: Characters given to the library in one call.
 CALL_CHARS = 200_000
+#: Characters of text that are split into chunks at a time.
+SPLIT_CHARS = 2_000_000
 
-#: A full stop or comma between an ASCII letter and a blank is a piece of its own to the
-#: tokenizer; cut off, it leaves fewer distinct chunks.
-STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
+#: ASCII signs between a letter and a blank are a piece of their own to the tokenizer; cut
+#: off, they leave fewer distinct chunks.
+STOP = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)(?=[ \n])")
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level tokenizers write printable bytes as themselves and the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 _loaded: dict[str, "ChunkEncoder"] = {}
 
@@ -47,12 +60,33 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.cache_chunks = cache_chunks
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode_new(self, chunks: list[bytes], into: dict[bytes, bytes]) -> None:
-        """Ids of distinct chunks: many chunks a call, cut apart again by their offsets."""
+        """Ids of distinct chunks.
+
+        A chunk of nothing but lower-case letters is one piece that normalising leaves as it
+        is, so it goes to the tokenizer's merges at once; the others take all its steps.
+        """
+        merge, pack, rest = self.tokenizer.model.tokenize, self._pack, []
+        for chunk in chunks:
+            if chunk.isalpha() and chunk.islower():
+                into[chunk] = pack([t.id for t in merge(chunk.decode())])
+            elif not chunk.isascii() and (word := chunk.decode("utf-8", "replace")).isalpha() and word.islower() and unicodedata.is_normalized("NFC", word):
+                into[chunk] = pack([t.id for t in merge(chunk.decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                rest.append(chunk)
+        self._encode_whole(rest, into)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array.array(self.code, ids).tobytes()
+
+    def _encode_whole(self, chunks: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Many chunks a call, cut apart again by their offsets."""
         at = 0
         while at < len(chunks):
             part, size = [], 0
@@ -76,7 +110,19 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids (``self.dtype``) of each text and the end id; null: empty text."""
-        split = [self._chunks((t or "").encode("utf-8", "replace")) for t in texts]
+        out: list[bytes] = []
+        part: list[bytes] = []
+        size = 0
+        for text in texts:
+            part.append((text or "").encode("utf-8", "replace"))
+            size += len(part[-1])
+            if size >= SPLIT_CHARS:
+                out += self._encode_part(part)
+                part, size = [], 0
+        return out + self._encode_part(part)
+
+    def _encode_part(self, raws: list[bytes]) -> list[bytes]:
+        split = [self._chunks(raw) for raw in raws]
         known = self.known
         new: set[bytes] = set()
         for words in split:
@@ -84,8 +130,10 @@ class ChunkEncoder:
         new.difference_update(known)
         if new:
             if len(known) + len(new) > self.cache_chunks:
-                known = self.known = {}
-                new = {w for words in split for w in words}
-            self._encode_new(list(new), known)
+                self.older, self.known = known, {}  # the older half still answers; what is asked for again moves over
+                known, new = self.known, {w for words in split for w in words}
+            again = new & self.older.keys()
+            known.update((w, self.older[w]) for w in again)
+            self._encode_new(list(new - again), known)
         end, look = self.end, known.__getitem__
         return [b"".join([*map(look, words), end]) for words in split]
