@@ -30,15 +30,16 @@ from .common import materialize
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 WORDY = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]*[=:][\x20]*\"?[A-Za-z0-9+/_-]{6,}={0,2}\"?"
-#: kind, pattern, and what a text must contain for the pattern to be tried
+#: kind, pattern, and what a text must contain for the pattern to be tried; repeated groups
+#: are possessive, which Java matches in a loop where it would otherwise recurse
 GENERATORS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "@"),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]\.[0-9]"),
-    ("card", r"[0-9]([\x20-]?[0-9])+", r"[0-9][\x20-]?[0-9]"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", "@"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9]\.[0-9]"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
     ("secret", WORDY, r"[=:]"),
     ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}", r"[0-9]"),
-    ("email", r"[A-Za-z0-9._%+-]+[\x20]?[(\[]at[)\]][\x20]?[A-Za-z0-9-]+([\x20]?(?:[(\[]dot[)\]]|\.)[\x20]?[A-Za-z0-9-]+)+", r"[(\[]at[)\]]"),
+    ("email", r"[A-Za-z0-9._%+-]+[\x20]?[(\[]at[)\]][\x20]?[A-Za-z0-9-]+(?:[\x20]?(?:[(\[]dot[)\]]|\.)[\x20]?[A-Za-z0-9-]+)++", r"[(\[]at[)\]]"),
     ("phone", r"(?<![0-9.+])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9.])", r"[0-9][\x20./-][0-9]"),
 ]
 BASE = 4
@@ -216,7 +217,10 @@ def _joined(spans: str) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts of base spans, their digest, and all spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+    def of_kind(k: int):
+        return lambda s: s["kind"] == k
+
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
     return find(docs).select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
