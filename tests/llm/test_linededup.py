@@ -66,7 +66,7 @@ def test_equals_plain(spark):
 
 
 def test_passage_goes_from_later_documents_only(spark):
-    passage = "\n".join(["some words here " * 6, "more words there " * 5, "z " * 9])
+    passage = "\n".join(["some words here " * 9, "more words there " * 8, "z " * 9])
     rows = [(5, "intro five\n" + passage + "\ntail"), (3, passage + "\nthree"), (8, "only short\nAll rights reserved."), (9, "All rights reserved.\nother")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.delete_repeated(df).collect()}
