@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize
 from .tokens import default_tokenizer, encoder
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: A pair becomes a rule if a block holds it so often (its rule costs three numbers).
 MIN_PAIR = 16
 MAX_ROUNDS = 4
@@ -73,11 +73,13 @@ def compress(ids: np.ndarray, first_new: int, symbols: int, min_pair: int = MIN_
         slot = (best * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
         _, own = np.unique(slot, return_index=True)
         best, slot = best[np.sort(own)], slot[np.sort(own)]
-        table = np.zeros(1 << HASH_BITS, np.uint32)
-        name = np.full(1 << HASH_BITS, -1, np.int32)
+        # pair 0 must not look like an empty slot, so an empty slot holds a pair of another slot
+        table = np.full(1 << HASH_BITS, best[0], np.uint32)
+        name = np.zeros(1 << HASH_BITS, np.int32)
         table[slot], name[slot] = best, np.arange(len(best))
-        look = (pair * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
-        hit = (table[look] == pair) & (name[look] >= 0) & ~fence[1:]
+        look = ((pair * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
+        hit = np.take(table, look) == pair
+        hit &= ~fence[1:]
         at = _disjoint(hit)
         if not len(at):
             break
@@ -100,16 +102,31 @@ def expansion_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
 
 def expand(seq: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
     """The ids that a run of symbols stands for."""
+    lengths = expansion_lengths(rules, first_new)
+    begin = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.uint32)
+    for k, (a, b) in enumerate(rules.tolist()):
+        at = begin[k]
+        for part in (a, b):
+            if part < first_new:
+                flat[at] = part
+                at += 1
+            else:
+                n = lengths[part - first_new]
+                flat[at : at + n] = flat[begin[part - first_new] : begin[part - first_new] + n]
+                at += n
     seq = seq.astype(np.uint32)
-    while len(seq) and (big := seq >= first_new).any():
-        at = np.repeat(np.arange(len(seq)), np.where(big, 2, 1))
-        second = np.zeros(len(at), np.int64)
-        second[1:] = at[1:] == at[:-1]
-        sym = seq[at]
-        new = sym >= first_new
-        sym[new] = rules[sym[new] - first_new, second[new]]
-        seq = sym
-    return seq
+    big = seq >= first_new
+    if not big.any():
+        return seq
+    rule = np.where(big, seq, first_new) - first_new
+    size = np.where(big, lengths[rule], 1)
+    ends = np.cumsum(size)
+    out = np.repeat(seq, size)
+    at = np.arange(len(out), dtype=np.int64) + np.repeat(np.where(big, begin[rule], 0) - (ends - size), size)
+    inside = np.repeat(big, size)
+    out[inside] = flat[at[inside]]
+    return out
 
 
 def _block(shard: int, number: int, docs: list, raws: list[bytes], dtype: np.dtype, first_new: int) -> tuple:
