@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 Template = Callable[[list[tuple[str, str]]], str]
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -98,7 +100,7 @@ def format_conversations(conversations: DataFrame, template: Template = chat_tem
     span = pa.list_(pa.struct([("role", pa.string()), *[(n, pa.int32()) for n in ("start", "end", "text_start", "text_end")], ("loss", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sizes, texts, flags, spans = [], [], [], []
             for turns in batch.column(1).to_pylist():
                 messages = [(t["role"] or "", t["text"] or "") for t in turns]
@@ -118,7 +120,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for conv, text, spans in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 turns = parse(text)

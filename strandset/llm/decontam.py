@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 Q = 10
 SEGMENT = 64
 EDITS = 4
@@ -259,7 +261,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int
         shared_index = spark.sparkContext.broadcast(build_index(part, q, segment, edits))
 
         def run(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in matches(t, shared_index.value, coverage)]
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 item = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()

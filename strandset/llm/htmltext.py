@@ -27,6 +27,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import parts
+
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.05, 0.12
 MAX_LINKS = 0.2
@@ -219,7 +221,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, parts
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 4096
@@ -116,7 +116,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         wide, cut = enc.dtype.itemsize, capacity * enc.dtype.itemsize
-        for batch in batches:
+        for batch in parts(batches):
             rows: list[tuple] = []
             for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
                 for k in range(0, len(raw), cut):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, parts
 from .tokens import default_tokenizer, encoder
 
 BLOCK_TOKENS = 1 << 20
@@ -162,7 +162,7 @@ def write_blocks(docs: DataFrame, path: str, shards: int | None = None, block_to
             kinds = [pa.int32(), pa.int32(), pa.list_(key), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split(" ")[0] for c in schema.split(", ")])
 
-        for batch in batches:
+        for batch in parts(batches):
             key = batch.schema.field(0).type
             got = batch.column(0).to_pylist()
             for doc, raw in zip(got, enc.encode(batch.column(1).to_pylist())):

@@ -18,7 +18,7 @@ import numpy as np
 
 END_ID = 1
 #: Chunks that each half of a worker's memory holds (about 180 bytes each).
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
 #: Characters given to the library in one call.
 CALL_CHARS = 200_000
 #: Characters of text that are split into chunks at a time.
@@ -26,7 +26,8 @@ SPLIT_CHARS = 2_000_000
 
 #: ASCII signs between a letter and a blank are a piece of their own to the tokenizer; cut
 #: off, they leave fewer distinct chunks.
-STOP = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)(?=[ \n])")
+SIGN = rb"[!-/:-@\[-`{-~]"
+STOP = re.compile(rb"(" + SIGN + rb"(?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + SIGN + rb"*)(?=[ \n])")
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level tokenizers write printable bytes as themselves and the others from U+0100 on."""

@@ -1,4 +1,6 @@
 """Every registered query of the analytics operators, with its SQL equivalent."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import analysis, relational  # noqa: F401  the modules register their queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
