@@ -45,12 +45,22 @@ def single_variant_z(dosage: DataFrame, residuals: DataFrame, variant: str, pers
     return per.crossJoin(F.broadcast(people)).select(variant, u.alias("u"), v.alias("v"), F.when(v > 0, u / F.sqrt(v)).alias("z"))
 
 
-def burden_test(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w") -> DataFrame:
-    """Chi-square (1 df) of (w'U)^2 / (w'Sw) with its p; ``covariance`` is (group, a, b, s) with both orders."""
-    wu = stats.groupBy(group).agg(F.sum(F.col(weight) * F.col(u)).alias("wu"))
-    w = stats.select(group, variant, weight)
-    quad = covariance.join(w.withColumnsRenamed({variant: "a", weight: "_wa"}), [group, "a"]).join(w.withColumnsRenamed({variant: "b", weight: "_wb"}), [group, "b"]).groupBy(group).agg(F.sum(F.col("_wa") * F.col("_wb") * F.col("s")).alias("wsw"))
-    chi2 = F.when(F.col("wsw") > 0, F.col("wu") * F.col("wu") / F.col("wsw"))
+def burden_test(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w", mean: str | None = None) -> DataFrame:
+    """Chi-square (1 df) of (w'U)^2 / (w'Sw) with its p; ``covariance`` is (group, a, b, s) with both orders.
+
+    A pair absent from ``covariance`` counts as zero or, where ``mean`` names the column of
+    mean over deviation, as minus the product of its two means: the covariance of variants
+    without a shared carrier.  That part has rank one, so its pairs are never made.
+    """
+    m = F.col(mean) if mean else F.lit(0.0)
+    wu = stats.groupBy(group).agg(F.sum(F.col(weight) * F.col(u)).alias("wu"), F.sum(F.col(weight) * m).alias("wm"))
+    w = stats.select(group, variant, F.col(weight).alias("_w"), m.alias("_m"))
+    a = w.select(group, F.col(variant).alias("a"), F.col("_w").alias("_wa"), F.col("_m").alias("_ma"))
+    b = w.select(group, F.col(variant).alias("b"), F.col("_w").alias("_wb"), F.col("_m").alias("_mb"))
+    term = F.col("_wa") * F.col("_wb") * (F.col("s") + F.col("_ma") * F.col("_mb"))
+    quad = covariance.join(a, [group, "a"]).join(b, [group, "b"]).groupBy(group).agg(F.sum(term).alias("shared"))
+    wsw = F.col("shared") - F.col("wm") * F.col("wm")
+    chi2 = F.when(wsw > 0, F.col("wu") * F.col("wu") / wsw)
     return wu.join(quad, group).select(group, chi2.alias("chi2"), chi2_sf(chi2, 1).alias("p"))
 
 
@@ -114,22 +124,30 @@ def _ncx2_sf(x: float, df: float, nc: float) -> float:
     return total
 
 
-def skat(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w") -> DataFrame:
-    """Q = sum of (wU)^2 and its tail from the eigenvalues of the weighted covariance; one group a task."""
-    w = stats.select(group, variant, weight, u)
+def skat(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w", mean: str | None = None) -> DataFrame:
+    """Q = sum of (wU)^2 and its tail from the eigenvalues of the weighted covariance; one group a task.
+
+    Pairs absent from ``covariance`` are as in :func:`burden_test`.
+    """
+    m = F.col(mean) if mean else F.lit(0.0)
+    w = stats.select(group, variant, weight, u, m.alias("_m"))
     cells = covariance.join(w.select(group, F.col(variant).alias("a"), F.col(weight).alias("_wa")), [group, "a"]).join(w.select(group, F.col(variant).alias("b"), F.col(weight).alias("_wb")), [group, "b"])
     cells = cells.select(group, F.lit(1).alias("kind"), F.col("a").cast("string").alias("i"), F.col("b").cast("string").alias("j"), (F.col("_wa") * F.col("_wb") * F.col("s")).alias("x"))
-    diag = w.select(group, F.lit(0).alias("kind"), F.col(variant).cast("string").alias("i"), F.col(variant).cast("string").alias("j"), F.pow(F.col(weight) * F.col(u), F.lit(2)).alias("x"))
+    own = w.select(group, F.lit(0).alias("kind"), F.col(variant).cast("string").alias("i"), F.lit(None).cast("string").alias("j"), F.pow(F.col(weight) * F.col(u), F.lit(2)).alias("x"))
+    means = w.select(group, F.lit(2).alias("kind"), F.col(variant).cast("string").alias("i"), F.lit(None).cast("string").alias("j"), (F.col(weight) * F.col("_m")).alias("x"))
     kind = stats.schema[group].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         q = pdf.x[pdf.kind == 0].sum()
-        cov = pdf[pdf.kind == 1].pivot(index="i", columns="j", values="x")
-        lam = np.linalg.eigvalsh(cov.to_numpy()) if len(cov) else np.zeros(0)
+        wm = pdf[pdf.kind == 2].set_index("i").x.sort_index()
+        cov = -np.outer(wm, wm)
+        shared = pdf[(pdf.kind == 1) & pdf.x.notna()]
+        cov[wm.index.get_indexer(shared.i), wm.index.get_indexer(shared.j)] = shared.x
+        lam = np.linalg.eigvalsh(cov) if len(cov) else np.zeros(0)
         lam = lam[lam > 1e-12 * max(1.0, lam.max(initial=0))]
         return pd.DataFrame({group: [pdf[group].iloc[0]], "q": [q], "p": [_liu_tail(q, lam) if len(lam) else float("nan")]})
 
-    return cells.unionByName(diag).groupBy(group).applyInPandas(one, f"{group} {kind}, q double, p double")
+    return cells.unionByName(own).unionByName(means).groupBy(group).applyInPandas(one, f"{group} {kind}, q double, p double")
 
 
 def acat(p: Column, weight: Column | None = None, low: float = 1e-15, high: float = 1 - 1e-15) -> Column:
@@ -276,19 +294,25 @@ def top_k_recall(scored: DataFrame, truth: DataFrame, key: str, score: str, ks:
     return hits.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("hits"), (F.col(f"k{k}") / F.col("n_true")).alias("recall")) for k in ks])).alias("r")).select("r.*")
 
 
-def ld_pairs(dosage: DataFrame, variant: str, person: str, ds: str, n_people: int, place: str | None = None, reach: float | None = None) -> DataFrame:
-    """r and r2 of variant pairs over all persons (absent rows are zero), from sums over shared carriers."""
-    per = dosage.groupBy(variant).agg(F.sum(ds).alias("s"), F.sum(F.col(ds) * F.col(ds)).alias("q"), *([F.first(place).alias("pos")] if place else []))
-    cols = [person, variant, ds] + ([place] if place else [])
+def ld_pairs(dosage: DataFrame, variant: str, person: str, ds: str, n_people: int, place: str | None = None, reach: float | None = None, group: str | None = None) -> DataFrame:
+    """r and r2 of variant pairs with a shared carrier over all persons (absent rows are zero), from sums over those carriers.
+
+    ``group`` keeps to pairs within a group of variants and returns its column too.
+    """
+    keys = [group] if group else []
+    per = dosage.groupBy(*keys, variant).agg(F.sum(ds).alias("s"), F.sum(F.col(ds) * F.col(ds)).alias("q"))
+    cols = [*keys, person, variant, ds] + ([place] if place else [])
     a = dosage.select(*cols).withColumnsRenamed({variant: "a", ds: "x"} | ({place: "pa"} if place else {}))
     b = dosage.select(*cols).withColumnsRenamed({variant: "b", ds: "y"} | ({place: "pb"} if place else {}))
     near = (F.col("a") < F.col("b")) & ((F.abs(F.col("pa") - F.col("pb")) <= reach) if place and reach is not None else F.lit(True))
-    both = a.join(b, person).where(near).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n_shared"))
-    out = both.join(per.select(F.col(variant).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa")), "a").join(per.select(F.col(variant).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b")
+    both = a.join(b, [*keys, person]).where(near).groupBy(*keys, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n_shared"))
+    of_a = per.select(*keys, F.col(variant).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa"))
+    of_b = per.select(*keys, F.col(variant).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb"))
+    out = both.join(of_a, [*keys, "a"]).join(of_b, [*keys, "b"])
     n = float(n_people)
     va, vb = F.col("qa") / n - F.pow(F.col("sa") / n, F.lit(2)), F.col("qb") / n - F.pow(F.col("sb") / n, F.lit(2))
     r = F.when((va > 0) & (vb > 0), (F.col("xy") / n - F.col("sa") / n * F.col("sb") / n) / F.sqrt(va * vb))
-    return out.select("a", "b", "n_shared", r.alias("r"), (r * r).alias("r2"))
+    return out.select(*keys, "a", "b", "n_shared", r.alias("r"), (r * r).alias("r2"))
 
 
 def effective_tests(pairs: DataFrame, m: int) -> DataFrame:

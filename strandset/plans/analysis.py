@@ -356,10 +356,10 @@ def topk_recall(spark: SparkSession, d: str) -> DataFrame:
     return st.top_k_recall(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").where("quality = 0"), "doc_id", "n_chars", [50, 100, 150]).withColumn("recall", r6(F.col("recall")))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT variant, person FROM {DOSAGE_SQL} WHERE ds >= 0.5 AND variant % 4 = 0), n AS (SELECT variant, count(*) AS n FROM c GROUP BY 1)
+@query(f"""WITH c AS (SELECT DISTINCT variant, person FROM {DOSAGE_SQL} WHERE ds >= 0.5), n AS (SELECT variant, count(*) AS n FROM c GROUP BY 1)
 SELECT a.variant AS a, b.variant AS b, count(*) AS n_common, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM c a JOIN c b ON a.person = b.person AND a.variant < b.variant JOIN n x ON x.variant = a.variant JOIN n y ON y.variant = b.variant GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY a.variant, b.variant"))
 def co_carriers(spark: SparkSession, d: str) -> DataFrame:
-    return st.co_carriers(dosage(spark, d).where("variant % 4 = 0"), "variant", "person", "ds").withColumn("jaccard", r6(F.col("jaccard")))
+    return st.co_carriers(dosage(spark, d), "variant", "person", "ds").withColumn("jaccard", r6(F.col("jaccard")))
 
 
 @query("SELECT pattern, count(*) AS n FROM (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS pattern FROM events WHERE value > 60 GROUP BY 1) GROUP BY 1")
@@ -508,20 +508,19 @@ def pair_support(spark: SparkSession, d: str) -> DataFrame:
     return hp.pair_support(rows, ["event_type"], ("a", "b", "c", "d")).drop("supported")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS n, s_suppkey AS s FROM supplier WHERE s_suppkey % 3 = 0), p AS (SELECT a.s AS x, b.s AS y FROM e a JOIN e b ON a.n = b.n AND a.s <> b.s),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS n, s_suppkey AS s FROM supplier), p AS (SELECT a.s AS x, b.s AS y FROM e a JOIN e b ON a.n = b.n AND a.s <> b.s),
 r(x, y) AS (SELECT x, x FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x) SELECT x AS node, min(y) AS component FROM r GROUP BY 1""")
 def components(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.joins import pairs_within
 
-    s = table(spark, d, "supplier").where("s_suppkey % 3 = 0")
-    return cl.components(pairs_within(s, ["s_nationkey"], "s_suppkey"), "a", "b")
+    return cl.components(pairs_within(table(spark, d, "supplier"), ["s_nationkey"], "s_suppkey"), "a", "b")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 5 = 0)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour, list_distance(a.e, b.e) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT query_id, neighbour, round(dist, 6) AS distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbour) AS rank FROM p) WHERE rank <= 5""")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return se.nearest_neighbours(e, "vec_id", "embedding", 5, e.where("vec_id % 5 = 0")).withColumn("distance", r6(F.col("distance")))
+    return se.nearest_neighbours(e, "vec_id", "embedding", 5, e.where("vec_id % 20 = 0")).withColumn("distance", r6(F.col("distance")))
 
 
 @query(None)
@@ -532,17 +531,19 @@ def greedy_clump(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def skat_burden(spark: SparkSession, d: str) -> DataFrame:
-    """Burden and variance-component tests of dosage groups with their Cauchy combination."""
-    dose = dosage(spark, d).where("variant % 20 < 3")
-    z = st.single_variant_z(dose, nation_residuals(spark, d), "variant", "person", "ds").where("v > 0")
-    gene = (F.col("variant") % 25).alias("gene")
-    stats = z.select(gene, F.col("variant").alias("id"), (F.col("u") / F.sqrt("v")).alias("u")).withColumn("w", F.lit(1.0))
+    """Burden and variance-component tests of each brand's parts with their Cauchy combination."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene"))
+    dose = dosage(spark, d).join(parts, "variant")
     n = table(spark, d, "customer").count()
-    ld = st.ld_pairs(dose, "variant", "person", "ds", n).where("a % 25 = b % 25").select((F.col("a") % 25).alias("gene"), "a", "b", F.col("r").alias("s"))
+    scale = F.sqrt(F.sum(F.col("ds") * F.col("ds")) / n - F.pow(F.sum("ds") / n, F.lit(2)))
+    means = dose.groupBy(F.col("variant").alias("id"), "gene").agg((F.sum("ds") / n / scale).alias("mean"))
+    z = st.single_variant_z(dose, nation_residuals(spark, d), "variant", "person", "ds").where("v > 0")
+    stats = z.select(F.col("variant").alias("id"), (F.col("u") / F.sqrt("v")).alias("u")).join(means, "id").withColumn("w", F.lit(1.0))
+    ld = st.ld_pairs(dose, "variant", "person", "ds", n, group="gene").select("gene", "a", "b", F.col("r").alias("s"))
     own = stats.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("s"))
     cov = ld.unionByName(ld.select("gene", F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(own)
-    burden = st.burden_test(stats, cov, "gene", "id").select("gene", "p")
-    kernel = st.skat(stats, cov, "gene", "id").select("gene", "p")
+    burden = st.burden_test(stats, cov, "gene", "id", mean="mean").select("gene", "p")
+    kernel = st.skat(stats, cov, "gene", "id", mean="mean").select("gene", "p")
     return st.omnibus(burden.unionByName(kernel), ["gene"], "p").withColumn("p_omnibus", r6(F.col("p_omnibus")))
 
 
