@@ -123,27 +123,18 @@ class ChunkEncoder:
         return out + self._encode_part(part)
 
     def _encode_part(self, raws: list[bytes]) -> list[bytes]:
-        """Each word is looked up once; only the texts with unknown words are gone through again."""
-        find, end = self.known.get, self.end
-        out: list[bytes] = []
-        gaps: list[tuple[int, list[bytes], list[bytes | None]]] = []
+        split = [self._chunks(raw) for raw in raws]
+        known = self.known
         new: set[bytes] = set()
-        for raw in raws:
-            words = self._chunks(raw)
-            got = [*map(find, words), end]
-            try:
-                out.append(b"".join(got))
-            except TypeError:  # a word that is not known
-                gaps.append((len(out), words, got))
-                out.append(b"")
-                new.update([w for w, ids in zip(words, got) if ids is None])
-        if gaps:
-            fresh = {w: self.older[w] for w in new & self.older.keys()}
-            self._encode_new([w for w in new if w not in fresh], fresh)
-            if len(self.known) + len(fresh) > self.cache_chunks:
-                self.older, self.known = self.known, fresh  # the older half still answers; what is asked for again moves over
-            else:
-                self.known.update(fresh)
-            for k, words, got in gaps:
-                out[k] = b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, got)]) + end
-        return out
+        for words in split:
+            new.update(words)
+        new.difference_update(known)
+        if new:
+            if len(known) + len(new) > self.cache_chunks:
+                self.older, self.known = known, {}  # the older half still answers; what is asked for again moves over
+                known, new = self.known, {w for words in split for w in words}
+            again = new & self.older.keys()
+            known.update((w, self.older[w]) for w in again)
+            self._encode_new(list(new - again), known)
+        end, look = self.end, known.__getitem__
+        return [b"".join([*map(look, words), end]) for words in split]
