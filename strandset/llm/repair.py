@@ -43,7 +43,7 @@ def _disjoint(hit: np.ndarray) -> np.ndarray:
     head = np.ones(len(at), bool)
     head[1:] = np.diff(at) != 1
     run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - run) % 2 == 0]
+    return at[(np.arange(len(at)) - run) & 1 == 0]
 
 
 def compress(ids: np.ndarray, first_new: int, symbols: int, min_pair: int = MIN_PAIR, max_rounds: int = MAX_ROUNDS, fence: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,30 +92,31 @@ def compress(ids: np.ndarray, first_new: int, symbols: int, min_pair: int = MIN_
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), fence
 
 
+def _levels(rules: np.ndarray, first_new: int) -> Iterator[np.ndarray]:
+    """Rules in groups whose parts are ids or rules of earlier groups."""
+    inner = rules.astype(np.int64) - first_new
+    done = np.zeros(len(rules), bool)
+    left = np.arange(len(rules))
+    while len(left):
+        ready = ((inner[left] < 0) | done[np.maximum(inner[left], 0)]).all(1)
+        if not ready.any():
+            raise ValueError("rules that name one another in a circle")
+        yield left[ready]
+        done[left[ready]] = True
+        left = left[~ready]
+
+
 def expansion_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
-    """How many ids each rule stands for (rules only name earlier rules)."""
+    """How many ids each rule stands for."""
     out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first_new] if a >= first_new else 1) + (out[b - first_new] if b >= first_new else 1)
+    for level in _levels(rules, first_new):
+        inner = rules[level].astype(np.int64) - first_new
+        out[level] = np.where(inner < 0, 1, out[np.maximum(inner, 0)]).sum(1)
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
-    """The ids that a run of symbols stands for."""
-    lengths = expansion_lengths(rules, first_new)
-    begin = np.cumsum(lengths) - lengths
-    flat = np.zeros(int(lengths.sum()), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = begin[k]
-        for part in (a, b):
-            if part < first_new:
-                flat[at] = part
-                at += 1
-            else:
-                n = lengths[part - first_new]
-                flat[at : at + n] = flat[begin[part - first_new] : begin[part - first_new] + n]
-                at += n
-    seq = seq.astype(np.uint32)
+def _spread(seq: np.ndarray, first_new: int, lengths: np.ndarray, begin: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The ids of a run of symbols; rule k stands for ``flat[begin[k]:][:lengths[k]]``."""
     big = seq >= first_new
     if not big.any():
         return seq
@@ -129,6 +130,18 @@ def expand(seq: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
     return out
 
 
+def expand(seq: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
+    """The ids that a run of symbols stands for."""
+    lengths = expansion_lengths(rules, first_new)
+    begin = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.uint32)
+    for level in _levels(rules, first_new):
+        got = _spread(rules[level].ravel(), first_new, lengths, begin, flat)
+        size = lengths[level]
+        flat[np.arange(len(got)) + np.repeat(begin[level] - (np.cumsum(size) - size), size)] = got
+    return _spread(seq.astype(np.uint32), first_new, lengths, begin, flat)
+
+
 def _block(shard: int, number: int, docs: list, raws: list[bytes], dtype: np.dtype, first_new: int) -> tuple:
     ids = np.frombuffer(b"".join(raws), dtype)
     tokens = np.fromiter((len(r) // dtype.itemsize for r in raws), np.int64, len(raws))
