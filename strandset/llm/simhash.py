@@ -278,6 +278,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that name their class; of rows that share an id, those stay together."""
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """The documents of ``docs`` that name their class; of rows that share an id, those stay together.
+
+    A class here is one of five-word shingle sets linked at Jaccard similarity 0.8, not one of fingerprints.
+    """
+    from .nearset import set_classes
+
+    kept = set_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
