@@ -116,9 +116,9 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         wide, cut = enc.dtype.itemsize, capacity * enc.dtype.itemsize
-        for batch in parts(batches):
+        for batch in parts(batches, 2000):
             rows: list[tuple] = []
-            for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 for k in range(0, len(raw), cut):
                     part = raw[k : k + cut]
                     ids = np.frombuffer(part, enc.dtype).astype("<u4").tobytes()

@@ -5,29 +5,34 @@ ids of its white-space-separated chunks one after the other.  Each worker theref
 encodes a distinct chunk once and looks the others up; the lookup table is bounded.
 Only ASCII white space separates chunks here (every tokenizer rule treats it as
 white space); a chunk that holds other white space goes to the library as it is.
+Arrow splits the texts of a batch and numbers their distinct chunks, so Python looks a
+chunk up once a batch, not once a place.
 """
 
 from __future__ import annotations
 
 import array
 import os
-import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 #: Chunks that each half of a worker's memory holds (about 180 bytes each).
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 300_000
 #: Characters given to the library in one call.
 CALL_CHARS = 200_000
-#: Characters of text that are split into chunks at a time.
-SPLIT_CHARS = 2_000_000
+#: Bytes of texts that are split into chunks at a time (a longer text alone), and chunks whose ids are gathered at a time.
+PART_BYTES = 4_000_000
+GATHER_CHUNKS = 500_000
+
+#: ASCII signs between a letter and a blank are a piece of their own to the tokenizer; set
+#: apart, they leave fewer distinct chunks.
+SIGN = r"[!-/:-@\[-`{-~]"
+STOP = rf"([a-zß-öø-ÿ])({SIGN}+)([ \n])"
 
-#: ASCII signs between a letter and a blank are a piece of their own to the tokenizer; cut
-#: off, they leave fewer distinct chunks.
-SIGN = rb"[!-/:-@\[-`{-~]"
-STOP = re.compile(rb"(" + SIGN + rb"(?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + SIGN + rb"*)(?=[ \n])")
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level tokenizers write printable bytes as themselves and the others from U+0100 on."""
@@ -64,35 +69,38 @@ class ChunkEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.cache_chunks = cache_chunks
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode_new(self, chunks: list[bytes], into: dict[bytes, bytes]) -> None:
-        """Ids of distinct chunks.
+    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks not met before.
 
         A chunk of nothing but lower-case letters is one piece that normalising leaves as it
         is, so it goes to the tokenizer's merges at once; the others take all its steps.
         """
-        merge, pack, rest = self.tokenizer.model.tokenize, self._pack, []
+        merge, pack, rest, into = self.tokenizer.model.tokenize, self._pack, [], {}
         for chunk in chunks:
-            if chunk.isalpha() and chunk.islower():
-                into[chunk] = pack([t.id for t in merge(chunk.decode())])
-            elif not chunk.isascii() and (word := chunk.decode("utf-8", "replace")).isalpha() and word.islower() and unicodedata.is_normalized("NFC", word):
-                into[chunk] = pack([t.id for t in merge(chunk.decode("latin-1").translate(BYTE_LETTERS))])
+            if not (chunk.isalpha() and chunk.islower()):
+                rest.append(chunk)
+            elif chunk.isascii():
+                into[chunk] = pack([t.id for t in merge(chunk)])
+            elif unicodedata.is_normalized("NFC", chunk):
+                into[chunk] = pack([t.id for t in merge(chunk.encode().decode("latin-1").translate(BYTE_LETTERS))])
             else:
                 rest.append(chunk)
         self._encode_whole(rest, into)
+        return into
 
     def _pack(self, ids: list[int]) -> bytes:
         return array.array(self.code, ids).tobytes()
 
-    def _encode_whole(self, chunks: list[bytes], into: dict[bytes, bytes]) -> None:
+    def _encode_whole(self, chunks: list[str], into: dict[str, bytes]) -> None:
         """Many chunks a call, cut apart again by their offsets."""
         at = 0
         while at < len(chunks):
             part, size = [], 0
             while at < len(chunks) and size < CALL_CHARS:
-                part.append(chunks[at].decode("utf-8", "replace"))
+                part.append(chunks[at])
                 size += len(part[-1]) + 1
                 at += 1
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -104,37 +112,48 @@ class ChunkEncoder:
             for k in range(len(part)):
                 into[chunks[at - len(part) + k]] = raw[cuts[k] * width : cuts[k + 1] * width]
 
-    @staticmethod
-    def _chunks(raw: bytes) -> list[bytes]:
-        """Chunks of a text; A-Z are lowered as the tokenizer does, unless the text may name a special token."""
-        return (raw if b"<|" in raw else STOP.sub(rb" \1", raw).lower()).split()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Little-endian ids (``self.dtype``) of each text and the end id; null: empty text."""
+        if isinstance(texts, list):
+            texts = pa.array([(t or "").encode("utf-8", "replace").decode() for t in texts], pa.string())
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         out: list[bytes] = []
-        part: list[bytes] = []
-        size = 0
-        for text in texts:
-            part.append((text or "").encode("utf-8", "replace"))
-            size += len(part[-1])
-            if size >= SPLIT_CHARS:
-                out += self._encode_part(part)
-                part, size = [], 0
-        return out + self._encode_part(part)
-
-    def _encode_part(self, raws: list[bytes]) -> list[bytes]:
-        split = [self._chunks(raw) for raw in raws]
-        known = self.known
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(known)
-        if new:
-            if len(known) + len(new) > self.cache_chunks:
-                self.older, self.known = known, {}  # the older half still answers; what is asked for again moves over
-                known, new = self.known, {w for words in split for w in words}
-            again = new & self.older.keys()
-            known.update((w, self.older[w]) for w in again)
-            self._encode_new(list(new - again), known)
-        end, look = self.end, known.__getitem__
-        return [b"".join([*map(look, words), end]) for words in split]
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, side="right")))
+            out += self._encode_part(texts.slice(at, upto - at))
+            at = upto
+        return out
+
+    def _encode_part(self, texts: pa.Array) -> list[bytes]:
+        # A-Z are lowered as the tokenizer does, unless the text may name a special token
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), STOP, r"\1 \2\3")
+        chunks = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, plain))
+        coded = chunks.flatten().dictionary_encode()
+        raws = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False))
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // self.dtype.itemsize
+        flat, begin = np.frombuffer(b"".join(raws), self.dtype), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        own = size[which]
+        through = np.concatenate(([0], np.cumsum(own)))
+        pieces = []
+        for k in range(0, len(which), GATHER_CHUNKS):
+            w, n = which[k : k + GATHER_CHUNKS], own[k : k + GATHER_CHUNKS]
+            shift = begin[w] - (through[k : k + len(w)] - through[k])
+            pieces.append(flat[np.repeat(shift, n) + np.arange(int(n.sum()))].tobytes())
+        whole, wide = memoryview(b"".join(pieces)), self.dtype.itemsize
+        cuts = (through[np.concatenate(([0], np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))))] * wide).tolist()
+        return [bytes(whole[a:b]) + self.end for a, b in zip(cuts, cuts[1:])]
+
+    def _ids_of(self, chunks: np.ndarray) -> list[bytes]:
+        """Ids of distinct chunks, from the worker's memory where it has them."""
+        got = list(map(self.known.get, chunks))
+        missing = [k for k, ids in enumerate(got) if ids is None]
+        if missing:
+            if len(self.known) + len(missing) > self.cache_chunks:
+                self.older, self.known = self.known, {}  # the older half still answers; what is asked for again moves over
+            new = self._encode_new([chunks[k] for k in missing if chunks[k] not in self.older])
+            for k in missing:
+                got[k] = self.known[chunks[k]] = new[chunks[k]] if chunks[k] in new else self.older[chunks[k]]
+        return got

@@ -28,23 +28,74 @@ def test_chunked_ids_equal_whole_text_ids():
     assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(ODD)] == plain(ODD)
 
 
-def test_repair_round_trip_and_random_access():
+def most_frequent(seq, starts):
+    """The most disjoint places of one pair inside documents."""
+    last, count = {}, {}
+    for at, pair in enumerate(zip(seq, seq[1:])):
+        if not starts[at + 1] and last.get(pair, -2) < at - 1:
+            last[pair], count[pair] = at, count.get(pair, 0) + 1
+    return max(count.values(), default=0)
+
+
+def check_grammar(ids, fence, first_new, min_pair):
+    seq, rules, lengths, starts = repair.compress(ids, first_new, min_pair, fence)
+    assert (repair.expand(seq, rules, lengths, first_new) == ids).all()
+    assert (repair.expand_only(seq, rules, first_new) == ids).all()
+    assert lengths.tolist() == [len(repair.expand_only(np.array([first_new + k]), rules, first_new)) for k in range(len(rules))]
+    assert starts.sum() == fence.sum()
+    assert most_frequent(seq.tolist(), starts.tolist()) < min_pair
+    return seq, rules, lengths, starts
+
+
+def test_no_frequent_pair_is_left():
     rng = np.random.default_rng(5)
-    ids = rng.integers(0, 6, 4000).astype(np.uint16)
-    fence = np.zeros(len(ids), bool)
-    fence[::100] = True
-    seq, rules, starts = repair.compress(ids, 100, 1 << 16, fence=fence)
-    assert len(seq) < len(ids) and len(rules)
-    assert (repair.expand(seq, rules, 100) == ids).all()
-    lengths = repair.expansion_lengths(rules, 100)
-    sizes = np.where(seq >= 100, lengths[np.maximum(seq.astype(int) - 100, 0)], 1)
-    assert (np.cumsum(sizes)[np.flatnonzero(starts)[1:] - 1] == np.arange(100, 4000, 100)).all()
-
-
-def test_same_symbol_runs():
-    ids = np.full(101, 7, np.uint16)
-    seq, rules, _ = repair.compress(ids, 100, 1 << 16, min_pair=2)
-    assert (repair.expand(seq, rules, 100) == ids).all() and len(seq) < 30
+    for size, letters, min_pair in ((4000, 6, 16), (3000, 2, 2), (500, 1, 3), (1, 1, 2), (0, 1, 2), (5000, 500, 4)):
+        ids = rng.integers(0, letters, size).astype(np.uint16)
+        fence = np.zeros(size, bool)
+        fence[::100] = True
+        check_grammar(ids, fence, 1000, min_pair)
+
+
+def test_long_repeats_shrink_to_few_symbols():
+    ids = np.tile(np.arange(1000, dtype=np.uint16), 128)
+    seq, rules, _, _ = check_grammar(ids, np.arange(len(ids)) == 0, 60_000, 16)
+    assert len(seq) <= 256
+
+
+def test_wide_vocabulary_compresses_too():
+    ids = np.tile(np.arange(70_000, 70_020, dtype=np.uint32), 50)
+    seq, _, _, _ = check_grammar(ids, np.arange(len(ids)) == 0, 100_000, 4)
+    assert len(seq) < 100
+
+
+def test_one_document_reads_only_its_rules():
+    rng = np.random.default_rng(1)
+    docs_ = [np.tile(rng.permutation(6), 20) + 10 * k for k in range(4)]
+    raws = [d.astype("<u2").tobytes() for d in docs_]
+    part = repair._shard(0, 0, [0, 1, 2, 3], raws, np.dtype("<u2"), 100)
+    row = dict(zip([c.split(" ")[0] for c in repair.SHARD_SCHEMA.split(", ")], part))
+    rules, lengths, seq = repair._arrays(row)
+    used, todo = set(), [s - 100 for s in seq[: int(np.frombuffer(row["doc_symbols"], "<u4")[0])].tolist() if s >= 100]
+    while todo:
+        k = todo.pop()
+        used.add(k)
+        todo += [s - 100 for s in rules[k].tolist() if s >= 100 and s - 100 not in used]
+    assert used and len(used) < len(rules)
+    broken = rules.copy()
+    broken[[k for k in range(len(rules)) if k not in used]] = 2**32 - 1
+    row["rules"] = broken.tobytes()
+    assert repair.decode_document(row, 0).tolist() == docs_[0].tolist()
+    for a, b in ((0, 1), (5, 5), (17, 60), (119, 120), (-7, None)):
+        assert repair.decode_document(row, 0, a, b).tolist() == docs_[0][a:b].tolist()
+
+
+def test_stored_lengths_place_the_symbols():
+    raws = [np.tile(np.arange(8), 30).astype("<u2").tobytes()]
+    row = dict(zip([c.split(" ")[0] for c in repair.SHARD_SCHEMA.split(", ")], repair._shard(0, 0, [0], raws, np.dtype("<u2"), 100)))
+    want = repair.decode_document(row, 0, 100, 108).tolist()
+    lengths = np.frombuffer(row["lengths"], "<u4").copy()
+    row["lengths"] = (lengths + 1).tobytes()
+    assert repair.decode_document(row, 0, 100, 108).tolist() != want or len(lengths) == 0
 
 
 def test_written_blocks_read_back(spark):
@@ -58,9 +109,9 @@ def test_written_blocks_read_back(spark):
 
 
 def test_one_document_of_a_block(spark, tmp_path):
-    path = f"file://{tmp_path}/blocks"
-    repair.write_blocks(docs(spark, ODD), path, shards=1, block_tokens=500)
-    rows = [r.asDict() for r in spark.read.parquet(path).orderBy("shard", "block").collect()]
+    path = f"file://{tmp_path}/shards"
+    repair.write_shards(docs(spark, ODD), path, partitions=1, shard_tokens=500)
+    rows = [r.asDict() for r in spark.read.parquet(path).orderBy("part", "shard").collect()]
     want = plain(ODD)
     assert len(rows) > 1
     for row in rows:
