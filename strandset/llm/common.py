@@ -15,13 +15,13 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (tests on
-    one machine) a temporary folder is made and set for the rest of the session.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a session on one
+    machine (tests) gets a temporary folder, and a cluster an error.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="strandset-")
         spark.conf.set(CHECKPOINT_CONF, path)
     return path.rstrip("/")
@@ -35,7 +35,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back (cuts the lineage)."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove tables of :func:`materialize` that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out, k = f"_{name}", 0
+    while out in taken:
+        out, k = f"_{name}{k}", k + 1
+    return out
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,18 @@
 """SimHash fingerprints and their near-duplicate classes by a binary trie self-join.
 
-The fingerprints form a binary trie (most significant bit first).  A self-join walks
-pairs of nodes of equal depth together, from the pair (root, root): it adds up the bits
-in which the two prefixes differ and drops a pair beyond the budget.  The walk has two
-parts.  The top of the trie, cut where a subtree holds at most ``leaf_rows`` distinct
-fingerprints, is walked over counts only; it yields the pairs of subtrees that can hold a
-link.  Spark then gathers each such pair of subtrees in one task group, where the walk
-goes on over sorted arrays (a node is a range).  A fingerprint can have at most 2,080
-others within two bits, and a group keeps only a spanning forest of its links, so a class
-of any size gives fewer links than copies.  Classes come from alternating large-star and
-small-star steps over the links, never on the driver.
+A trie's self-join walks pairs of nodes of equal depth together, from the pair (root,
+root): it adds up the bits in which the two prefixes differ and drops a pair beyond the
+budget.  With a budget of ``b`` differing bits there are ``b + 1`` tries, each over the
+fingerprints with another third (for two bits) of their bits in front: of two linked
+fingerprints at least one such part is equal, so in one trie both are below one node at
+that depth, and the walk of each trie begins at the pairs (node, node) there.  The nodes
+are dealt to Spark's tasks by their prefix; pairs of nodes that hold more than
+``leaf_rows`` fingerprints are walked on, ``STEP`` bits at a time, by DataFrame functions
+until they are small, so no task holds a node of unbounded size.  In a task the walk goes
+on over sorted arrays, where a node is a range, all node pairs of a level at once.  A task
+keeps only a spanning forest of its links, so a class of any size gives fewer links than
+copies.  Classes come from alternating large-star and small-star steps over the links; what
+meets a node of very many links is sent to it by broadcast of at most a thousand rows.
 
 Defined results: null text counts as empty, and a text without words has fingerprint zero,
 linked like any other; equal rows share a class; an empty table gives no rows; rows with a
@@ -22,19 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import discard, fresh_name, materialize, parts
 
 SHINGLE = 3
 BUDGET = 2
 BITS = 64
 LEAF_ROWS = 16_384
-#: The cut goes to at most this many bits below what evenly spread fingerprints need.
-EXTRA_DEPTH = 6
+STEP = 6
+#: At most so many node pairs are too large for a task at a time (larger tables have larger tasks).
+MOST_LARGE = 100_000
 
 
 def fingerprint_of(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -75,93 +78,37 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # --- walking the trie ------------------------------------------------------------------
 
 
-def cut_trie(prefixes: dict[int, int], depth: int, leaf_rows: int) -> list[tuple[int, int]]:
-    """Leaves ``(prefix, depth)`` of the trie over counted ``depth``-bit prefixes."""
-    level = {0: sum(prefixes.values())}
-    out: list[tuple[int, int]] = []
-    for d in range(depth + 1):
-        deeper: set[int] = set()
-        for p, n in level.items():
-            if n <= leaf_rows or d == depth:
-                out.append((p, d))
-            else:
-                deeper.add(p)
-        if not deeper:
-            break
-        level = {}
-        for q, n in prefixes.items():
-            if (q >> (depth - d)) in deeper:
-                key = q >> (depth - d - 1)
-                level[key] = level.get(key, 0) + n
-    return out
-
-
-def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs ``i <= j`` of leaves whose common bits differ in at most ``budget`` places."""
-    if not leaves:
-        return []
-    at = {leaf: i for i, leaf in enumerate(leaves)}
-    inner = {(p >> k, d - k) for p, d in leaves for k in range(1, d + 1)}
-    pairs: set[tuple[int, int]] = set()
-    walk = [((0, 0), (0, 0), 0)]
-    while walk:
-        a, b, diff = walk.pop()
-        if a in at and b in at:
-            pairs.add((min(at[a], at[b]), max(at[a], at[b])))
-            continue
-        # a side that has ended stays while the other goes down; those bits are free
-        left = [a] if a in at else [(2 * a[0] + k, a[1] + 1) for k in (0, 1)]
-        right = [b] if b in at else [(2 * b[0] + k, b[1] + 1) for k in (0, 1)]
-        for x in left:
-            for y in right:
-                if (x not in at and x not in inner) or (y not in at and y not in inner):
-                    continue
-                step = diff + ((x[0] ^ y[0]) & 1 if x[1] == y[1] and x != a and y != b else 0)
-                if step <= budget and (a != b or x <= y):
-                    walk.append((x, y, step))
-    return sorted(pairs)
-
-
-def trie_links(left: np.ndarray, right: np.ndarray, budget: int = BUDGET, same: bool = False, depth: int = 0, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Indices ``(i, j)`` of sorted distinct uint64 arrays that differ in at most ``budget`` bits.
-
-    Node pairs are walked level by level, all pairs of a level at once.  A node is a range
-    of its array.  Pairs of nodes with few fingerprints are compared one by one.
+def trie_links(values: np.ndarray, roots: np.ndarray, budget: int = BUDGET, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Indices ``i < j`` of ``values`` (uint64) that differ in at most ``budget`` bits.
+
+    ``roots`` holds node pairs ``lo, hi, lo, hi``: ranges of ``values`` that are sorted in
+    themselves; a range paired with itself gives the links inside it.  Node pairs are walked
+    level by level, all pairs of a level at once; pairs of nodes with few fingerprints are
+    compared one by one.
     """
-    found_i, found_j = [], []
-    if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    nodes = np.array([[0, len(left), 0, len(right), 0]], np.int64)
-    for bit in range(BITS - 1 - depth, -2, -1):
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    nodes = np.column_stack([roots, np.zeros(len(roots), np.int64)]).astype(np.int64)
+    for bit in range(BITS - 1, -2, -1):
         few = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2]) <= small
         if bit < 0:
             few[:] = True
-        for i, j in _compare(nodes[few], left, right, budget, same):
+        for i, j in _compare(nodes[few], values, budget):
             found_i.append(i)
             found_j.append(j)
         nodes = nodes[~few]
         if not len(nodes):
             break
-        mask = np.uint64(1 << bit)
-        ones_l = np.concatenate(([0], np.cumsum((left & mask) != 0)))
-        ones_r = np.concatenate(([0], np.cumsum((right & mask) != 0)))
-        mid_l = nodes[:, 1] - (ones_l[nodes[:, 1]] - ones_l[nodes[:, 0]])
-        mid_r = nodes[:, 3] - (ones_r[nodes[:, 3]] - ones_r[nodes[:, 2]])
+        ones = np.concatenate(([0], np.cumsum((values & np.uint64(1 << bit)) != 0)))
         lo_l, hi_l, lo_r, hi_r, diff = nodes.T
-        children = [(lo_l, mid_l, lo_r, mid_r, diff), (mid_l, hi_l, mid_r, hi_r, diff), (lo_l, mid_l, mid_r, hi_r, diff + 1)]
-        crossed = (mid_l, hi_l, lo_r, mid_r, diff + 1)
-        parts = [np.stack(c, 1) for c in children]
-        other = np.stack(crossed, 1)
-        if same:  # a node with itself: its two crossed pairs are one
-            other = other[(lo_l != lo_r) | (hi_l != hi_r)]
-        nodes = np.concatenate([*parts, other])
+        mid_l, mid_r = hi_l - (ones[hi_l] - ones[lo_l]), hi_r - (ones[hi_r] - ones[lo_r])
+        crossed = np.stack([mid_l, hi_l, lo_r, mid_r, diff + 1], 1)
+        crossed = crossed[(lo_l != lo_r) | (hi_l != hi_r)]  # a node with itself: its two crossed pairs are one
+        nodes = np.concatenate([np.stack(c, 1) for c in ((lo_l, mid_l, lo_r, mid_r, diff), (mid_l, hi_l, mid_r, hi_r, diff), (lo_l, mid_l, mid_r, hi_r, diff + 1))] + [crossed])
         nodes = nodes[(nodes[:, 4] <= budget) & (nodes[:, 1] > nodes[:, 0]) & (nodes[:, 3] > nodes[:, 2])]
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _compare(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int, same: bool, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compare(nodes: np.ndarray, values: np.ndarray, budget: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
     at = 0
     while at < len(nodes):
@@ -172,9 +119,7 @@ def _compare(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int
         k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         width = (part[:, 3] - part[:, 2])[which]
         i, j = part[which, 0] + k // width, part[which, 2] + k % width
-        near = np.bitwise_count(left[i] ^ right[j]) <= budget
-        if same:
-            near &= i < j
+        near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
         yield i[near], j[near]
 
 
@@ -194,66 +139,127 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return label[at], at
 
 
+def _rotated(bits: int) -> Column:
+    return F.col("fp") if not bits else F.shiftleft("fp", bits).bitwiseOR(F.shiftrightunsigned("fp", BITS - bits))
+
+
+def node_pairs(distinct: DataFrame, budget: int = BUDGET, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``trie, a, b, side, v``: the fingerprints ``v`` (bits turned as in the trie) of every node
+    pair ``(a, b)`` left to walk; ``side`` tells which of the two nodes holds ``v``."""
+    tries = budget + 1  # one bit of budget at least: equal fingerprints are one row
+    cuts = [k * BITS // tries for k in range(tries + 1)]
+    turned = F.array(*[F.struct(F.lit(k).alias("trie"), _rotated(cuts[k]).alias("v"), F.lit(cuts[k + 1] - cuts[k]).alias("depth")) for k in range(tries)])
+    rows = distinct.select(F.explode(turned).alias("t")).select("t.*")
+    node = F.expr(f"shiftrightunsigned(v, {BITS} - depth)")
+    rows = rows.select("trie", "depth", node.alias("a"), node.alias("b"), F.lit(0).alias("side"), "v")
+    key = ["trie", "depth", "a", "b"]
+    masks = F.array(*[F.lit(m) for m in range(1 << STEP) if m.bit_count() <= budget])
+    total, done = None, []
+    while True:
+        held = rows.groupBy(*key).agg(F.count("*").alias("n"))
+        if total is None:
+            total = distinct.count() * tries
+        large = held.where(F.col("n") > max(2 * leaf_rows, total // MOST_LARGE)).where(F.col("depth") < BITS).select(*key)
+        large = materialize(large, "large")  # at most MOST_LARGE rows
+        if large.isEmpty():
+            break
+        done.append(rows.join(F.broadcast(large), key, "left_anti"))
+        # each fingerprint of a large pair goes to the pairs of its child with the near children of the other node
+        deeper = F.least(F.col("depth") + STEP, F.lit(BITS))
+        child = F.expr(f"shiftrightunsigned(v, {BITS} - deeper)")
+        other = F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a"))
+        split = rows.join(F.broadcast(large), key).withColumn("deeper", deeper).withColumn("child", child)
+        split = split.withColumn("mask", F.explode(masks)).withColumn("step", F.col("deeper") - F.col("depth")).where("mask < shiftleft(1, step)")
+        split = split.withColumn("o", other).withColumn("other", F.expr("shiftleft(o, step) | ((child & (shiftleft(1L, step) - 1L)) ^ mask)"))
+        split = split.where(F.expr(f"bit_count(child ^ other) <= {budget}"))
+        first = F.when(F.col("a") == F.col("b"), F.col("child") <= F.col("other")).otherwise(F.col("side") == 0)
+        rows = split.select("trie", F.col("deeper").alias("depth"), F.when(first, F.col("child")).otherwise(F.col("other")).alias("a"), F.when(first, 0).otherwise(1).alias("side"), "v", F.when(first, F.col("other")).otherwise(F.col("child")).alias("b"))
+        rows = materialize(rows, "nodes")
+    out = rows
+    for part in done:
+        out = out.unionByName(part)
+    return out.select("trie", "depth", "a", "b", "side", "v")
+
+
 def near_links(distinct: DataFrame, budget: int = BUDGET, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp``, enough to join each class."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    if not n:
-        return spark.createDataFrame([], "a long, b long")
-    leaf = max(min(leaf_rows, n // 64), 64)
-    depth = min(max(1, (n // leaf).bit_length() + EXTRA_DEPTH), 40)
-    # counts at the depth of the cut: their number follows n / leaf_rows, not n
-    prefix = F.shiftrightunsigned("fp", BITS - depth)
-    counted = distinct.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()
-    leaves = cut_trie({r["p"]: r["n"] for r in counted}, depth, leaf)
-    pairs = leaf_pairs(leaves, budget)
-    by_pair = pd.DataFrame([(i, k, s) for k, (a, b) in enumerate(pairs) for i, s in {(a, 0), (b, 1 if b != a else 0)}], columns=["leaf", "pair", "side"])
-    lows = np.array([p << (BITS - d) if d else 0 for p, d in leaves], np.uint64)
-    order = np.argsort(lows)
-    lows = lows[order]
-    of_leaf = {i: g[["pair", "side"]].to_numpy(np.int64) for i, g in by_pair.groupby("leaf")}
-    shared = spark.sparkContext.broadcast((lows, order, of_leaf))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, order, of_leaf = shared.value
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            own = order[np.searchsorted(lows, fp.view(np.uint64), side="right") - 1]
-            for i in np.unique(own):
-                mine, to = fp[own == i], of_leaf[i]
-                cols = [np.tile(to[:, 0], len(mine)), np.tile(to[:, 1], len(mine)), np.repeat(mine, len(to))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pair", "side", "fp"])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.sort(pdf.fp[pdf.side == s].to_numpy().view(np.uint64)) for s in (0, 1)]
-        same = not len(sides[1]) and pdf.pair.iloc[0] in own_pairs.value
-        left, right = (sides[0], sides[0]) if same else sides
-        i, j = trie_links(left, right, budget, same)
-        both = left if same else np.concatenate([left, right])
-        a, b = spanning(i, j if same else j + len(left), len(both))
-        return pd.DataFrame({"a": both[a].view(np.int64), "b": both[b].view(np.int64)})
-
-    own_pairs = spark.sparkContext.broadcast({k for k, (a, b) in enumerate(pairs) if a == b})
-    sent = distinct.select("fp").mapInArrow(send, "pair long, side long, fp long")
-    return sent.groupBy("pair").applyInPandas(join, "a long, b long")
+    tries = budget + 1
+    cuts = np.array([k * BITS // tries for k in range(tries)], np.uint64)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _with_end(batches):
+            cols = None if batch is None else [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+            if rest is not None:
+                cols = rest if cols is None else [np.concatenate(p) for p in zip(rest, cols)]
+            if cols is None:
+                return
+            n = len(cols[0])
+            new = np.ones(n, bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+            begin = np.flatnonzero(new)
+            if batch is not None:  # the last node pair may go on in the next batch
+                rest = [c[begin[-1] :].copy() for c in cols] if n else cols
+                cols, begin = [c[: begin[-1]] for c in cols] if n else cols, begin[:-1]
+            end = np.append(begin[1:], len(cols[0])) if len(begin) else begin
+            begin, end = begin[end - begin > 1], end[end - begin > 1]
+            if not len(begin):
+                continue
+            v = cols[5].view(np.uint64)
+            right = np.concatenate(([0], np.cumsum(cols[4] != 0)))
+            middle = end - (right[end] - right[begin])
+            own = cols[2][begin] == cols[3][begin]
+            roots = np.stack([begin, np.where(own, end, middle), np.where(own, begin, middle), end], 1)
+            i, j = trie_links(v, roots[(roots[:, 1] > roots[:, 0]) & (roots[:, 3] > roots[:, 2])], budget)
+            turn = cuts[cols[0]]
+            back = (v >> turn) | np.where(turn > 0, v << ((np.uint64(BITS) - turn) & np.uint64(BITS - 1)), np.uint64(0))
+            a, b = spanning(i, j, len(v))
+            yield pa.RecordBatch.from_arrays([pa.array(back[a].view(np.int64)), pa.array(back[b].view(np.int64))], ["a", "b"])
+
+    key = ["trie", "depth", "a", "b"]
+    pairs = node_pairs(distinct.select("fp"), budget, leaf_rows)
+    # within a side the trie's order is that of unsigned numbers
+    dealt = pairs.repartition(*key).sortWithinPartitions(*key, "side", (F.col("v") < 0), "v")
+    return dealt.mapInArrow(walk, "a long, b long")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _with_least(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v) with the least ``v`` of each ``u`` as ``m``.
+
+    Nodes with more than a 500th of the rows are few; they go by broadcast, so no task gets all rows of one.
+    """
+    least = materialize(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    limit = max(64, total // 500)
+    if least.where(F.col("n") > limit).isEmpty():
+        return rows.join(least.drop("n"), "u")
+    heavy = F.broadcast(least.where(F.col("n") > limit).drop("n"))  # at most 1,000 rows
+    rest = rows.join(heavy.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).drop("n"), "u")
+    return rows.join(heavy, "u").unionByName(rest)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``links`` (a, b): alternating large- and small-star steps."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    print_of = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).alias("s")
+    stats = edges.agg(print_of).first().s
     for _ in range(max_rounds):
         # large star: the larger neighbours of a node go to its least neighbour
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, 2 * stats.n).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = materialize(large.distinct(), "large")
         # small star: the smaller neighbours of a node, and itself, go to the least of them
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small_least, "u")
-        small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
+        moved = _with_least(large, stats.n)
+        small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(moved.where("v = m").select("u", "v"))
         new = materialize(small.where("u <> v").distinct(), "links")
-        stats = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, new)]
+        before, stats = stats, new.agg(print_of).first().s
+        discard(edges, large)
         edges = new
-        if stats[0] == stats[1]:
+        if before == stats:
             break
     else:
         raise RuntimeError("classes did not settle")
@@ -284,5 +290,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     from .nearset import set_classes
 
-    kept = set_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = set_classes(docs).groupBy("doc_id").agg(F.max(kept).alias("kept")).where("NOT kept")
+    id_ = fresh_name(docs, "id")
+    gone = materialize(gone.select(F.col("doc_id").alias(id_)), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")

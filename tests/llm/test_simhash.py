@@ -65,40 +65,65 @@ def test_fingerprint_is_sparks_xxhash64(spark):
     assert simhash.fingerprint_of(b"ONE") == one
 
 
+def near_values(seed, n, centres):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, centres, dtype=np.uint64)
+    near = base[rng.integers(0, centres, n)] ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
+    return np.unique(np.concatenate([base, near]))
+
+
+def all_links(x, budget=2):
+    return {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if int(x[a] ^ x[b]).bit_count() <= budget}
+
+
 def test_trie_links_equal_all_pairs():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    near = base[rng.integers(0, 40, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))
-    x = np.unique(np.concatenate([base, near]))
-    i, j = simhash.trie_links(x, x, 2, same=True, small=4)
-    want = {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if int(x[a] ^ x[b]).bit_count() <= 2}
-    assert set(zip(i.tolist(), j.tolist())) == want
-    left, right = x[::2], x[1::2]
-    i, j = simhash.trie_links(left, right, 2, small=1)
-    want = {(a, b) for a in range(len(left)) for b in range(len(right)) if int(left[a] ^ right[b]).bit_count() <= 2}
-    assert set(zip(i.tolist(), j.tolist())) == want
-
-
-def test_cut_trie_covers_all_near_pairs():
-    rng = np.random.default_rng(4)
-    x = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) >> np.uint64(3))
-    depth = 8
-    counts = {}
-    for p in (x >> np.uint64(64 - depth)).tolist():
-        counts[p] = counts.get(p, 0) + 1
-    leaves = simhash.cut_trie(counts, depth, 40)
-    pairs = set(simhash.leaf_pairs(leaves, 2))
-    lows = [p << (64 - d) for p, d in leaves]
-
-    def leaf(v):
-        return max((lo, i) for i, lo in enumerate(lows) if lo <= v)[1]
-
-    for v in x[:60].tolist():
-        for b in range(64):
-            for c in range(0, 64, 7):
-                w = v ^ (1 << b) ^ (1 << c)
-                if (w >> (64 - depth)) in counts:
-                    assert tuple(sorted((leaf(v), leaf(w)))) in pairs
+    x = near_values(2, 400, 40)
+    i, j = simhash.trie_links(x, np.array([[0, len(x), 0, len(x)]]), 2, small=4)
+    assert set(zip(i.tolist(), j.tolist())) == all_links(x)
+    both = np.concatenate([x[::2], x[1::2]])  # two nodes side by side
+    m = len(x[::2])
+    i, j = simhash.trie_links(both, np.array([[0, m, m, len(both)]]), 2, small=1)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in all_links(both) if a < m <= b}
+
+
+def joined(links, values):
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups = {}
+    for v in values:
+        groups.setdefault(find(v), set()).add(v)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_near_links_equal_all_pairs_at_every_node_size(spark):
+    x = near_values(3, 300, 12)
+    x = np.unique(np.concatenate([x, x & np.uint64((1 << 20) - 1)]))  # many share their first bits
+    values = x.view(np.int64).tolist()
+    want = joined([(values[a], values[b]) for a, b in all_links(x)], values)
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(4)
+    for rows in (16_384, 20, 2):
+        got = [(r.a, r.b) for r in simhash.near_links(df, leaf_rows=rows).collect()]
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in got) and joined(got, values) == want
+    assert simhash.near_links(df.limit(0)).count() == 0
+
+
+def test_large_node_pairs_are_split(spark):
+    x = (near_values(5, 200, 3) & np.uint64((1 << 40) - 1)).view(np.int64).tolist()
+    df = spark.createDataFrame([(v,) for v in sorted(set(x))], "fp long")
+    pairs = simhash.node_pairs(df, leaf_rows=8).groupBy("trie", "depth", "a", "b").count().agg(F.max("count"), F.max("depth")).first()
+    assert pairs[0] <= 16 and pairs[1] > 22
+
+
+def test_hub_is_one_class(spark):
+    links = spark.range(1, 3000).selectExpr("id AS a", "IF(id % 2 = 0, 0, 5000) AS b").union(spark.sql("SELECT 5000L, 4L"))
+    assert simhash.components(links).groupBy("root").count().collect() == [(0, 3000)]
 
 
 def test_chain_is_one_class(spark):
