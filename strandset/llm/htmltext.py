@@ -3,8 +3,12 @@
 A page is cut into blocks at block-level tags.  The first pass classifies a block by its
 length, its share of characters in links and its share of stop words as good, bad, nearly
 good, or short; what stands in navigation, footers, side bars, forms, adverts, notices or
-reader comments (by tag, class, id or role) is bad at once.  In the second pass nearly
-good and short blocks take the label of the nearest decided blocks before and after them;
+reader comments (by tag, class, id or role) is bad at once.  Class names of the page's
+state ("no-sidebar", "comments-open") and names on ``html``, ``body``, ``main`` and
+``article`` say nothing, nor does a name on an element that holds the page's main heading
+or article and most of its text.  Stop words of ``STOP_WORDS`` count; a page with next to
+none of them is in another language, and there ends of sentences stand in for them.  In
+the second pass nearly good and short blocks take the label of the nearest decided blocks before and after them;
 a heading goes with the good block it precedes.  Where a page marks its article, blocks
 outside it are bad and cannot pass labels into it, and a short block without decided
 neighbours inside it is good.
@@ -39,6 +43,26 @@ STOP_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er",
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus",
+    "it": "di che e la il un a per in una non sono mi ho si lo ma con le ha i da del della come anche più gli nel",
+    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem",
+    "nl": "de het een en van ik te dat die in je niet zijn is was op aan met als voor had er maar om hem dan zou",
+    "sv": "och det att i en jag hon som han på den med var sig för så till är men ett om hade de av icke mig du",
+    "da": "og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om vi min havde",
+    "pl": "i w się z na nie do to że jest a o jak po za co ale od przez dla tak był tym już może tylko być jego",
+    "cs": "a se v na je že o s z do i to k ve pro za by ale si po jako podle od jsem tak jen jeho který nebo už",
+    "ro": "de și în a la cu pe care nu o din este un mai să au ce pentru s-a fost prin sunt dar lui ale după",
+    "hu": "a az és hogy nem is egy ez de azt csak meg volt van ha mint már még el vagy ki kell lesz nagyon",
+    "fi": "ja on ei että se hän oli en mutta ovat kun niin myös sen joka mitä kuin tai nyt vain jos ole",
+    "tr": "ve bir bu da de için ile ne o ben mi çok gibi daha ama var olan olarak kadar sonra en her değil",
+    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой от о так для ты же все",
+    "uk": "і в не на що я з до він у це та як за по від але про або його так для вона ми було який",
+    "bg": "и на да се в за от е не с че по са до си като но ще това бе му са или при",
+    "el": "και το να του η της με που την από για τα είναι των σε ο οι στο θα τη στην δεν ένα μια αυτό",
+    "ar": "في من على أن إلى التي عن لا ما هذا هذه كان مع الذي أو بعد قد كما لم بين كل قال و هو هي",
+    "he": "של את על לא זה הוא היא עם אני כי גם או אם יש כל אל מה היה הם אבל רק עד כך",
+    "hi": "के में है की से को का और पर ने एक यह कि हैं नहीं इस भी हो था तो जो ही कर लिए",
+    "vi": "và của là có không được cho trong các một người với những này để đã khi từ về như ra thì cũng",
+    "id": "yang dan di ini itu dengan untuk tidak dari dalam akan pada juga saya ke karena bisa ada mereka atau",
 }
 STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
@@ -52,6 +76,9 @@ BAD_NAMES = frozenset(
     " sidebar sidenav widget nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus replies reply respond share sharing social"
     " related recommended newsletter subscribe subscription login signin signup search searchbox form copyright pager pagination toolbar skip".split()
 )
+#: Words of a class name that tell the page's state or layout, not what the element holds.
+STATE_NAMES = frozenset("no not has have with without is are open opened closed enabled disabled hide hidden show left right single layout template active inactive main content page post entry".split())
+SAFE_TAGS = frozenset("html body main article".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
@@ -59,6 +86,10 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 NAME = re.compile(r"[A-Za-z]+")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "audio", "video")}
 PLAIN = re.compile(r"[^\W_]+")
+SENTENCE_END = re.compile(r"[.!?…。！？।؟](?:\W|$)")
+#: A page with a smaller share of stop words is in a language without a list.
+STOP_KNOWN = 0.02
+PART_LOW, PART_HIGH = 0.25, 0.6
 
 
 @dataclass
@@ -68,24 +99,28 @@ class Block:
     heading: bool
     bad: bool  # inside boilerplate
     article: int  # number of the article around it, or -1
+    named: tuple = ()  # numbers of the elements around it that are boilerplate by name only
 
 
-def _is_bad(tag: str, attributes: str, inside: bool) -> bool:
+def _is_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether only a name says so."""
     if tag in BAD_TAGS or (tag == "header" and not inside):
-        return True
+        return True, False
     if not attributes:
-        return False
+        return False, False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            words = set(NAME.findall(value))
-            if words & BAD_NAMES or ("header" in words and not inside):
-                return True
+        if name in ("class", "id") and tag not in SAFE_TAGS:
+            for one in value.split():
+                words = set(NAME.findall(one))
+                if not words & STATE_NAMES and (words & BAD_NAMES or ("header" in words and not inside)):
+                    named = True
         elif name == "role" and value in BAD_ROLES:
-            return True
+            return True, False
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+            return True, False
+    return named, named
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -93,17 +128,18 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, bad, article
-    links, articles = 0, 0
+    stack: list[tuple[str, bool, int, tuple]] = []  # tag, bad, article, elements bad by name
+    links, articles, elements = 0, 0, 0
+    holders: set[int] = set()  # elements bad by name around an article or the main heading
 
     def squeeze(parts: list[str]) -> str:
         return " ".join(html_lib.unescape("".join(parts)).split())
 
     def close() -> None:
         if text and (whole := squeeze(text)):
-            heading = any(t in HEADINGS for t, _, _ in stack)
-            bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
-            out.append(Block(whole, len(squeeze(linked)), heading, bad, article))
+            heading = any(t[0] in HEADINGS for t in stack)
+            bad, article, named = stack[-1][1:] if stack else (False, -1, ())
+            out.append(Block(whole, len(squeeze(linked)), heading, bad, article, named))
         text.clear()
         linked.clear()
 
@@ -142,34 +178,72 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS or tag in HIDDEN_TAGS or tag == "span":
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()  # a paragraph ends where the next begins
-            bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
+            bad, article, named = stack[-1][1:] if stack else (False, -1, ())
             main = tag in ("article", "main") or 'role="main"' in attributes or "articlebody" in attributes.lower()
+            if main or tag == "h1":
+                holders.update(named)
             if main and not bad and article < 0:
                 article, articles = articles, articles + 1
-            bad = bad or tag in HIDDEN_TAGS or _is_bad(tag, attributes, article >= 0)
-            stack.append((tag, bad, article))
+            ill, by_name = _is_bad(tag, attributes, article >= 0)
+            if by_name:
+                elements += 1
+                named = (*named, elements)
+            else:
+                bad = bad or tag in HIDDEN_TAGS or ill
+            stack.append((tag, bad, article, named))
     close()
-    return out
+    return judged(out, holders)
 
 
-def classify(block: Block) -> str:
+def judged(blocks: list[Block], holders: set[int]) -> list[Block]:
+    """Blocks in elements that are boilerplate by name are bad, unless that element holds an
+    article or the main heading and most of the text outside other boilerplate."""
+    size: dict[int, int] = {}
+    for b in blocks:
+        for e in b.named if not b.bad else ():
+            size[e] = size.get(e, 0) + len(b.text)
+    total = sum(len(b.text) for b in blocks if not b.bad)
+    fine = {e for e in holders if 2 * size.get(e, 0) > total}
+    for b in blocks:
+        b.bad = b.bad or any(e not in fine for e in b.named)
+    return blocks
+
+
+def stop_share(text: str) -> float:
+    words = [w.lower() for w in PLAIN.findall(text)]
+    return sum(w in STOP for w in words) / max(1, len(words))
+
+
+def stop_limits(blocks: list[Block]) -> tuple[float, float] | None:
+    """Low and high share of stop words on this page, or None if its language has no list.
+
+    Languages differ in how many small words they need, so the limits are at most a part of
+    what the page's longer blocks have together.
+    """
+    share = stop_share(" ".join(b.text for b in blocks if not b.bad and len(b.text) >= LENGTH_LOW and b.linked <= MAX_LINKS * len(b.text)))
+    return None if share < STOP_KNOWN else (min(STOP_LOW, share * PART_LOW), min(STOP_HIGH, share * PART_HIGH))
+
+
+def classify(block: Block, limits: tuple[float, float] | None = (STOP_LOW, STOP_HIGH)) -> str:
     """First pass: good, bad, near or short."""
     n = len(block.text)
     if block.bad or block.linked > MAX_LINKS * n:
         return "bad"
     if n < LENGTH_LOW:
         return "bad" if block.linked else "short"
-    words = [w.lower() for w in PLAIN.findall(block.text)]
-    stop = sum(w in STOP for w in words) / max(1, len(words))
-    if stop >= STOP_HIGH:
+    if limits is None:
+        return "near" if not SENTENCE_END.search(block.text) or n <= LENGTH_HIGH else "good"
+    stop = stop_share(block.text)
+    if stop >= limits[1]:
         return "good" if n > LENGTH_HIGH else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return "near" if stop >= limits[0] else "bad"
 
 
 def label(blocks: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     marked = any(b.article >= 0 and not b.bad for b in blocks)
-    first = [classify(b) for b in blocks]
+    limits = stop_limits(blocks)
+    first = [classify(b, limits) for b in blocks]
     if marked:
         for k, b in enumerate(blocks):
             if b.article < 0:

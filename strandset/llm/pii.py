@@ -2,21 +2,29 @@
 
 Generators propose spans by pattern; spans of different generators may overlap.  Those
 that meet the base rules (email, ip, card, phone) always stay.  For the rest, boosted trees
-score each span by its format (length, share of digits, kinds of characters) and context
-(the characters beside it, a telling word before it); all features are small whole
-numbers, so the trees are fitted on counts by feature cell over *all* documents: at most
-``CELLS`` rows reach the driver, whatever the corpus.  A cell's target is how many of its
-spans a strict rule confirms (base rule, or a credential's form or assignment).  For each
-generator the threshold is the least score at which the confirmed share of what is above
-it reaches ``PRECISION``.  Spans above it are added where no stronger span overlaps.
+score each span by its format (length, share of digits, kinds of characters, separators,
+equal groups) and context (the characters beside it, digits just before it).
+
+The trees learn from evidence that is neither the pattern nor a feature: a word before the
+span that says what it is ("tel", "password =", a country code) or that it is something
+else ("ISBN", "pages", a currency sign), a checksum, the make-up of an assigned value.  A
+span with evidence for it is a 1, with evidence against it a 0, and most have none and are
+only scored.  All features are small whole numbers, so the trees are fitted on counts by
+feature cell over *all* documents: at most ``CELLS`` rows for each of two folds reach the
+driver, whatever the corpus.  One document in ``FOLDS`` (by hash) is held out of the trees;
+for each generator the threshold is the least score at which the share of 1s among what
+its held-out labelled spans have above it is ``PRECISION`` (among all labelled spans where
+fewer than ``LEAST_HELD_OUT`` are held out; without labelled spans it takes none).
+
+A span above its threshold and without evidence against it is added unless it meets a
+base span; of added spans that meet, going by place, the one with the higher score stays.
 
 All of it is DataFrame functions; the trees are CASE expressions.  Rows are independent
 but for the counts, which are partly aggregated before their small shuffle.
 
 Defined results: null text counts as empty; a text without spans gives zero counts and empty
 strings; repeated rows are searched each; an empty table gives no rows; other columns are
-ignored.  Places are code points, ends exclusive.  Joining the spans of one text costs the
-square of their number.
+ignored.  Places are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -43,11 +51,15 @@ GENERATORS = [
     ("phone", r"(?<![0-9.+])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9.])", r"[0-9][\x20./-][0-9]"),
 ]
 BASE = 4
-FEATURES = ["gen", "length", "digits", "mix", "left", "right", "hint"]
-LEVELS = [len(GENERATORS), 8, 5, 5, 4, 4, 2]
+FEATURES = ["gen", "length", "digits", "mix", "left", "right", "sep", "groups", "near"]
+LEVELS = [len(GENERATORS), 4, 4, 4, 3, 3, 4, 2, 2]
 CELLS = math.prod(LEVELS)
-HINT = r"(?i)(?:pass|pwd|secret|token|key|mail|contact|tel|phone|call|card|visa|account|login|address|ip)[^\w]*(?:\w+[^\w]+)?$"
+#: Words right before a span that say what it is, or that it is no personal data.
+PHONE_CUE = r"(?i)(?:\b(?:tel|telephone|telefon|phone|call|mobile|cell|fax|whatsapp)\b[^\w+]*|\+[0-9]{1,3}[\x20]?)$"
+SECRET_CUE = r"(?i)(?:password|passwd|pwd|secret|token|bearer|authorization|key)[\x20]*[=:]?[\x20]*\"?$"
+NO_PHONE_CUE = r"(?i)(?:\b(?:isbn|issn|doi|pages?|pp|seiten?|no|nr|num|order|invoice|serial|version|dates?|years?|usd|eur|chf)\b[^\w]*|[€$£]\x20?)$"
 PRECISION = 0.95
+FOLDS, LEAST_HELD_OUT = 5, 20
 TREES, DEPTH, RATE = 20, 3, 0.3
 
 
@@ -74,25 +86,47 @@ def _luhn(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
-def _confirmed(gen: int, m: Column) -> Column:
-    """The strict rule of a generator."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    n = F.length(digits)
-    if gen == 0:
-        return F.lit(True)
+def _base_rule(gen: int, m: Column) -> Column:
+    n = F.length(F.regexp_replace(m, "[^0-9]", ""))
     if gen == 1:
         return F.forall(F.split(m, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.right(p, F.lit(3)).try_cast("int") <= 255))
     if gen == 2:
-        return n.between(12, 19) & _luhn(digits)
-    if gen == 3:
-        return n.between(9, 15)
+        return n.between(12, 19) & _luhn(F.regexp_replace(m, "[^0-9]", ""))
+    return n.between(9, 15) if gen == 3 else F.lit(True)
+
+
+def _evidence(gen: int, m: Column, before: Column) -> Column:
+    """1: evidence that the span is what its generator proposes; 0: that it is not; -1: neither."""
+    if gen < BASE:
+        return F.when(_base_rule(gen, m), 1).otherwise(0)
+    if gen == 4:
+        value = F.regexp_replace(m, r"^[^=:]*[=:][\x20]*\"?|\"$", "")
+        return F.when(~value.rlike("[0-9]"), 0).when(value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 6), 1).otherwise(-1)
     if gen == 5:
-        return m.rlike(r"^(?:[A-Z]{4}[A-Z0-9]{16}|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=(?:[^0-9]*[0-9]){3}).{20,})$")
-    return F.lit(True)
+        worded = m.rlike(r"^(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/+]+(?:[A-Za-z]+|[0-9]{1,4}))*+$") & m.rlike("[-_/+]")
+        return F.when(m.rlike("^[0-9]+$") | worded | before.rlike(r"(?i)(?:/|https?:|www\.)$"), 0).when(before.rlike(SECRET_CUE), 1).otherwise(-1)
+    if gen == 6:
+        return F.when(m.rlike(r"(?:\.|[)\]])[\x20]?[A-Za-z]{2,6}$"), 1).otherwise(0)
+    years = m.rlike(r"^(?:1[5-9]|20)[0-9]{2}[^0-9]+(?:1[5-9]|20)[0-9]{2}[^0-9]+(?:1[5-9]|20)[0-9]{2}$")
+    return F.when(before.rlike(NO_PHONE_CUE) | years, 0).when(before.rlike(PHONE_CUE), 1).when(m.rlike(GROUPED), 0).otherwise(-1)
+
+
+#: A number in groups of three with one separator.
+GROUPED = r"^[0-9]{1,3}([.\x20/-])[0-9]{3}\1[0-9]{3}$"
 
 
 def _beside(c: Column) -> Column:
-    return F.when(c == "", 0).when(c.rlike(r"^\s$"), 1).when(c.rlike(r"^[\p{L}\p{N}]$"), 2).otherwise(3)
+    return F.when(c.rlike(r"^[\p{L}\p{N}]$"), 1).when((c == "") | c.rlike(r"^\s$"), 0).otherwise(2)
+
+
+def _features(gen: int, m: Column, before: Column, after: Column) -> list[Column]:
+    n = F.length(m)
+    digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
+    mix = sum((m.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]")), F.lit(0))
+    kinds = F.size(F.array_distinct(F.split(F.regexp_replace(m, "[A-Za-z0-9]", ""), "")))
+    sep = F.when(m.rlike(r"^[A-Za-z0-9]*$"), 0).when(m.rlike(r"[()]"), 3).when(kinds > 1, 2).otherwise(1)
+    length = F.when(n < 8, 0).when(n < 16, 1).when(n < 32, 2).otherwise(3)
+    return [F.lit(gen), length, F.least(F.floor(4 * digits / n), F.lit(3)), F.greatest(mix, F.lit(1)) - 1, _beside(F.right(before, F.lit(1))), _beside(after), sep, m.rlike(GROUPED).cast("int"), before.rlike("[0-9]").cast("int")]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -101,11 +135,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def described(gen: int) -> Column:
         def one(s: Column) -> Column:
-            m, n = s["m"], F.length(s["m"])
+            m = s["m"]
             before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-            mix = sum((m.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]")), F.lit(0))
-            values = [F.lit(gen), F.least(F.floor(n / 6), F.lit(7)), F.floor(4 * F.length(F.regexp_replace(m, "[^0-9]", "")) / n), mix, _beside(F.right(before, F.lit(1))), _beside(F.substring(text, s["end"] + 1, F.lit(1))), before.rlike(HINT).cast("int")]
-            return F.struct(F.lit(KINDS.index(GENERATORS[gen][0])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _confirmed(gen, m).alias("ok"), *[v.cast("int").alias(f) for v, f in zip(values, FEATURES)])
+            values = _features(gen, m, before, F.substring(text, s["end"] + 1, F.lit(1)))
+            return F.struct(F.lit(KINDS.index(GENERATORS[gen][0])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _evidence(gen, m, before).alias("label"), *[v.cast("int").alias(f) for v, f in zip(values, FEATURES)])
 
         return F.transform(_spans(text, gen), one)
 
@@ -149,8 +182,8 @@ def _apply(tree, x: tuple) -> float:
     return tree
 
 
-def fit_trees(cells: list[tuple[tuple, int, int]]) -> tuple[list, list[float]]:
-    """Trees, and the score threshold of each generator, from ``(features, n, confirmed)`` cells."""
+def fit_trees(cells: list[tuple[tuple, int, int]], held_out: list[tuple[tuple, int, int]] | None = None) -> tuple[list, list[float]]:
+    """Trees from ``(features, n, n of label 1)`` cells, and the score threshold of each generator from held-out cells."""
     cells = sorted(cells)
     x = [c[0] for c in cells]
     score = [0.0] * len(x)
@@ -164,7 +197,10 @@ def fit_trees(cells: list[tuple[tuple, int, int]]) -> tuple[list, list[float]]:
         score = [s + RATE * _apply(tree, xi) for s, xi in zip(score, x)]
     thresholds = []
     for gen in range(len(GENERATORS)):
-        own = sorted(((s, n, k) for s, (xi, n, k) in zip(score, cells) if xi[0] == gen), reverse=True)
+        own = [c for c in held_out or [] if c[0][0] == gen]
+        if sum(n for _, n, _ in own) < LEAST_HELD_OUT:
+            own = own + [c for c in cells if c[0][0] == gen]
+        own = sorted(((total_score(trees, xi), n, k) for xi, n, k in own), reverse=True)
         total = good = 0
         least = math.inf
         for i, (s, n, k) in enumerate(own):
@@ -175,39 +211,59 @@ def fit_trees(cells: list[tuple[tuple, int, int]]) -> tuple[list, list[float]]:
     return trees, thresholds
 
 
+def total_score(trees: list, x: tuple) -> float:
+    return RATE * sum(_apply(t, x) for t in trees)
+
+
 def _case(tree, span: Column) -> Column:
     if not isinstance(tree, tuple):
         return F.lit(float(tree))
     return F.when(span[FEATURES[tree[0]]] <= tree[1], _case(tree[2], span)).otherwise(_case(tree[3], span))
 
 
+def fit(found: DataFrame) -> tuple[list, list[float]]:
+    """Trees and thresholds from all labelled spans of ``found`` (as :func:`candidates` gives them)."""
+    fold = (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held")
+    each = found.select(fold, F.explode(F.filter("spans", lambda s: s["label"] >= 0)).alias("s")).select("held", "s.*")
+    counted = each.groupBy("held", *FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("k"))
+    rows = counted.collect()  # at most 2 * CELLS rows
+    cells = {held: [(tuple(r[f] for f in FEATURES), r.n, r.k) for r in rows if r.held == held] for held in (False, True)}
+    return fit_trees(cells[False] or cells[True], cells[True])
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, base, spans``: the base spans and all selected spans, each ``kind, start, end``."""
+    """``doc_id, base, spans``: the base spans and all selected spans, each ``start, kind, end``."""
     found = materialize(candidates(docs), "spans")
-    each = found.select(F.explode("spans").alias("s")).select("s.*")
-    counted = each.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("k"))
-    cells = [(tuple(r[f] for f in FEATURES), r["n"], r["k"]) for r in counted.collect()]  # at most CELLS rows
-    trees, thresholds = fit_trees(cells)
+    trees, thresholds = fit(found)
 
     def scored(s: Column) -> Column:
         total = sum((_case(t, s) for t in trees), F.lit(0.0)) * RATE
         least = F.lit(math.inf)
         for gen, value in enumerate(thresholds):
             least = F.when(s["gen"] == gen, F.lit(float(value))).otherwise(least)
-        base = (s["gen"] < BASE) & s["ok"]
-        # least places first on equal scores; a span's score is compared with a hair's tolerance
-        return F.struct((-total).alias("order"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), base.alias("base"), (total + 1e-9 >= least).alias("take"))
-
-    def meets(a: Column, b: Column) -> Column:
-        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+        base = (s["gen"] < BASE) & (s["label"] == 1)
+        # sums of the same trees are compared with a hair's tolerance
+        take = (s["gen"] >= BASE) & (s["label"] != 0) & (total + 1e-9 >= least)
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), base.alias("base"), take.alias("take"), F.round(total * 1e6).cast("long").alias("score"))
 
     def plain(s: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
 
-    rows = found.select("doc_id", F.transform("spans", scored).alias("s"))
-    rows = rows.select("doc_id", F.transform(F.filter("s", lambda s: s["base"]), plain).alias("base"), F.transform(F.array_sort(F.filter("s", lambda s: ~s["base"] & s["take"])), plain).alias("more"))
-    chosen = F.aggregate("more", F.col("base"), lambda acc, s: F.when(F.exists(acc, lambda b: meets(b, s)), acc).otherwise(F.concat(acc, F.array(s))))
-    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(chosen).alias("spans"))
+    rows = found.select("doc_id", F.array_sort(F.filter(F.transform("spans", scored), lambda s: s["base"] | s["take"])).alias("s"))
+    span = "struct<start:int,kind:int,end:int>"
+    nothing = F.lit(None).cast("struct<start:int,kind:int,end:int,base:boolean,take:boolean,score:bigint>")
+    begin = F.struct(F.array().cast(f"array<{span}>").alias("out"), nothing.alias("cur"), F.lit(0).alias("reach"))
+
+    def step(acc: Column, s: Column) -> Column:
+        cur = acc["cur"]
+        meets = F.coalesce(s["start"] < cur["end"], F.lit(False))
+        done = F.when(cur.isNotNull() & ~meets, F.concat(acc["out"], F.array(plain(cur)))).otherwise(acc["out"])
+        new = F.when(s["base"], nothing).when(s["start"] < acc["reach"], F.when(meets, cur).otherwise(nothing)).when(meets & (s["score"] <= cur["score"]), cur).otherwise(s)
+        return F.struct(done.alias("out"), new.alias("cur"), F.when(s["base"], F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"]).alias("reach"))
+
+    more = F.aggregate("s", begin, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(plain(acc["cur"])))))
+    base = F.transform(F.filter("s", lambda s: s["base"]), plain)
+    return rows.select("doc_id", base.alias("base"), F.array_sort(F.concat(base, more)).alias("spans"))
 
 
 def _joined(spans: str) -> Column:

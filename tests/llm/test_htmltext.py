@@ -1,5 +1,7 @@
 """Main text of pages with all the parts that must go."""
 
+import random
+
 from strandset.llm import htmltext as h
 
 LONG = "The river and the old stone bridge are in the valley, and the people of the village walk to it in the morning for the water and the view of the hills."
@@ -43,6 +45,52 @@ def test_second_pass_inherits():
     assert h.label([bad, near, good]) == [False, True, True] and h.label([bad, near, bad]) == [False] * 3
 
 
+def test_names_of_state_layout_and_page_say_nothing():
+    art = f"<p>{LONG} {TWO}</p>"
+    for before, after in (("<body class='single no-sidebar'>", ""), ("<body class='comments-open'>", ""), ("<div class='content has-sidebar'>", "</div>"), ("<main class='with-widget'>", "</main>"), ("<body id='page-menu'>", ""), ("<div class='widget-area'><h1>T</h1>", "</div>")):
+        assert f"{LONG} {TWO}" in h.main_text(f"<html>{before}{art}{after}</html>"), before
+    assert h.main_text(f"<body><div class='post'>{art}</div><div class='widget'>{art}</div></body>") == f"{LONG} {TWO}"
+    assert h.main_text(f"<body><article>{art}</article><div class='comment-list'><p>{LONG}</p><p>{TWO}</p><p>{LONG}</p></div></body>") == f"{LONG} {TWO}"
+
+
+def test_languages_with_and_without_a_list():
+    russian = "Река медленно течёт мимо старого дома, где жили три поколения рыбаков. Каждое утро туман поднимается над водой, и лодки уходят далеко за мыс. " * 3
+    unknown = "Wuku maraliti benu salakodo firumita zanu. Berokali tumisade wakoru lini fadu. Hemiraso tulakima berodani wuku sili. " * 3
+    chinese = "清晨的河水缓缓流过老房子，三代渔民曾经住在那里。雾气从水面升起，小船驶向远方。" * 8
+    for text in (russian, unknown, chinese):
+        assert h.main_text(f"<body><div><a href='/'>Menu</a></div><div><p>{text}</p></div><div>2020</div></body>") == " ".join(text.split())
+
+
+def plain_labels(blocks):
+    """Two passes without an article mark, looking for the nearest decided block each time."""
+    limits = h.stop_limits(blocks)
+    kinds = [h.classify(b, limits) for b in blocks]
+    out = []
+    for k, kind in enumerate(kinds):
+        before = next((x for x in reversed(kinds[:k]) if x in ("good", "bad")), "bad")
+        after = next((x for x in kinds[k + 1 :] if x in ("good", "bad")), "bad")
+        out.append({"good": True, "bad": False, "near": "good" in (before, after), "short": before == after == "good"}[kind])
+    for k, b in enumerate(blocks):  # a heading goes with the good block it precedes
+        if b.heading and kinds[k] == "short" and not out[k]:
+            reach = 0
+            for j in range(k + 1, len(blocks)):
+                if out[j] and not blocks[j].heading:
+                    out[k] = reach <= h.HEADING_REACH
+                    break
+                if blocks[j].bad:
+                    break
+                reach += len(blocks[j].text)
+    return out
+
+
+def test_labels_equal_a_plain_labeller():
+    rng = random.Random(4)
+    texts = [LONG + TWO, LONG, "x" * 300, "x y " * 30, "So.", "Title"]
+    for _ in range(400):
+        blocks = [h.Block(rng.choice(texts), rng.choice([0, 0, 0, 2]), rng.random() < 0.2, rng.random() < 0.15, -1) for _ in range(rng.randint(0, 12))]
+        assert h.label(blocks) == plain_labels(blocks)
+
+
 def test_broken_and_empty(spark):
     assert h.main_text(None) == "" and h.main_text("") == "" and h.main_text("<p") == ""
     assert h.main_text("<article>one <b>two &am three") == "one two &am three"
