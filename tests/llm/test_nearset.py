@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from strandset.llm import nearset, simhash
 
 
@@ -74,6 +76,20 @@ def test_kept_equal_all_pairs(spark):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want and len(want) < len(rows) - 80
 
 
+def test_bitmaps_never_refuse_a_similar_pair():
+    rng = np.random.default_rng(3)
+    refused = 0
+    for n in (0, 1, 5, 40, 700):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            keep = rng.random(len(a)) < rng.choice([1, 0.95, 0.9, 0.5, 0])
+            b = np.unique(np.concatenate([a[keep], rng.integers(0, 1 << 63, rng.integers(0, n // 8 + 1), dtype=np.uint64)]))
+            may = nearset.may_be_similar(nearset.bitmap(a), nearset.bitmap(b), len(a) + len(b))
+            assert may or not nearset.similar(a, b)
+            refused += not may
+    assert refused > 40
+
+
 def test_order_and_dealing_do_not_change_the_links(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
