@@ -40,7 +40,7 @@ def test_base_counts():
 def plain_kn(texts):
     """Modified Kneser-Ney by its definition, from one list of texts."""
     full = Counter(int(g) for t in texts for g in quality.gram_ids(t))
-    A, N = quality.ALPHABET, quality.ORDER
+    A, N = quality.VOCABULARY, quality.ORDER
     levels = {N: full}
     for n in range(N - 1, 0, -1):
         levels[n] = Counter(g % A**n for g in levels[n + 1])
@@ -71,17 +71,65 @@ def plain_kn(texts):
 def test_model_is_modified_kneser_ney(spark):
     texts = ["the cat sat on the mat", "the dog sat on the log.", "A cat, a dog!", None]
     df = spark.createDataFrame([(i, t, "en" if i else None, 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, c int")
-    counts = quality.count_grams(df.where("doc_id > 0"), ["en"])
+    counts = quality.count_grams(df.where("doc_id > 0"))
     model = quality.load_model(quality.kneser_ney(counts))
-    want = plain_kn(texts[1:3] + [None])
+    want = plain_kn(texts[1:3])
     seen = np.unique(np.concatenate([quality.gram_ids(t) for t in texts[1:3]]))
     unseen = quality.gram_ids("the zebra sat; 99 mats")
     for grams in (seen, unseen):
-        got = model.log_probability(0, grams)
+        got = model.log_probability("en", grams)
         assert np.allclose(got, [want(int(g)) for g in grams], atol=1e-5)
     # probabilities after a context add up to one
-    ctx = int(seen[len(seen) // 2]) // quality.ALPHABET * quality.ALPHABET
-    assert abs(np.exp(model.log_probability(0, np.arange(ctx, ctx + quality.ALPHABET))).sum() - 1) < 1e-4
+    ctx = int(seen[len(seen) // 2]) >> quality.BITS << quality.BITS
+    assert abs(np.exp(model.log_probability("en", np.arange(ctx, ctx + quality.VOCABULARY, dtype=np.uint64))).sum() - 1) < 1e-4
+
+
+def test_scripts_and_letters_differ():
+    grams = [set(quality.gram_ids(t)[3:].tolist()) for t in ("река", "рекЕ", "長い川辺", "αβγδ", "abcd", "abcD", "ab😀😁")]
+    assert len(set.union(*grams)) == sum(map(len, grams))
+    many = "".join(chr(0x4E00 + k) for k in range(600)) * 2
+    for text in (many, "plain text, plain text"):
+        ids, counts = quality.distinct_grams([quality.characters(text), quality.characters("x")])
+        assert dict(zip(ids.tolist(), counts.tolist())) == Counter(quality.gram_ids(text).tolist() + quality.gram_ids("x").tolist())
+
+
+def plain_judge(rows):
+    """Kept documents by the definition: own model and band for each language."""
+    out = {}
+    for lang in {x for _, _, x in rows}:
+        own = [(i, t or "") for i, t, x in rows if x == lang]
+        prob = plain_kn([t for _, t in own if t])
+        known = {}
+        ppl = {}
+        for i, t in own:
+            logs = [known.setdefault(int(g), prob(int(g))) for g in quality.gram_ids(t)]
+            cuts = [*range(0, max(1, len(logs) // quality.WINDOW) * quality.WINDOW, quality.WINDOW)]
+            ends = [*cuts[1:], len(logs)]
+            ppl[i] = -float(np.median([np.mean(logs[a:b]) for a, b in zip(cuts, ends)])) if logs else 0.0
+        v = sorted(round(ppl[i] * 1000) for i, t in own if t)
+        mid = v[(len(v) + 1) // 2 - 1] if v else 0
+        off = sorted(abs(x - mid) for x in v)
+        dev = max(1.4826 * off[(len(off) + 1) // 2 - 1] / 1000, quality.LEAST_DEVIATION) if v else 0
+        for i, t in own:
+            n = plain_base(t)
+            failed = n[0] < 10 or 100 * n[4] > 20 * n[0]
+            edge = abs(ppl[i] - mid / 1000) - 3 * dev - quality.MARGIN / math.sqrt(max(len(t), 1))
+            out[i] = (failed, not failed and edge <= 0, edge)
+    return out
+
+
+def test_judge_equals_the_definition_in_one_block_and_many(spark):
+    rng = random.Random(2)
+    words = {"en": "the of river stone walks under bright morning old trees birds".split(), "ru": "река дом утро туман лодка мост старый".split(), None: "zu ab ko mi".split()}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(8, 40))), x) for i, x in enumerate(["en"] * 12 + ["ru"] * 8 + [None] * 4)]
+    rows += [(90, "река 9 x # old @ zz 7 q w e r t y", "en"), (91, "w" + " w" * 60, "ru"), (92, None, "en"), (93, "only one of its kind in this tongue, with ten words", "xx"), (94, "", None)]
+    df = spark.createDataFrame([(*r, "b") for r in rows + rows[:1]], "doc_id long, text string, lang string, sums string").repartition(3)
+    want = plain_judge(rows + [(900, *rows[0][1:])])
+    for size in (quality.BLOCK_GRAMS, 150):
+        got = quality.judge(df, size).collect()
+        assert len(got) == len(rows) + 1
+        for r in got:
+            assert r.base_failed == want[r.doc_id][0] and (r.kept == want[r.doc_id][1] or abs(want[r.doc_id][2]) < 2e-3)
 
 
 def test_bands_reject_both_ways(spark):
