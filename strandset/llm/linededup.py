@@ -2,21 +2,25 @@
 
 A window is a run of consecutive non-blank lines with at least ``min_words`` words and
 none to spare: forward windows start at a line, backward windows end at one.  Each window
-selects the least of its line hashes as its fingerprint, so any repeated run of
-``min_words`` words shares a fingerprint with its copy.  Positions meet on the fingerprint
-together with the hashes of its extension to the left and right border of the window; the
-first position (by ``doc_id``, then place) stays, at later ones the lines of the window
-are deleted.  Forward and backward windows of a run overlap and together cover it, so all
-of a run of ``min_words`` words or more that occurred earlier goes.
-
-Hot lines are safe: first positions are pre-aggregated before the shuffle, and every
-later position meets that one row only.
+selects the place of the least of its line hashes (the first of equal ones) as its
+fingerprint; windows that overlap mostly select the same place, so far fewer places than
+lines are left, and any repeated run of ``min_words`` words has one of them at the same
+line as its copy.  Only these places are joined by hash, and only documents with a place
+whose hash another place has go on.  There each match is extended both ways, from the place to
+the left and to the right border of the windows that selected it; places meet where
+fingerprint, left and right extension are equal.  The first (by ``doc_id``, then place)
+stays, at later ones the lines of the window are deleted.  Forward and backward windows of
+a run overlap and together cover it, so all of a run of ``min_words`` words or more that
+occurred earlier goes.
+
+Hot lines are safe: places are counted, and first places found, before the shuffle, and
+every later place meets that one row only.
 
 Defined results: a line is what ``\\n`` separates; lines without words never match and stay
 unless they lie inside a deleted run; null text stays null; a text that is all deleted
 becomes empty, its row stays; rows equal in ``doc_id`` and text count as one document and
 are all returned; null ids come first; a run may overlap its earlier copy in the same
-document; an empty table gives no rows; other columns pass through.
+document; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,32 +34,52 @@ MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """``_doc, _text, start, end, k1, k2, fingerprint`` of every window."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """``_doc, _text, pos, words, h1, h2`` of every line with words, together by document."""
     line = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     hashed = line.select("_doc", "_text", "pos", F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
-    hashed = hashed.where("words > 0").repartition("_doc", "_text").dropDuplicates(["_doc", "_text", "pos"])
+    return hashed.where("words > 0").repartition("_doc", "_text").dropDuplicates(["_doc", "_text", "pos"])
+
+
+def _windows(lines: DataFrame, min_words: int, hashes: bool) -> DataFrame:
+    """``_doc, _text, start, end, at, fingerprint`` of every window, ``at`` being the place it selects;
+    with ``hashes`` also ``left`` and ``right``, hashes of its lines up to and from there."""
     doc = Window.partitionBy("_doc", "_text")
-    through = F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    counted = hashed.withColumn("c", through).withColumn("b", F.col("c") - F.col("words"))
+    through = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    counted = lines.withColumn("c", F.sum("words").over(through)).withColumn("b", F.col("c") - F.col("words"))
+    counted = counted.withColumn("n", F.count("*").over(through))
     forward = doc.orderBy("b").rangeBetween(0, min_words - 1)
     backward = doc.orderBy("c").rangeBetween(-(min_words - 1), 0)
 
-    def window(frame, start: Column, end: Column) -> Column:
-        return F.struct(
-            F.sum("words").over(frame).alias("words"), start.alias("start"), end.alias("end"), F.min("h1").over(frame).alias("fingerprint"),
-            F.xxhash64(F.collect_list("h1").over(frame)).alias("k1"), F.xxhash64(F.collect_list("h2").over(frame)).alias("k2"),
-        )
+    def window(frame) -> Column:
+        least = F.min(F.struct("h1", "n", "pos")).over(frame)
+        own = [F.sum("words").over(frame).alias("words"), F.min("pos").over(frame).alias("start"), F.max("pos").over(frame).alias("end"), least.alias("least")]
+        more = [F.min("n").over(frame).alias("first"), F.collect_list(F.struct("h1", "h2")).over(frame).alias("lines")] if hashes else []
+        return F.struct(*own, *more)
+
+    both = counted.select("_doc", "_text", window(forward).alias("f"), window(backward).alias("r"))
+    once = (F.col("f.start") == F.col("r.start")) & (F.col("f.end") == F.col("r.end"))
+    flat = both.select("_doc", "_text", F.explode(F.when(once, F.array("f")).otherwise(F.array("f", "r"))).alias("w")).where(F.col("w.words") >= min_words)
+    at = (F.col("w.least.n") - F.col("w.first") + 1).cast("int") if hashes else None
+    sides = [F.xxhash64(F.slice("w.lines", F.lit(1), at)).alias("left"), F.xxhash64(F.slice("w.lines", at, F.size("w.lines"))).alias("right")] if hashes else []
+    return flat.select("_doc", "_text", "w.start", "w.end", F.col("w.least.pos").alias("at"), F.col("w.least.h1").alias("fingerprint"), *sides)
+
 
-    both = counted.select("_doc", "_text", window(forward, F.col("pos"), F.max("pos").over(forward)).alias("f"), window(backward, F.min("pos").over(backward), F.col("pos")).alias("r"))
-    flat = both.select("_doc", "_text", F.explode(F.when(F.col("f") == F.col("r"), F.array("f")).otherwise(F.array("f", "r"))).alias("w"))
-    return flat.where(F.col("w.words") >= min_words).select("_doc", "_text", "w.start", "w.end", "w.fingerprint", "w.k1", "w.k2")
+def selected_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``_doc, _text, at, fingerprint``: the places that windows select, each once."""
+    return _windows(_lines(docs), min_words, False).select("_doc", "_text", "at", "fingerprint").distinct()
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``_doc, _text, deleted``: ascending places of the lines to delete, for documents that have any."""
-    windows = materialize(_windows(docs, min_words), "windows")
-    key = ["fingerprint", "k1", "k2"]
+    places = materialize(selected_places(docs, min_words), "places")
+    shared = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    shared = materialize(places.join(shared, "fingerprint", "left_semi").select("_doc", "_text", "at"), "shared")
+    doc = ["_doc", "_text"]
+    lines = _lines(docs).alias("l").join(shared.select(*doc).distinct().alias("s"), F.expr("l._doc <=> s._doc AND l._text = s._text"), "left_semi")
+    windows = _windows(lines, min_words, True).alias("w")
+    windows = materialize(windows.join(shared.alias("s"), F.expr("w._doc <=> s._doc AND w._text = s._text AND w.at = s.at"), "left_semi"), "windows")
+    key = ["fingerprint", "left", "right"]
     place = F.struct("_doc", "_text", "start")
     first = windows.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(first, key).where(~place.eqNullSafe(F.col("first")))
@@ -63,24 +87,35 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.groupBy("_doc", "_text").agg(F.array_sort(F.collect_set("pos")).alias("deleted"))
 
 
-def delete_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``; adds ``_n_lines`` and ``_n_deleted``."""
-    names = docs.columns
+def _without(docs: DataFrame, min_words: int) -> DataFrame:
+    """``row, text, n_lines, n_deleted``: each row as it was, its text without repeated runs, and counts of lines."""
     gone = repeated_lines(docs, min_words)
-    # ``_lines`` is made below the join so that the lambda reads a column, not a split per line
-    split = docs.withColumn("_lines", F.split("text", "\n", -1)).withColumn("_h", F.xxhash64("text")).drop("text")
-    joined = split.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_text")), "left")
-    n = F.size("_lines")
+    # ``lines`` is made below the join so that the lambda reads a column, not a split per line
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    split = docs.select(rest, F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
+    joined = split.join(gone, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_text")), "left")
+    n = F.size("lines")
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("deleted"))
-    text = F.when(F.col("deleted").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    counts = [F.coalesce(F.when(F.col("_lines").isNull(), 0).otherwise(n), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long").alias("_n_deleted")]
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], *counts)
+    text = F.when(F.col("deleted").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return joined.select("row", text.alias("text"), F.coalesce(F.when(F.col("lines").isNull(), 0).otherwise(n), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("deleted"), F.lit(0)).cast("long").alias("n_deleted"))
+
+
+def delete_repeated(docs: DataFrame, min_words: int = MIN_WORDS, chars: str | None = None) -> DataFrame:
+    """``docs`` with repeated runs deleted from ``text``; where any was, a column ``chars`` gets the new length."""
+
+    def column(name: str) -> Column:
+        own = F.col("row").getField(name) if name != "text" else F.col("text")
+        if name != chars:
+            return own.alias(name)
+        return F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema[name].dataType)).otherwise(own).alias(name)
+
+    return _without(docs, min_words).select(*[column(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, n_lines, n_deleted, kept_sha256`` of every document."""
-    out = delete_repeated(docs.select("doc_id", "text"), min_words)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = _without(docs.select("doc_id", "text"), min_words)
+    return out.select("row.doc_id", "n_lines", "n_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = """

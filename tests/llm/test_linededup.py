@@ -87,3 +87,21 @@ def test_repeats_nulls_and_no_rows(spark):
     got = sorted((str(r.doc_id), r.n_deleted) for r in linededup.line_dedup(df).collect())
     assert got == [("1", 1), ("1", 1), ("2", 0), ("None", 0)]
     assert linededup.line_dedup(df.where("doc_id = 77")).count() == 0
+
+
+def test_fewer_places_than_lines_meet(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(f"w{rng.randint(0, 10**6)} " * rng.randint(2, 9) for _ in range(120))) for i in range(20)]
+    rows += [(50 + i, t) for i, (_, t) in enumerate(rows[:4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    places = linededup.selected_places(df).count()
+    assert 0 < places < 24 * 120 / 2
+    assert run(spark, rows, 50) == plain(rows, 50)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a " * 60, "t", ["q"], 5, 6.0, 7, True, "e"), (2, "a " * 60 + "\nb", "u", ["r"], 8, 9.0, 10, False, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _lines array<string>, _h int, _text double, n_chars long, deleted boolean, `row.x` string")
+    out = linededup.delete_repeated(df, chars="n_chars")
+    assert out.schema == df.schema
+    assert sorted(map(tuple, out.collect())) == [rows[0], (2, "b", *rows[1][2:6], 1, *rows[1][7:])]
