@@ -1,24 +1,28 @@
 """Benchmark decontamination: q-gram lemma filter and banded alignment.
 
-Each benchmark item is cut into segments of ``segment`` characters (the last takes the
-rest).  A place in a document that holds a segment with at most ``edits`` edits shares at
-least ``n - q + 1 - q * edits`` of its q-grams (the q-gram lemma), and all of them lie
-within ``edits`` diagonals.  Shared q-grams are counted in overlapping bands of diagonals;
-bands that meet the bound become candidate regions, and a banded alignment decides
-whether the segment is there.  A document is contaminated by an item if its found
-segments make up at least ``coverage`` of the item's characters: a sentence that an item
-merely shares with other texts is no leak.
+Each benchmark item is cut into overlapping segments of ``segment`` characters, one every
+half segment and one at the end.  A place in a document that holds a segment of n characters
+with at most e edits shares at least ``n - q + 1 - q * e`` of its q-grams (the q-gram lemma),
+and all of them lie within e diagonals; a segment may have as many edits as leave the lemma a
+bound.  Shared q-grams are counted in overlapping bands of diagonals; bands that meet the
+bound become candidate regions, and a banded alignment decides whether the segment is there.
+A document is contaminated by an item if its found segments cover at least ``coverage`` of
+the item's characters: a sentence that an item merely shares with other texts is no leak,
+while a replaced word costs only the segments that hold it.
 
 Texts are compared lower-cased character by character, white space as a blank, so places
 are code points of the original text.
 
 The benchmark is a stated query set: its index goes to the executors in blocks of at most
 ``block_chars`` characters (a checked size), so a large benchmark means more passes, never
-a larger broadcast.  The documents are not shuffled.
+a larger broadcast.  The documents are not shuffled.  Shared q-grams are counted in parts
+of at most ``PAIRS`` places, so texts of repeated q-grams take time but not memory.
 
 Defined results: null and empty texts and items match nothing; an item shorter than q
-characters, or too short for the lemma to bind, must occur exactly; equal items each
-report; repeated rows each report; empty tables give no rows; other columns are ignored.
+characters must occur exactly and not inside a word; equal items each report; repeated rows
+each report; empty tables give no rows; other columns are ignored, and in
+:func:`without_leaks` pass through, whatever their names.  There every row is judged by its own
+text, also if another row has its ``doc_id``.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 from .common import parts
 
 Q = 10
-SEGMENT = 64
-EDITS = 4
+SEGMENT = 32
 COVERAGE = 0.5
 BLOCK_CHARS = 4_000_000
+#: Shared q-grams and candidates that are held at a time.
+PAIRS = 1_000_000
+CANDIDATES = 20_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 _lower = np.arange(0x110000, dtype=np.uint32)
@@ -55,15 +61,27 @@ def codes(text: str | None) -> np.ndarray:
 
 
 def qgram_hashes(x: np.ndarray, q: int) -> np.ndarray:
-    """64-bit hashes of all q-grams."""
-    n = len(x) - q + 1
-    if n <= 0:
+    """64-bit hashes of all q-grams, put together from those of powers of two."""
+    if len(x) < q:
         return np.zeros(0, np.uint64)
-    h = x[:n].astype(np.uint64)
-    for k in range(1, q):
-        h *= MULT
-        h += x[k : k + n]
-    return h
+    h, size, factor = x.astype(np.uint64), 1, MULT  # hashes of ``size`` characters, and what moves them on by as many
+    out, done = None, 0
+    while size <= q:
+        if q & size:
+            n = len(x) - done - size + 1
+            out, done = (h if out is None else out[:n] * factor + h[done : done + n]), done + size
+        if 2 * size <= q:
+            h = h[: len(h) - size] * factor + h[size:]
+        factor, size = np.uint64(int(factor) ** 2 % (1 << 64)), 2 * size
+    return out[: len(x) - q + 1]
+
+
+def cuts(n: int, segment: int = SEGMENT) -> list[tuple[int, int]]:
+    """Begins and ends of the segments of an item of ``n`` characters."""
+    if n <= segment:
+        return [(0, n)] if n else []
+    begins = [*range(0, n - segment, segment // 2), n - segment]
+    return [(b, b + segment) for b in begins]
 
 
 @dataclass
@@ -74,35 +92,42 @@ class Index:
     begins: np.ndarray  # place of each segment in ``text``
     sizes: np.ndarray
     item_ids: list
+    item_begins: np.ndarray
     item_sizes: np.ndarray
     text: np.ndarray
     grams: np.ndarray  # sorted hashes
     places: np.ndarray  # their places in ``text``
     owner: np.ndarray  # segment of each place
     bits: np.ndarray  # membership filter
+    short: dict  # by length: sorted hashes of items shorter than q, and their rows
     q: int
-    edits: int
+
+    @property
+    def allowed(self) -> np.ndarray:
+        """Edits of each segment: as many as leave the lemma a bound."""
+        return np.maximum((self.sizes - self.q) // self.q, 0)
+
+    @property
+    def edits(self) -> int:
+        return int(self.allowed.max()) if len(self.sizes) else 0
 
     @property
     def need(self) -> np.ndarray:
         """Shared q-grams that a segment with ``allowed`` edits must have."""
         return self.sizes - self.q + 1 - self.q * self.allowed
 
-    @property
-    def allowed(self) -> np.ndarray:
-        """Edits of each segment: as many as leave the lemma a bound."""
-        return np.clip((self.sizes - self.q) // self.q, 0, self.edits)
-
 
-def build_index(items: list[tuple], q: int = Q, segment: int = SEGMENT, edits: int = EDITS) -> Index:
-    ids, sizes, begins, owners, texts, item_sizes, at = [], [], [], [], [], [], 0
+def build_index(items: list[tuple], q: int = Q, segment: int = SEGMENT) -> Index:
+    ids, begins, sizes, owners, texts, item_begins, item_sizes, at = [], [], [], [], [], [], [], 0
+    short: dict[int, list[tuple[int, int]]] = {}
     for row, (item_id, text) in enumerate(items):
         x = codes(text)
         ids.append(item_id)
+        item_begins.append(at)
         item_sizes.append(len(x))
-        cuts = list(range(0, max(1, len(x) // segment) * segment, segment)) if len(x) else []
-        for k, a in enumerate(cuts):
-            b = len(x) if k == len(cuts) - 1 else a + segment
+        if 0 < len(x) < q:
+            short.setdefault(len(x), []).append((int(qgram_hashes(x, len(x))[0]), row))
+        for a, b in cuts(len(x), segment) if len(x) >= q else ():
             owners.append(row)
             begins.append(at + a)
             sizes.append(b - a)
@@ -110,28 +135,27 @@ def build_index(items: list[tuple], q: int = Q, segment: int = SEGMENT, edits: i
         at += len(x)
     text = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
     sizes_, begins_ = np.array(sizes, np.int64), np.array(begins, np.int64)
-    grams, places, owner = [], [], []
-    all_grams = qgram_hashes(text, q)
-    for s in range(len(sizes_)):
-        p = np.arange(begins_[s], begins_[s] + sizes_[s] - q + 1)
-        places.append(p)
-        grams.append(all_grams[p])
-        owner.append(np.full(len(p), s, np.int64))
-    cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
-    g, p, o = cat(grams, np.uint64), cat(places, np.int64), cat(owner, np.int64)
+    each = np.maximum(sizes_ - q + 1, 0)
+    o = np.repeat(np.arange(len(sizes_)), each)
+    p = np.arange(len(o)) - np.repeat(np.cumsum(each) - each, each) + begins_[o]
+    g = qgram_hashes(text, q)[p] if len(p) else np.zeros(0, np.uint64)
     order = np.argsort(g, kind="stable")
     bits = np.zeros(1 << 20 if len(g) < 1 << 17 else 1 << 24, bool)
     bits[g >> np.uint64(64 - int(np.log2(len(bits))))] = True
-    return Index(np.array(owners, np.int64), begins_, sizes_, ids, np.array(item_sizes, np.int64), text, g[order], p[order], o[order], bits, q, edits)
+    few = {n: tuple(np.array(v) for v in zip(*sorted(pairs))) for n, pairs in short.items()}
+    few = {n: (h.astype(np.uint64), r) for n, (h, r) in few.items()}
+    return Index(np.array(owners, np.int64), begins_, sizes_, ids, np.array(item_begins, np.int64), np.array(item_sizes, np.int64), text, g[order], p[order], o[order], bits, few, q)
 
 
-def shared(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(place in x, place in the index text, segment)`` of all shared q-grams."""
+def shared(x: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(place in x, place in the index text, segment)`` of all shared q-grams, in parts of about ``PAIRS``."""
     h = qgram_hashes(x, index.q)
     shift = np.uint64(64 - int(np.log2(len(index.bits))))
     at = np.flatnonzero(index.bits[h >> shift])
+    if not len(at) or not len(index.grams):
+        return
     lo = np.searchsorted(index.grams, h[at])
-    real = (lo < len(index.grams)) & (index.grams[np.minimum(lo, len(index.grams) - 1)] == h[at]) if len(index.grams) else np.zeros(len(at), bool)
+    real = index.grams[np.minimum(lo, len(index.grams) - 1)] == h[at]
     at, lo = at[real], lo[real]
     # a q-gram needs enough others near it, whatever the diagonal
     if len(at) and (least := int(index.need.min())) > 1:
@@ -139,30 +163,37 @@ def shared(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndar
         busy = np.searchsorted(at, at + reach) - np.searchsorted(at, at - reach)
         at, lo = at[busy >= least], lo[busy >= least]
     n = np.searchsorted(index.grams, h[at], side="right") - lo
-    k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(at, n), index.places[k], index.owner[k]
+    through = np.cumsum(n)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(through, (through[begin - 1] if begin else 0) + PAIRS, side="right")))
+        m = n[begin:end]
+        k = np.repeat(lo[begin:end], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(at[begin:end], m), index.places[k], index.owner[k]
+        begin = end
 
 
 def candidates(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """``(segment, lowest diagonal)`` of the bands whose shared q-grams meet the bound.
 
     Diagonals are dealt into bands of ``2 * width`` that overlap by ``width``, so the
-    ``edits + 1`` diagonals of a match lie whole in one band; in a band the q-grams must
-    be as close as a segment with its edits is long.
+    ``edits + 1`` diagonals of a match lie whole in one band.
     """
-    place, own, seg = shared(x, index)
-    if not len(place):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    diagonal = place - (own - index.begins[seg]) + index.edits
     width = index.edits + 1
-    band = diagonal // width
-    seg2, band2, place2 = np.concatenate([seg, seg]), np.concatenate([band, band - 1]), np.concatenate([place, place])
-    order = np.lexsort((place2, band2, seg2))
-    seg2, band2 = seg2[order], band2[order]
-    first = np.flatnonzero(np.concatenate(([True], (seg2[1:] != seg2[:-1]) | (band2[1:] != band2[:-1]))))
-    count = np.diff(np.append(first, len(seg2)))
-    good = count >= index.need[seg2[first]]
-    return seg2[first][good], band2[first][good] * width - index.edits
+    shift, most = index.edits + int(index.sizes.max() if len(index.sizes) else 0), (len(x) + 4 * width) // width + 200
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for place, own, seg in shared(x, index):
+        band = (place - (own - index.begins[seg]) + shift) // width
+        key, count = np.unique(np.concatenate([seg * most + band, seg * most + band - 1]), return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    if len(keys) > 2:
+        key, back = np.unique(key, return_inverse=True)
+        count = np.bincount(back, count, len(key))
+    seg, band = key // most, key % most
+    good = count >= index.need[seg]
+    return seg[good], band[good] * width - shift
 
 
 def aligned(x: np.ndarray, index: Index, seg: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,6 +203,9 @@ def aligned(x: np.ndarray, index: Index, seg: np.ndarray, low: np.ndarray) -> tu
     diagonal ``low - edits + c``.  The start travels with the cost.
     """
     m = len(seg)
+    if m > CANDIDATES:
+        some = [aligned(x, index, seg[k : k + CANDIDATES], low[k : k + CANDIDATES]) for k in range(0, m, CANDIDATES)]
+        return tuple(np.concatenate(c) for c in zip(*some))
     width = 2 * (index.edits + 1) + 2 * index.edits
     base = low - index.edits
     big = np.int64(1 << 30)
@@ -209,31 +243,50 @@ def aligned(x: np.ndarray, index: Index, seg: np.ndarray, low: np.ndarray) -> tu
     return best, best_a, best_b
 
 
+def short_matches(x: np.ndarray, index: Index) -> Iterator[tuple]:
+    """Items shorter than q characters that occur exactly and not inside a word."""
+    for n, (hashes, rows) in index.short.items():
+        h = qgram_hashes(x, n)
+        at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+        seen = set()
+        for k in at.tolist():
+            if (k and chr(x[k - 1]).isalnum()) or (k + n < len(x) and chr(x[k + n]).isalnum()):
+                continue
+            lo, hi = np.searchsorted(hashes, h[k]), np.searchsorted(hashes, h[k], side="right")
+            for row in rows[lo:hi].tolist():
+                begin = index.item_begins[row]
+                if row not in seen and (index.text[begin : begin + n] == x[k : k + n]).all():
+                    seen.add(row)
+                    yield index.item_ids[row], k, k + n, n, 0
+
+
 def matches(text: str | None, index: Index, coverage: float = COVERAGE) -> list[tuple]:
     """``(item_id, start, end, covered, edits)`` of each item that contaminates the text."""
     x = codes(text)
+    out = list(short_matches(x, index)) if index.short else []
     seg, low = candidates(x, index)
     if not len(seg):
-        return []
+        return out
     # cheap: an item whose candidate segments cannot reach the coverage is out
     once = np.unique(seg)
     may = np.bincount(index.items[once], index.sizes[once], len(index.item_ids)) >= coverage * index.item_sizes
     use = may[index.items[seg]]
     seg, low = seg[use], low[use]
     if not len(seg):
-        return []
+        return out
     edits, a, b = aligned(x, index, seg, low)
     ok = edits <= index.allowed[seg]
     seg, edits, a, b = seg[ok], edits[ok], a[ok], b[ok]
     order = np.lexsort((a, edits, seg))
     seg, edits, a, b = seg[order], edits[order], a[order], b[order]
-    out = []
+    _, one = np.unique(seg, return_index=True)
+    seg, edits, a, b = seg[one], edits[one], a[one], b[one]
     for row in np.unique(index.items[seg]).tolist():
-        mine = index.items[seg] == row
-        _, one = np.unique(seg[mine], return_index=True)
-        covered = int(index.sizes[seg[mine][one]].sum())
+        mine = np.flatnonzero(index.items[seg] == row)
+        begins, ends = index.begins[seg[mine]], index.begins[seg[mine]] + index.sizes[seg[mine]]
+        covered = int((ends - np.maximum(begins, np.concatenate(([0], ends[:-1])))).sum())  # segments go by place
         if covered >= coverage * index.item_sizes[row]:
-            out.append((index.item_ids[row], int(a[mine][one].min()), int(b[mine][one].max()), covered, int(edits[mine][one].sum())))
+            out.append((index.item_ids[row], int(a[mine].min()), int(b[mine].max()), covered, int(edits[mine].sum())))
     return out
 
 
@@ -251,14 +304,18 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
         yield part
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGMENT, edits: int = EDITS, coverage: float = COVERAGE) -> DataFrame:
+def _indexes(docs: DataFrame, benchmark: DataFrame, q: int, segment: int) -> Iterator:
+    """The benchmark's index, block by block, as broadcasts."""
+    for part in blocks(benchmark):
+        yield docs.sparkSession.sparkContext.broadcast(build_index(part, q, segment))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGMENT, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, start, end, covered, edits``: a row for each document and item found in it."""
-    spark = docs.sparkSession
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, end long, covered long, edits long"
-    found = spark.createDataFrame([], schema)
-    for part in blocks(benchmark):
-        shared_index = spark.sparkContext.broadcast(build_index(part, q, segment, edits))
+    found = docs.sparkSession.createDataFrame([], schema)
+    for shared_index in _indexes(docs, benchmark, q, segment):
 
         def run(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches):
@@ -272,7 +329,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int
     return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGMENT, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for shared_index in _indexes(docs, benchmark, q, segment):
+
+        def run(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
+            for batch in parts(batches):
+                yield batch.filter(pa.array([not matches(t, shared_index.value, coverage) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

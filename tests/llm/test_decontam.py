@@ -1,6 +1,7 @@
 """Benchmark decontamination against unbanded alignment of every segment."""
 
 import random
+import re
 
 import numpy as np
 
@@ -37,14 +38,16 @@ def plain(docs, items):
         for item, body in items:
             y = d.codes(body)
             if len(y) < d.Q:
+                whole, part = "".join(map(chr, x)), "".join(map(chr, y))
+                if part and re.search(r"(?<![^\W_])" + re.escape(part) + r"(?![^\W_])", whole):
+                    out[doc, item] = len(y)
                 continue
-            n = max(1, len(y) // d.SEGMENT)
-            covered = 0
-            for k in range(n):
-                s = y[k * d.SEGMENT : len(y) if k == n - 1 else (k + 1) * d.SEGMENT]
-                allowed = min(d.EDITS, max(0, (len(s) - d.Q) // d.Q))
-                if len(x) and least_edits(s, x) <= allowed:
-                    covered += len(s)
+            size = min(len(y), d.SEGMENT)
+            hit = np.zeros(len(y), bool)
+            for k in sorted({*range(0, len(y) - size + 1, d.SEGMENT // 2), len(y) - size}):
+                if len(x) and least_edits(y[k : k + size], x) <= max(0, (size - d.Q) // d.Q):
+                    hit[k : k + size] = True
+            covered = int(hit.sum())
             if covered >= d.COVERAGE * len(y):
                 out[doc, item] = covered
     return out
@@ -52,7 +55,7 @@ def plain(docs, items):
 
 def fixture():
     rng = random.Random(8)
-    items = [(i, text(rng, rng.choice([3, 8, 14, 40, 70]))) for i in range(24)] + [(90, None), (91, ""), (92, "tiny"), (93, items0(rng))]
+    items = [(i, text(rng, rng.choice([3, 8, 14, 40, 70]))) for i in range(24)] + [(90, None), (91, ""), (92, "tiny"), (94, "hello"), (93, items0(rng))]
     docs = []
     for k in range(80):
         body = text(rng, rng.choice([0, 5, 60, 200]))
@@ -69,7 +72,7 @@ def fixture():
         elif how == 5:
             body = item.replace(" ", "\n\t", 3) + item
         docs.append((k, body))
-    return docs + [(500, None), (501, ""), (502, "z " * 3000), (503, items[3][1])], items
+    return docs + [(500, None), (501, ""), (502, "z " * 3000), (504, "xx Hello, yy"), (505, "xx othello yy"), (503, items[3][1])], items
 
 
 def items0(rng):
@@ -109,3 +112,51 @@ def test_empty_tables_and_stage(spark):
     assert {r.doc_id for r in kept} == {k for k, _ in docs} - dirty
     one = d.contaminated(a.where("doc_id = 1"), b).count()
     assert one in (0, 2 * len([k for k in plain(docs, items) if k[0] == 1]))
+
+
+def plain_hash(x, q):
+    out = []
+    for i in range(len(x) - q + 1):
+        h = 0
+        for v in x[i : i + q]:
+            h = (h * int(d.MULT) + int(v)) % 2**64
+        out.append(h)
+    return out
+
+
+def test_qgram_hashes_are_polynomials():
+    x = np.random.default_rng(1).integers(0, 1000, 60).astype(np.uint32)
+    for q in range(1, 12):
+        assert d.qgram_hashes(x, q).tolist() == plain_hash(x, q)
+        assert len(d.qgram_hashes(x[: q - 1], q)) == 0 and len(d.qgram_hashes(x[:q], q)) == 1
+
+
+def test_lightly_changed_items_are_found():
+    rng = random.Random(12)
+    item = text(rng, 18)[:100]
+    index = d.build_index([(1, item)])
+    words = item.split(" ")
+    for k in range(len(words)):
+        changed = " ".join(words[:k] + ["somethingelse"] + words[k + 1 :])
+        assert d.matches("before " + changed + " after", index), changed
+    assert d.matches(item[:-10], index) and d.matches(item[12:], index) and not d.matches(item[:30], index)
+    long = text(rng, 120)
+    index = d.build_index([(2, long)])
+    for at in range(0, len(long) // 3, 7):  # an excerpt counts wherever it starts
+        assert d.matches(long[at : at + len(long) // 2 + d.SEGMENT], index)
+
+
+def test_repeated_grams_take_no_memory():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert d.matches("a" * 50_000, d.build_index([(1, "a" * 200)]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    rng = random.Random(2)
+    item = text(rng, 30)
+    df = spark.createDataFrame([(1, item, "a", 1), (1, "clean words", "b", 2), (None, item, "c", 3), (None, None, "d", 4)], "doc_id long, text string, _leak string, _text int")
+    out = d.without_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == df.columns and sorted(map(str, (tuple(r) for r in out.collect()))) == ["(1, 'clean words', 'b', 2)", "(None, None, 'd', 4)"]
