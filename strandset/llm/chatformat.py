@@ -20,7 +20,6 @@ conversation; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -35,17 +34,16 @@ Template = Callable[[list[tuple[str, str]]], str]
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 PROBES = ("a-probe-a", "b.probe.b")
 
 
 def escape(text: str) -> str:
     """No ``<|`` is left: each gets a backslash (one more where there are some)."""
-    return _OPEN.sub(r"<\\\1|", text)
+    return _OPEN.sub(r"<\\\1|", text) if "<" in text else text
 
 
 def unescape(text: str) -> str:
-    return _CLOSED.sub(r"<\1|", text)
+    return _CLOSED.sub(r"<\1|", text) if "<" in text else text
 
 
 def escape_role(role: str) -> str:
@@ -63,16 +61,40 @@ def chat_template(messages: list[tuple[str, str]]) -> str:
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The messages of a string that ``chat_template`` made."""
-    out, at = [], 0
+    out, at, stop = [], 0, END + "\n"
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        line = formatted.find("\n", at)
+        end = formatted.find(stop, line + 1) if line >= 0 else -1
+        if end < 0 or not formatted.startswith(START, at):
             raise ValueError(f"no turn at {at}")
-        out.append((unescape_role(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape_role(formatted[at + len(START) : line]), unescape(formatted[line + 1 : end])))
+        at = end + len(stop)
     return out
 
 
+def common_start(a: str, b: str, least: int = 0) -> int:
+    """How many characters two strings share at their start, of which ``least`` are known; by halving slices."""
+    low, high = least, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def common_end(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def locate(messages: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """Rendered text; ``(start, end, text_start, text_end)`` of each turn; whether history was rewritten."""
     before = template([])
@@ -82,8 +104,8 @@ def locate(messages: list[tuple[str, str]], template: Template) -> tuple[str, li
         if not now.startswith(before):
             return template(messages), [], True
         a, b = (template([*messages[: k - 1], (messages[k - 1][0], p)]) for p in PROBES)
-        head = len(os.path.commonprefix([a, b]))
-        tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
+        shared = len(before) if a.startswith(before) and b.startswith(before) else 0
+        head, tail = common_start(a, b, shared), common_end(a, b)
         spans.append((len(before), len(now), head, len(now) - tail))
         before = now
     return before, spans, False
