@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -65,20 +66,51 @@ def burden_test(stats: DataFrame, covariance: DataFrame, group: str, variant: st
 
 
 def _liu_tail(q: float, lam: np.ndarray) -> float:
-    """Tail of a weighted sum of chi-squares by matching four moments (central chi-square case)."""
-    c1, c2, c3, c4 = (float((lam**k).sum()) for k in (1, 2, 3, 4))
+    """Tail of a weighted sum of chi-squares by matching four moments.
+
+    With weights that are not negative the squared skewness never exceeds the kurtosis, so
+    the matched variable is a central chi-square with the kurtosis's degrees of freedom.
+    """
+    c1, c2, c4 = (float((lam**k).sum()) for k in (1, 2, 4))
     if c2 <= 0:
-        return float("nan")
-    s1, s2 = c3 / c2**1.5, c4 / c2**2
-    if s1**2 > s2:
-        a = 1 / (s1 - math.sqrt(s1**2 - s2))
-        d = s1 * a**3 - a**2
-        df = a**2 - 2 * d
-    else:
-        a, d = 1 / s1, 0.0
-        df = c2**3 / c3**2
-    x = (q - c1) / math.sqrt(2 * c2) * math.sqrt(2) * a + df + d
-    return _ncx2_sf(x, df, d)
+        return 1.0
+    df = c2**2 / c4
+    x = (q - c1) / math.sqrt(2 * c2) * math.sqrt(2 * df) + df
+    return _gammaq(df / 2, max(x, 0.0) / 2)
+
+
+def _imhof_tail(q: float, lam: np.ndarray) -> float:
+    """Tail of a weighted sum of chi-squares by inverting its characteristic function.
+
+    The integrand swings with q and falls like a power of the argument; it is summed by
+    Gauss-Legendre pieces of half a swing until what is left is below 1e-9.
+    """
+    x, w = np.polynomial.legendre.leggauss(24)
+
+    def f(u: np.ndarray) -> np.ndarray:
+        theta = 0.5 * np.arctan(np.outer(u, lam)).sum(1) - 0.5 * q * u
+        rho = np.exp(0.25 * np.log1p(np.outer(u, lam) ** 2).sum(1))
+        return np.sin(theta) / (u * rho)
+
+    step = math.pi / max(0.5 * (q + lam.sum()), 1e-12) / 2
+    total, at = 0.0, 0.0
+    for _ in range(200_000):
+        total += float((w * f(at + step * (x + 1) / 2)).sum()) * step / 2
+        at += step
+        left = 2 / (len(lam) * math.exp(0.5 * np.log(np.maximum(at * lam, 1e-300)).sum())) if (at * lam).min() > 1 else math.inf
+        if left < 1e-9 or (left < 1e-5 and at * (q + lam.sum()) > 4e4):
+            break
+    p = 0.5 + total / math.pi
+    return p if 0 < p < 1 else float("nan")
+
+
+def mixture_tail(q: float, lam: np.ndarray, mode: str = "liu") -> float:
+    """``liu`` (moments) or ``imhof`` (inversion, falling back on moments where it does not converge)."""
+    if mode == "imhof":
+        p = _imhof_tail(q, lam)
+        if not math.isnan(p):
+            return p
+    return _liu_tail(q, lam)
 
 
 def _gammaq(a: float, x: float) -> float:
@@ -110,22 +142,8 @@ def _gammaq(a: float, x: float) -> float:
     return front * h
 
 
-def _ncx2_sf(x: float, df: float, nc: float) -> float:
-    """Non-central chi-square tail as a Poisson mixture of central ones."""
-    if nc <= 0:
-        return _gammaq(df / 2, x / 2)
-    total, weight, k = 0.0, math.exp(-nc / 2), 0
-    seen = 0.0
-    while seen < 1 - 1e-14 and k < 2000:
-        total += weight * _gammaq(df / 2 + k, x / 2)
-        seen += weight
-        k += 1
-        weight *= nc / 2 / k
-    return total
-
-
-def skat(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w", mean: str | None = None) -> DataFrame:
-    """Q = sum of (wU)^2 and its tail from the eigenvalues of the weighted covariance; one group a task.
+def skat(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w", mean: str | None = None, tail: str = "liu") -> DataFrame:
+    """Q = sum of (wU)^2 and its tail (:func:`mixture_tail`) from the eigenvalues of the weighted covariance; one group a task.
 
     Pairs absent from ``covariance`` are as in :func:`burden_test`.
     """
@@ -145,7 +163,7 @@ def skat(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: s
         cov[wm.index.get_indexer(shared.i), wm.index.get_indexer(shared.j)] = shared.x
         lam = np.linalg.eigvalsh(cov) if len(cov) else np.zeros(0)
         lam = lam[lam > 1e-12 * max(1.0, lam.max(initial=0))]
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "q": [q], "p": [_liu_tail(q, lam) if len(lam) else float("nan")]})
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "q": [q], "p": [mixture_tail(q, lam, tail) if len(lam) else 1.0]})
 
     return cells.unionByName(own).unionByName(means).groupBy(group).applyInPandas(one, f"{group} {kind}, q double, p double")
 
@@ -162,6 +180,17 @@ def omnibus(tests: DataFrame, group: list[str], p: str) -> DataFrame:
     return tests.groupBy(*group).agg(acat(F.col(p)).alias("p_omnibus"), F.count(p).alias("n_tests"))
 
 
+def omnibus_grid(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str, weights: dict[str, Column], mean: str | None = None, tail: str = "liu", tests: tuple[str, ...] = ("burden", "skat")) -> DataFrame:
+    """``group, weight, test, p`` of every weighting (annotation times density) and test, for :func:`omnibus`."""
+    out = []
+    for name, w in weights.items():
+        weighted = stats.withColumn("_weight", w)
+        for test in tests:
+            p = burden_test(weighted, covariance, group, variant, u, "_weight", mean) if test == "burden" else skat(weighted, covariance, group, variant, u, "_weight", mean, tail)
+            out.append(p.select(group, F.lit(name).alias("weight"), F.lit(test).alias("test"), "p"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def lambda_gc(df: DataFrame, p: str, mode: str = "chi2_1df") -> DataFrame:
     """Genomic inflation: median statistic over its expectation.
 

@@ -9,27 +9,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import settle
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: to the shared checkpoint folder where one is set, else by Spark's own files in tests."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandset-"))
-    return df.checkpoint()
+def _with_least(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v) with the least ``v`` of each ``u`` as ``m``; a node with more than a
+    500th of the rows goes by broadcast (at most 1,000 are), so no task gets all its rows."""
+    least = settle(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    heavy = F.col("n") > max(64, total // 500)
+    if least.where(heavy).isEmpty():
+        return rows.join(least.drop("n"), "u")
+    few = F.broadcast(least.where(heavy).drop("n"))
+    rest = rows.join(few.select("u"), "u", "left_anti").join(least.where(~heavy).drop("n"), "u")
+    return rows.join(few, "u").unionByName(rest)
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """``node, component`` (least node) by alternating large-star and small-star steps."""
-    links = _settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    links = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
+        n = links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = _settle(moved.unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = settle(_with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        moved = _with_least(large, n)
+        small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.where("v = m").select("u", "v"))
+        new = settle(small.where("u <> v").distinct())
         changed = new.join(links, ["u", "v"], "left_anti").limit(1).count() or links.join(new, ["u", "v"], "left_anti").limit(1).count()
         links = new
         if not changed:

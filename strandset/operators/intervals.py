@@ -119,6 +119,43 @@ def nearest(points: DataFrame, features: DataFrame, keys: list[str], pos: str, a
     return out.select(*columns, F.col("_left").alias("left_at"), F.col("_right").alias("right_at"), F.when(ok, near).alias("nearest_at"), F.when(ok, gap).alias("distance"))
 
 
+def distance_to_interval(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, start: str, end: str, width: float, name: str = "distance") -> DataFrame:
+    """Adds the distance of each 1-based point to the nearest half-open 0-based interval of its key.
+
+    0 inside; past an interval's end the place after it counts 1; NULL where the key has no
+    interval.  Empty intervals are left out.
+    """
+    columns = points.columns
+    spans = intervals.where(F.col(end) > F.col(start)).groupBy(*keys, F.col(start).cast("double").alias("_start")).agg(F.max(end).cast("double").alias("_end"))
+    both = points.select(*columns, (F.col(pos) - 1).cast("double").alias("_pos"), F.lit(1).alias("_point")).unionByName(spans.select(*keys, F.col("_start").alias("_pos"), F.lit(0).alias("_point"), "_start", "_end"), allowMissingColumns=True)
+    bucket = width_bucket(F.col("_pos"), width)
+    scanned = running(both, keys, ["_pos"], bucket, {"_reach": ("max", F.col("_end"))})
+    scanned = running(scanned, keys, ["_pos"], bucket, {"_next": ("min", F.col("_start"))}, backward=True)
+    outside = F.least(F.col("_pos") - F.col("_reach") + 1, F.col("_next") - F.col("_pos"))
+    distance = F.when(F.col("_reach") > F.col("_pos"), F.lit(0.0)).otherwise(outside)
+    return scanned.where("_point = 1").select(*columns, distance.alias(name))
+
+
+def assign_nearest(points: DataFrame, features: DataFrame, keys: list[str], pos: str, at: str, label: str, width: float, name: str = "assigned") -> DataFrame:
+    """Each point with the label of the one nearest feature of its key.
+
+    On equal distance the feature before the point counts; of features at one place the
+    last label before the point, the first label otherwise.
+    """
+    near = nearest(points, features, keys, pos, at, width)
+    named = features.groupBy(*keys, F.col(at).cast("double").alias("nearest_at")).agg(F.min(label).alias("_first"), F.max(label).alias("_last"))
+    out = near.join(named, [*keys, "nearest_at"], "left")
+    return out.select(*points.columns, F.when(F.col("nearest_at") < F.col(pos), F.col("_last")).otherwise(F.col("_first")).alias(name), "distance")
+
+
+def window_summary(assigned: DataFrame, genes: DataFrame, gene: str, pos: str, tss: str, span: tuple[str, str], half: float) -> DataFrame:
+    """For each gene with variants: ``m`` of them, window length ``length`` (body and promoter together), ``m_prom`` in ``tss`` +- ``half``, ``m_body`` elsewhere, ``share``."""
+    low, high = F.least(F.col(tss) - half, F.col(span[0])), F.greatest(F.col(tss) + half, F.col(span[1]))
+    counted = assigned.join(genes.select(gene, tss), gene).groupBy(gene).agg(F.count("*").alias("m"), F.count_if(F.col(pos).between(F.col(tss) - half, F.col(tss) + half)).alias("m_prom"))
+    sized = genes.select(gene, (high - low + 1).alias("length"))
+    return counted.join(sized, gene).select(gene, "m", "length", "m_prom", (F.col("m") - F.col("m_prom")).alias("m_body"), (F.col("m_prom") / F.col("m")).alias("share"))
+
+
 def active_count(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, start: str, end: str, width: float) -> DataFrame:
     """Adds ``active``: closed intervals of the key that hold the point, by a sweep of +1 and -1 events."""
     events = intervals.select(*keys, F.col(start).cast("double").alias("_pos"), F.lit(0).alias("_kind"), F.lit(1).alias("_step")).unionByName(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_quantile, normal_quantile_exact
-from .scan import quantile_bucket, running
+from .scan import quantile_bucket, running, settle
 
 
 def average_rank(column: str, group: list[str]) -> Column:
@@ -26,7 +26,7 @@ def value_ranks(df: DataFrame, column: str, group: list[str] | None = None) -> D
     neither a frequent value nor the lack of a group meets in one task.
     """
     group = group or []
-    counted = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("n_at"))
+    counted = settle(df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("n_at")))
     bucket = quantile_bucket(counted, column)
     out = running(counted, group, [column], bucket, {"n_below": ("sum", F.col("n_at"))}, exclusive=True)
     totals = counted.groupBy(*group).agg(F.sum("n_at").alias("n_all")) if group else counted.agg(F.sum("n_at").alias("n_all"))
@@ -39,11 +39,17 @@ def global_average_rank(df: DataFrame, column: str, name: str = "avg_rank") -> D
     return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
 
 
+def global_min_rank(df: DataFrame, column: str, name: str = "min_rank") -> DataFrame:
+    """Rank over the whole table, equal values all with the least; NULL keeps NULL."""
+    ranks = value_ranks(df, column).select(F.col(column).alias("_v"), (F.col("n_below") + 1).alias(name))
+    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+
+
 def ecdf_against(df: DataFrame, reference: DataFrame, column: str, name: str = "ecdf", missing: float = 0.5) -> DataFrame:
     """Average-rank ECDF of values in a reference population; the denominator counts its missing values."""
     n = reference.agg(F.count("*").alias("_n"))
     both = df.select(column).where(F.col(column).isNotNull()).groupBy(column).agg(F.lit(0).cast("long").alias("n_at")).unionByName(reference.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_at")))
-    per = both.groupBy(column).agg(F.sum("n_at").alias("n_at"))
+    per = settle(both.groupBy(column).agg(F.sum("n_at").alias("n_at")))
     placed = running(per, [], [column], quantile_bucket(per, column), {"n_below": ("sum", F.col("n_at"))}, exclusive=True)
     score = placed.crossJoin(F.broadcast(n)).select(F.col(column).alias("_v"), ((F.col("n_below") + 0.5 * F.col("n_at")) / F.col("_n")).alias(name))
     return df.join(score, df[column] == score["_v"], "left").drop("_v").withColumn(name, F.coalesce(F.col(name), F.lit(missing)))
@@ -101,9 +107,16 @@ def tile(pos: Column, size: int) -> Column:
 
 
 def linear_quantiles(df: DataFrame, column: str, probabilities: list[float], group: list[str] | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    q = F.expr(f"percentile(`{column}`, array({', '.join(map(str, probabilities))}))").alias("q")
-    return (df.groupBy(*group) if group else df).agg(q)
+    """Exact quantiles ``q`` with linear interpolation, from the ranks of counted values."""
+    group = group or []
+    ranked = value_ranks(df, column, group)
+    found = []
+    for p in probabilities:
+        at = (F.col("n_all") - 1) * F.lit(float(p))
+        low, high = F.floor(at), F.ceil(at)
+        value = lambda k: F.max(F.when((F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_at")), F.col(column)))
+        found.append(value(low) + (value(high) - value(low)) * (F.max(at) - F.floor(F.max(at))))
+    return (ranked.groupBy(*group) if group else ranked).agg(F.array(*found).alias("q"))
 
 
 def order_statistic(column: str, share: float) -> Column:
@@ -117,13 +130,13 @@ def order_statistic(column: str, share: float) -> Column:
 
 def quantile_labels(df: DataFrame, column: str, parts: int, name: str = "part") -> DataFrame:
     """0-based part by interior quantiles (linear); a value on a cut belongs to the part above it."""
-    cuts = df.agg(F.expr(f"percentile(`{column}`, array({', '.join(str(k / parts) for k in range(1, parts))}))").alias("_cuts"))
+    cuts = linear_quantiles(df, column, [k / parts for k in range(1, parts)]).withColumnRenamed("q", "_cuts")
     label = F.size(F.filter("_cuts", lambda c: c <= F.col(column)))
     return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(F.col(column).isNotNull(), label)).drop("_cuts")
 
 
 def group_quantile_split(df: DataFrame, column: str, group: list[str], parts: int, name: str = "part") -> DataFrame:
-    cuts = df.groupBy(*group).agg(F.expr(f"percentile(`{column}`, array({', '.join(str(k / parts) for k in range(1, parts))}))").alias("_cuts"))
+    cuts = linear_quantiles(df, column, [k / parts for k in range(1, parts)], group).withColumnRenamed("q", "_cuts")
     label = F.size(F.filter("_cuts", lambda c: c <= F.col(column)))
     return df.join(cuts, group).withColumn(name, F.when(F.col(column).isNotNull(), label)).drop("_cuts")
 
@@ -139,7 +152,8 @@ def quota_top(df: DataFrame, quotas: DataFrame, group: list[str], order: list[Co
 
 def bh_adjusted(df: DataFrame, p: str, name: str = "q") -> DataFrame:
     """Benjamini-Hochberg q of every row, over the whole table; NULL p stays NULL."""
-    per = value_ranks(df, p).withColumn("_raw", F.col(p) * F.col("n_all") / (F.col("n_below") + F.col("n_at")))
+    df = settle(df)
+    per = settle(value_ranks(df, p).withColumn("_raw", F.col(p) * F.col("n_all") / (F.col("n_below") + F.col("n_at"))))
     q = running(per, [], [p], quantile_bucket(per, p), {"_q": ("min", F.col("_raw"))}, backward=True).select(F.col(p).alias("_p"), F.least(F.col("_q"), F.lit(1.0)).alias(name))
     return df.join(q, df[p] == q["_p"], "left").drop("_p")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import settle
+
 
 def draw(seed: str, *columns: str) -> Column:
     """A hex digest to order by."""
@@ -35,13 +37,25 @@ def permute_within(df: DataFrame, group: list[str], key: str, value: str, reps:
 
 def column_shuffle(df: DataFrame, key: str, blocks: list[list[str]], seed: str) -> DataFrame:
     """Each block of columns permuted over the rows together, blocks independently."""
-    out = df.select(key, F.row_number().over(Window.orderBy(key)).alias("_i"))
+    out = _numbered(df.select(key), key)
     for k, block in enumerate(blocks):
-        part = df.select(*block, F.row_number().over(Window.orderBy(draw(f"{seed}{k}", key), key)).alias("_i"))
+        part = _numbered(df.select(*block, draw(f"{seed}{k}", key).alias("_d")), "_d").drop("_d")
         out = out.join(part, "_i")
     return out.drop("_i")
 
 
+def _numbered(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``_i``: the place of each row in the order of a column without repeats, by ranges of it.
+
+    Only the row counts of the ranges meet in one task.
+    """
+    parts = settle(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.withColumn("_i", inside).join(F.broadcast(base), "_part").withColumn("_i", F.col("_i") + F.col("_base")).drop("_part", "_base")
+
+
 def circular_shift(df: DataFrame, group: list[str], order: list[str], value: str, shift: int) -> DataFrame:
     """Each row with the value ``shift`` places on in its group, around the end."""
     w = Window.partitionBy(*group)
@@ -134,7 +148,9 @@ def thinned(df: DataFrame, group: list[str], order: list[str], cap: int) -> Data
     w = Window.partitionBy(*group)
     rows = df.select("*", (F.row_number().over(w.orderBy(*order)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
     step = (F.col("_n") - 1) / F.lit(float(max(cap - 1, 1)))
-    keep = (F.col("_n") <= cap) | F.exists(F.sequence(F.lit(0), F.lit(cap - 1)), lambda j: F.round(j * step).cast("long") == F.col("_i"))
+    nearest = F.round(F.col("_i") / step)  # the one number whose place can be this row; its neighbours for halves
+    hit = lambda j: (j >= 0) & (j < cap) & (F.round(j * step).cast("long") == F.col("_i"))
+    keep = (F.col("_n") <= cap) | hit(nearest) | hit(nearest - 1) | hit(nearest + 1)
     return rows.where(keep).drop("_i", "_n")
 
 
@@ -148,3 +164,12 @@ def block_placement(blocks: DataFrame, key: str, length: str, order: str, extent
     gap = (F.coalesce(F.sum("_g").over(before), F.lit(0.0)) + F.col("_g")) / (F.sum("_g").over(w) + last)
     start = gap * free + F.coalesce(F.sum(length).over(before), F.lit(0))
     return rows.select("rep", key, start.alias("start"), (start + F.col(length)).alias("end"))
+
+
+def nearest_controls(wanted: DataFrame, pool: DataFrame, keys: list[str], value: str, control: str, width: float, seed: str, name: str = "control") -> DataFrame:
+    """Each wanted row with the pool row of nearest ``value`` (the lower on equal distance; of equal values the first by hash)."""
+    from .intervals import nearest
+
+    near = nearest(wanted, pool, keys, value, value, width)
+    named = pool.groupBy(*keys, F.col(value).cast("double").alias("nearest_at")).agg(F.min(F.struct(draw(seed, control).alias("d"), F.col(control).alias("c")))["c"].alias(name))
+    return near.join(named, [*keys, "nearest_at"], "left").select(*wanted.columns, name, "distance")

@@ -11,6 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder, so that what reads the table twice does not make it twice."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            path = "file://" + tempfile.mkdtemp(prefix="strandset-")
+        spark.sparkContext.setCheckpointDir(path)
+    return df.checkpoint()
+
+
 def width_bucket(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 

@@ -14,6 +14,7 @@ from ..operators import linear as ln
 from ..operators import ranking as rk
 from ..operators import resampling as rs
 from ..operators import sets as se
+from ..operators.scan import settle
 from .registry import DOSAGE_SQL, EVENTS_SQL, MEMBERS_SQL, dosage, events, query, r6, table, vectors, vectors_sql
 
 HOUR = 3_600_000_000
@@ -321,20 +322,20 @@ def _dims(spark: SparkSession, d: str, n: int) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("person"), F.posexplode(F.slice("embedding", 1, n)).alias("variant", "x")).select("person", "variant", F.col("x").cast("double").alias("ds"))
 
 
-_LD = """WITH x AS (SELECT vec_id, k - 1 AS v, embedding[k]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 9)) AS k)),
+_LD = """WITH x AS (SELECT vec_id, k - 1 AS v, embedding[k]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k)),
 p AS (SELECT a.v AS a, b.v AS b, corr(a.x, b.x) AS r FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.v < b.v GROUP BY ALL)"""
 
 
 @query(_LD + " SELECT a::INTEGER AS a, b::INTEGER AS b, round(r, 6) AS r, round(r * r, 6) AS r2 FROM p")
 def ld_r2_pairs(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "embeddings").count()
-    return st.ld_pairs(_dims(spark, d, 8), "variant", "person", "ds", n).select("a", "b", r6(F.col("r")).alias("r"), r6(F.col("r2")).alias("r2"))
+    return st.ld_pairs(_dims(spark, d, 64), "variant", "person", "ds", n).select("a", "b", r6(F.col("r")).alias("r"), r6(F.col("r2")).alias("r2"))
 
 
-@query(_LD + " SELECT round(64 / (8 + 2 * sum(r * r)), 6) AS m_eff FROM p")
+@query(_LD + " SELECT round(4096 / (64 + 2 * sum(r * r)), 6) AS m_eff FROM p")
 def m_eff(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "embeddings").count()
-    return st.effective_tests(st.ld_pairs(_dims(spark, d, 8), "variant", "person", "ds", n), 8).select(r6(F.col("m_eff")).alias("m_eff"))
+    return st.effective_tests(st.ld_pairs(_dims(spark, d, 64), "variant", "person", "ds", n), 64).select(r6(F.col("m_eff")).alias("m_eff"))
 
 
 @query("""WITH s AS (SELECT n_chars AS s, quality AS t FROM documents JOIN labels USING (doc_id)), g AS (SELECT s, count(*) AS n, sum(t) AS t FROM s GROUP BY 1),
@@ -477,27 +478,27 @@ def wild_signs(spark: SparkSession, d: str) -> DataFrame:
 
 # --- haplotypes and clusters -------------------------------------------------------------
 
-_HAP = "(SELECT person, (event_id % 2)::INTEGER AS copy, w, string_agg(((event_id // 2) % 2)::VARCHAR, '' ORDER BY event_id) AS state FROM (SELECT user_id AS person, event_id, (row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) - 1) // 4 AS w, count(*) OVER (PARTITION BY user_id, event_id % 2) AS n, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) - 1 AS i FROM events) WHERE w < n // 4 AND w < 6 GROUP BY ALL)"
+_HAP = "(SELECT person, (event_id % 2)::INTEGER AS copy, w, string_agg(((event_id // 2) % 2)::VARCHAR, '' ORDER BY event_id) AS state FROM (SELECT user_id AS person, event_id, (row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) - 1) // 4 AS w, count(*) OVER (PARTITION BY user_id, event_id % 2) AS n, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) - 1 AS i FROM events) WHERE w < n // 4 GROUP BY ALL)"
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("person"), (F.col("event_id") % 2).cast("int").alias("copy"), "event_id", (F.floor(F.col("event_id") / 2) % 2).cast("int").alias("allele"))
-    cells = rk.sliding_windows(e, ["person", "copy"], ["event_id"], 4, 4).where("window_id < 6").withColumnRenamed("window_id", "w")
+    cells = rk.sliding_windows(e, ["person", "copy"], ["event_id"], 4, 4).withColumnRenamed("window_id", "w")
     return hp.window_states(cells, "person", "copy", "w", ["event_id"], "allele")
 
 
-_DICT = f"(SELECT w, state, n_people, rank FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n_people DESC, sha256(state)) AS rank FROM (SELECT w, state, count(DISTINCT person) AS n_people FROM {_HAP} GROUP BY w, state) WHERE n_people >= 5) WHERE rank <= 8)"
+_DICT = f"(SELECT w, state, n_people, rank FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n_people DESC, sha256(state)) AS rank FROM (SELECT w, state, count(DISTINCT person) AS n_people FROM {_HAP} GROUP BY w, state) WHERE n_people >= 5) WHERE rank <= 32)"
 
 
 @query(f"SELECT w, state, n_people, rank::INTEGER AS rank FROM {_DICT}")
 def haplo_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return hp.state_dictionary(_states(spark, d), "w", "person", least_people=5, most=8)
+    return hp.state_dictionary(_states(spark, d), "w", "person", least_people=5, most=32)
 
 
 @query(f"WITH h AS {_HAP}, k AS {_DICT} SELECT person, h.w, coalesce(k.state, 'OTHER') AS state, count(*) AS n FROM h LEFT JOIN k ON h.w = k.w AND h.state = k.state GROUP BY ALL")
 def haplo_states(spark: SparkSession, d: str) -> DataFrame:
     states = _states(spark, d)
-    return hp.state_counts(states, hp.state_dictionary(states, "w", "person", least_people=5, most=8), "person", "w")
+    return hp.state_counts(states, hp.state_dictionary(states, "w", "person", least_people=5, most=32), "person", "w")
 
 
 @query("""WITH x AS (SELECT event_type, event_id % 2 AS a, (event_id // 2) % 2 AS b, (event_id // 4) % 2 AS c, (event_id // 8) % 3 - 1 AS d FROM events)
@@ -533,14 +534,15 @@ def greedy_clump(spark: SparkSession, d: str) -> DataFrame:
 def skat_burden(spark: SparkSession, d: str) -> DataFrame:
     """Burden and variance-component tests of each brand's parts with their Cauchy combination."""
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene"))
-    dose = dosage(spark, d).join(parts, "variant")
+    dose = settle(dosage(spark, d).join(parts, "variant"))
     n = table(spark, d, "customer").count()
     scale = F.sqrt(F.sum(F.col("ds") * F.col("ds")) / n - F.pow(F.sum("ds") / n, F.lit(2)))
     means = dose.groupBy(F.col("variant").alias("id"), "gene").agg((F.sum("ds") / n / scale).alias("mean"))
     z = st.single_variant_z(dose, nation_residuals(spark, d), "variant", "person", "ds").where("v > 0")
-    stats = z.select(F.col("variant").alias("id"), (F.col("u") / F.sqrt("v")).alias("u")).join(means, "id").withColumn("w", F.lit(1.0))
+    stats = settle(z.select(F.col("variant").alias("id"), (F.col("u") / F.sqrt("v")).alias("u")).join(means, "id").withColumn("w", F.lit(1.0)))
     ld = st.ld_pairs(dose, "variant", "person", "ds", n, group="gene").select("gene", "a", "b", F.col("r").alias("s"))
     own = stats.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("s"))
+    ld = settle(ld)
     cov = ld.unionByName(ld.select("gene", F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(own)
     burden = st.burden_test(stats, cov, "gene", "id", mean="mean").select("gene", "p")
     kernel = st.skat(stats, cov, "gene", "id", mean="mean").select("gene", "p")

@@ -158,10 +158,12 @@ def key_values(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """``i, j, v`` triples; comments and the size line are left out."""
     part = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(~F.col("value").startswith("%")).select(part.alias("p"))
-    sized = rows.where(F.size("p") == 3).select(F.get("p", F.lit(0)).cast("long").alias("i"), F.get("p", F.lit(1)).cast("long").alias("j"), F.get("p", F.lit(2)).cast("double").alias("v"))
-    head = spark.read.text(path).where(~F.col("value").startswith("%")).limit(1).select(part.alias("h")).select(*[F.get("h", F.lit(i)).cast("double").alias(f"h{i}") for i in range(3)])
-    return sized.join(F.broadcast(head), (F.col("i") == F.col("h0")) & (F.col("j") == F.col("h1")) & (F.col("v") == F.col("h2")), "left_anti")
+    # the size line is the first that is no comment: by file, then by its place in the file
+    part_of = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+    rows = spark.read.text(path).select("value", part_of.alias("at")).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    heads = rows.groupBy("at.f").agg(F.min("at").alias("at")).select("at")
+    rows = rows.join(heads, "at", "left_anti").select(part.alias("p"))
+    return rows.where(F.size("p") == 3).select(F.get("p", F.lit(0)).cast("long").alias("i"), F.get("p", F.lit(1)).cast("long").alias("j"), F.get("p", F.lit(2)).cast("double").alias("v"))
 
 
 def square_matrix(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -216,3 +218,26 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def members_only(spark: SparkSession, path: str, column: str, keys: list) -> DataFrame:
     """A Parquet scan with a pushed membership filter."""
     return spark.read.parquet(path).where(F.col(column).isin(keys))
+
+
+def arrays(spark: SparkSession, path: str) -> DataFrame:
+    """``array, i, j, value`` of one- and two-dimensional numeric arrays in npy and npz files (a file is one task)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                got = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                whole = {k: got[k] for k in got.files} if hasattr(got, "files") else {name.rsplit("/", 1)[-1].removesuffix(".npy"): got}
+                for key, x in whole.items():
+                    x = x.astype(np.float64).reshape(len(x), -1)
+                    for at in range(0, len(x), 10_000):
+                        part = x[at : at + 10_000]
+                        i, j = np.indices(part.shape)
+                        yield pa.RecordBatch.from_arrays([pa.array([key]).take(pa.array(np.zeros(part.size, np.int32))), pa.array(i.ravel() + at), pa.array(j.ravel()), pa.array(part.ravel())], ["array", "i", "j", "value"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "array string, i long, j long, value double")
