@@ -132,13 +132,18 @@ def hit_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("hit_rate")) for c in columns])).alias("r")).select("r.*")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; NULL (not an error) where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
 def correlations(df: DataFrame, columns: list[str], least: int = 200) -> DataFrame:
-    """Pearson correlation of each pair of columns over complete rows, NULL below ``least`` of them; one pass."""
+    """Pearson correlation of each pair of columns over complete rows, NULL below ``least`` of them or for a constant; one pass."""
     pairs = list(combinations(columns, 2))
     aggs = []
     for a, b in pairs:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.count_if(both).alias(f"n|{a}|{b}"), F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"r|{a}|{b}")]
+        aggs += [F.count_if(both).alias(f"n|{a}|{b}"), correlation(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"r|{a}|{b}")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`n|{a}|{b}`").alias("n"), F.when(F.col(f"`n|{a}|{b}`") >= least, F.col(f"`r|{a}|{b}`")).alias("r")) for a, b in pairs]
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import CHI2_MEDIAN_1DF, chi2_sf, erfc_exact, normal_sf
-from .aggregates import mutual_information
+from .aggregates import correlation, mutual_information
 from .joins import pairs_within
 from .ranking import average_rank
 from .scan import quantile_bucket, running
@@ -232,7 +232,7 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str], least: int = 3) ->
     """Spearman correlation of each group over complete pairs; NULL for few rows or a constant."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = rows.withColumns({"_rx": average_rank(x, group), "_ry": average_rank(y, group)})
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"), F.var_pop("_rx").alias("_a"), F.var_pop("_ry").alias("_b"))
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.var_pop("_rx").alias("_a"), F.var_pop("_ry").alias("_b"))
     return out.select(*group, "n", F.when((F.col("n") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("rho")).alias("rho"))
 
 
@@ -350,18 +350,31 @@ def effective_tests(pairs: DataFrame, m: int) -> DataFrame:
 
 
 def effective_rank(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """exp of the entropy of normalised singular values of each group's matrix; NULL for a constant or single row."""
+    """exp of the entropy of normalised singular values of each group's centred matrix; NULL for a constant or single row.
+
+    Tasks sum products of coordinates; only these square matrices meet, whatever the rows.
+    """
     kind = df.schema[group].dataType.simpleString()
 
+    def partial(frames):
+        held: dict = {}
+        for pdf in frames:
+            for key, own in pdf.groupby(group, dropna=False, sort=False)[vector]:
+                x = np.column_stack([np.ones(len(own)), np.array(own.tolist(), float)])
+                held[key] = held.get(key, 0) + x.T @ x
+        yield pd.DataFrame({group: list(held), "_products": [m.ravel() for m in held.values()]})
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf[vector].tolist(), float)
-        x = x - x.mean(0)
-        s = np.linalg.svd(x, compute_uv=False)
-        s = s[s > 1e-10]
+        g = np.sum(pdf._products.tolist(), axis=0)
+        g = g.reshape(int(np.sqrt(len(g))), -1)
+        cov = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0]
+        lam = np.linalg.eigvalsh(cov)
+        s = np.sqrt(lam[lam > 1e-12 * np.abs(g[1:, 1:]).max(initial=0)])
         p = s / s.sum() if len(s) else s
         return pd.DataFrame({group: [pdf[group].iloc[0]], "effective_rank": [float(np.exp(-(p * np.log(p)).sum())) if len(s) else None]})
 
-    return df.select(group, vector).groupBy(group).applyInPandas(one, f"{group} {kind}, effective_rank double")
+    parts = df.select(group, F.col(vector).cast("array<double>").alias(vector)).mapInPandas(partial, f"{group} {kind}, _products array<double>")
+    return parts.groupBy(group).applyInPandas(one, f"{group} {kind}, effective_rank double")
 
 
 def co_carriers(dosage: DataFrame, variant: str, person: str, ds: str, threshold: float = 0.5) -> DataFrame:

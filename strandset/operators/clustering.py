@@ -51,7 +51,17 @@ def _fields(df: DataFrame, *names: str) -> str:
 
 
 def greedy_clump(df: DataFrame, group: list[str], key: str, pos: str, p: str, reach: float) -> DataFrame:
-    """Each row's lead: most significant first, a row goes to the first lead within reach."""
+    """Each row's lead: most significant first, a row goes to the first lead within reach.
+
+    Rows on both sides of a gap wider than ``reach`` cannot meet, so each stretch without
+    such a gap is one task's group.
+    """
+    from .intervals import merge_intervals, point_in_interval
+
+    width = 64.0 * reach
+    points = df.select(*group, F.col(pos).alias("_lo"), F.col(pos).alias("_hi"))
+    stretches = merge_intervals(points, group, "_lo", "_hi", width, gap=reach).select(*group, F.col("start").alias("_stretch"), F.col("end").alias("_until"))
+    df = point_in_interval(df.select(*dict.fromkeys([*group, key, pos, p])), stretches, group, pos, "_stretch", "_until", width, "both")
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([p, pos, key], kind="stable").reset_index(drop=True)
@@ -62,7 +72,7 @@ def greedy_clump(df: DataFrame, group: list[str], key: str, pos: str, p: str, re
         return pdf[group + [key]].assign(lead=pdf[key].to_numpy()[lead], is_lead=(lead == np.arange(len(pdf))).astype(int))
 
     schema = f"{_fields(df, *group, key)}, lead {df.schema[key].dataType.simpleString()}, is_lead long"
-    return _per_group(df.select(*dict.fromkeys([*group, key, pos, p])), group, step, schema)
+    return _per_group(df.drop("_until"), [*group, "_stretch"], step, schema)
 
 
 def greedy_ld_clump(df: DataFrame, edges: DataFrame, group: list[str], key: str, p: str) -> DataFrame:

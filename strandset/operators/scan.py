@@ -30,8 +30,10 @@ def width_bucket(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def quantile_bucket(df: DataFrame, column: str, buckets: int = 64) -> Column:
-    """Bucket numbers cut at approximate quantiles (at most ``buckets`` numbers reach the driver)."""
+def quantile_bucket(df: DataFrame, column: str, buckets: int = 64, few: int = 50_000) -> Column:
+    """Bucket numbers cut at approximate quantiles (at most ``buckets`` numbers reach the driver); one bucket holds a few rows."""
+    if df.count() <= few:
+        return F.lit(0)
     knots = sorted(set(df.stat.approxQuantile(column, [k / buckets for k in range(1, buckets)], 0.01)))
     if not knots:
         return F.lit(0)

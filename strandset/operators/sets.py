@@ -43,10 +43,10 @@ def duplicate_vectors(df: DataFrame, columns: list[str], digits: int) -> DataFra
     return df.select(*rounded).groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, blocks: int = 16) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, block_rows: int = 20_000) -> DataFrame:
     """The k nearest vectors (Euclidean) of each query, exactly.
 
-    Vectors are dealt to blocks; each pair of a query block and a vector block is one task
+    Vectors are dealt to blocks of about ``block_rows``; each pair of a query block and a vector block is one task
     of matrix products that returns k candidates a query, and the best k of those remain.
     No row is paired with another as a row.
     """
@@ -54,6 +54,7 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, queries: Da
     import pandas as pd
 
     queries = df if queries is None else queries
+    blocks = max(4, -(-max(df.count(), queries.count()) // block_rows))
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     deal = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("qb"), deal.alias("vb"), F.lit(True).alias("query"))

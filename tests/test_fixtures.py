@@ -225,3 +225,32 @@ def test_constant_columns_have_no_correlation(spark):
     got = {(r.a, r.b): r.r for r in ag.correlations(df, ["c", "x", "y"]).collect()}
     assert all(v is None or math.isnan(v) for k, v in got.items() if "c" in k and k[0] != k[1])
     assert math.isclose(next(v for k, v in got.items() if set(k) == {"x", "y"}), 1.0)
+    flat = spark.createDataFrame([("a", 1.0, float(k)) for k in range(9)] + [("b", float(k), float(-k)) for k in range(9)], "g string, x double, y double")
+    rho = {r.g: r.rho for r in st.spearman(flat, "x", "y", ["g"]).collect()}
+    assert rho["a"] is None and math.isclose(rho["b"], -1.0)
+
+
+def test_effective_rank_from_products(spark):
+    rng = np.random.default_rng(6)
+    x = {g: rng.normal(size=(30, 5)) * [3, 2, 1, 0.1, 0] + 7 for g in (0, 1)}
+    x[2] = np.ones((4, 5))
+    df = spark.createDataFrame([(g, [float(v) for v in row]) for g, m in x.items() for row in m], "g int, v array<double>").repartition(5)
+    for r in st.effective_rank(df, "g", "v").collect():
+        s = np.linalg.svd(x[r.g] - x[r.g].mean(0), compute_uv=False)
+        s = s[s > 1e-9]
+        p = s / s.sum()
+        assert (r.effective_rank is None) == (r.g == 2) and (r.g == 2 or math.isclose(r.effective_rank, np.exp(-(p * np.log(p)).sum()), rel_tol=1e-6))
+
+
+def test_nearest_neighbours_in_many_blocks(spark):
+    from strandset.operators import sets as se
+
+    x = np.random.default_rng(8).normal(size=(60, 3)).round(1)
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "k long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for rows in (20_000, 7):
+        got = {}
+        for r in se.nearest_neighbours(df, "k", "v", 3, block_rows=rows).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.distance
+        for i in range(60):
+            assert np.allclose([got[i][k] for k in (1, 2, 3)], np.sort(np.delete(d[i], i))[:3], atol=1e-6)

@@ -3,12 +3,15 @@
 import gzip
 import io
 import json
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandset.operators.intervals import point_in_interval
 from strandset.sources import readers as rd
 from strandset.sources import sinks as sk
 from strandset.streaming import events as ev
@@ -137,3 +140,38 @@ def test_streams_equal_the_batch(spark, tmp_path):
         q = stream.writeStream.format("memory").queryName(f"s{k}").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c{k}").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert sorted(map(tuple, spark.table(f"s{k}").collect())) == sorted(map(tuple, f(rows).collect()))
+
+
+def bigwig_file(names, blocks, packed):
+    """A file with one chromosome leaf and one index leaf over blocks ``(chrom, kind, start, step, span, records)``."""
+    key = max(map(len, names))
+    tree = struct.pack("<IIIIQQ", rd.CHROM_TREE_MARK, len(names), key, 8, len(names), 0) + struct.pack("<BBH", 1, 0, len(names))
+    tree += b"".join(n.encode().ljust(key, b"\0") + struct.pack("<II", k, 1000) for k, n in enumerate(names))
+    data, places = b"", []
+    begin = 64 + len(tree)
+    for chrom, kind, start, step, span, records in blocks:
+        body = struct.pack("<IIIIIBBH", chrom, start, 0, step, span, kind, 0, len(records))
+        body += b"".join(struct.pack({1: "<IIf", 2: "<If", 3: "<f"}[kind], *r) for r in records)
+        body = zlib.compress(body) if packed else body
+        places.append((chrom, begin + len(data), len(body)))
+        data += body
+    index = struct.pack("<IIQIIIIQII", rd.INDEX_MARK, 4, len(places), 0, 0, 0, 0, 0, 1, 0) + struct.pack("<BBH", 1, 0, len(places))
+    index += b"".join(struct.pack("<IIIIQQ", c, 0, c, 0, at, size) for c, at, size in places)
+    head = struct.pack("<IHHQQQHHQQIQ", rd.BIGWIG_MARK, 4, 0, 64, begin, begin + len(data), 0, 0, 0, 0, 4096 if packed else 0, 0)
+    return head + tree + data + index
+
+
+def test_signal_lookup(spark, tmp_path):
+    blocks = [(0, 1, 0, 0, 0, [(5, 10, 1.5), (20, 21, 2.0)]), (1, 2, 0, 0, 3, [(7, 4.0), (100, 5.0)]), (1, 3, 200, 10, 5, [(6.0,), (7.0,)])]
+    want = [("1", 5, 10, 1.5), ("1", 20, 21, 2.0), ("X", 7, 10, 4.0), ("X", 100, 103, 5.0), ("X", 200, 205, 6.0), ("X", 210, 215, 7.0)]
+    for packed in (True, False):
+        path = tmp_path / f"{packed}.bw"
+        path.write_bytes(bigwig_file(["chr1", "chrX"], blocks, packed))
+        signal = rd.bigwig(spark, f"file://{path}")
+        assert sorted(map(tuple, signal.collect())) == want
+    points = spark.createDataFrame([("1", 5), ("1", 6), ("1", 10), ("1", 11), ("X", 202), ("X", 206)], "chrom string, pos long")
+    got = {(r.chrom, r.pos): r.value for r in point_in_interval(points, signal, ["chrom"], "pos", "start", "end", 64.0, how="left").collect()}
+    assert got == {("1", 5): None, ("1", 6): 1.5, ("1", 10): 1.5, ("1", 11): None, ("X", 202): 6.0, ("X", 206): None}
+    (tmp_path / "no.bw").write_bytes(b"x" * 100)
+    with pytest.raises(Exception):
+        rd.bigwig(spark, f"file://{tmp_path}/no.bw").collect()
