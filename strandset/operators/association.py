@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import CHI2_MEDIAN_1DF, chi2_sf, erfc_exact, normal_sf
 from .aggregates import correlation, mutual_information
-from .joins import pairs_within
+from .joins import dealt_sides, pairs_within
 from .ranking import average_rank
 from .scan import quantile_bucket, running
 
@@ -331,10 +331,11 @@ def ld_pairs(dosage: DataFrame, variant: str, person: str, ds: str, n_people: in
     keys = [group] if group else []
     per = dosage.groupBy(*keys, variant).agg(F.sum(ds).alias("s"), F.sum(F.col(ds) * F.col(ds)).alias("q"))
     cols = [*keys, person, variant, ds] + ([place] if place else [])
-    a = dosage.select(*cols).withColumnsRenamed({variant: "a", ds: "x"} | ({place: "pa"} if place else {}))
-    b = dosage.select(*cols).withColumnsRenamed({variant: "b", ds: "y"} | ({place: "pb"} if place else {}))
+    left, right = dealt_sides(dosage.select(*cols), [*keys, person], variant)
+    a = left.withColumnsRenamed({variant: "a", ds: "x"} | ({place: "pa"} if place else {}))
+    b = right.withColumnsRenamed({variant: "b", ds: "y"} | ({place: "pb"} if place else {}))
     near = (F.col("a") < F.col("b")) & ((F.abs(F.col("pa") - F.col("pb")) <= reach) if place and reach is not None else F.lit(True))
-    both = a.join(b, [*keys, person]).where(near).groupBy(*keys, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n_shared"))
+    both = a.join(b, [*keys, person, "_deal"]).where(near).groupBy(*keys, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n_shared"))
     of_a = per.select(*keys, F.col(variant).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa"))
     of_b = per.select(*keys, F.col(variant).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb"))
     out = both.join(of_a, [*keys, "a"]).join(of_b, [*keys, "b"])
@@ -377,13 +378,14 @@ def effective_rank(df: DataFrame, group: str, vector: str) -> DataFrame:
     return parts.groupBy(group).applyInPandas(one, f"{group} {kind}, effective_rank double")
 
 
-def co_carriers(dosage: DataFrame, variant: str, person: str, ds: str, threshold: float = 0.5) -> DataFrame:
-    """Shared carriers of variant pairs and the Jaccard of their carrier sets."""
-    carried = dosage.where(F.col(ds) >= threshold).select(variant, person).distinct()
-    n = carried.groupBy(variant).agg(F.count("*").alias("n"))
-    both = pairs_within(carried, [person], variant)
+def co_carriers(dosage: DataFrame, variant: str, person: str, ds: str, threshold: float = 0.5, inside: list[str] | None = None) -> DataFrame:
+    """Shared carriers of variant pairs (of one value of the columns ``inside``) and the Jaccard of their carrier sets."""
+    inside = inside or []
+    carried = dosage.where(F.col(ds) >= threshold).select(*inside, variant, person).distinct()
+    n = carried.groupBy(variant).agg(F.count_distinct(person).alias("n"))
+    both = pairs_within(carried, [person], variant, inside)
     out = both.join(n.select(F.col(variant).alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col(variant).alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", "n_common", (F.col("n_common") / (F.col("na") + F.col("nb") - F.col("n_common"))).alias("jaccard"))
+    return out.select(*inside, "a", "b", "n_common", (F.col("n_common") / (F.col("na") + F.col("nb") - F.col("n_common"))).alias("jaccard"))
 
 
 def pattern_recurrence(df: DataFrame, person: str, item: str) -> DataFrame:

@@ -70,15 +70,27 @@ def position_check(left: DataFrame, right: DataFrame, place: list[str], alleles:
     return joined.withColumn("allele_status", F.when(same, "same").when(swap, "swapped").otherwise("mismatch"))
 
 
-def pairs_within(df: DataFrame, group: list[str], item: str) -> DataFrame:
+def dealt_sides(rows: DataFrame, group: list[str], item: str, part_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """``rows`` for both sides of a join on ``group`` and ``_deal``: a group of many rows is dealt by
+    ``item`` to parts of about ``part_rows`` on the left, and copied to each of them on the right."""
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(float(part_rows))).cast("int").alias("_deals"))
+    sized = rows.join(sizes, group)
+    left = sized.withColumn("_deal", F.pmod(F.xxhash64(item), F.col("_deals")).cast("int"))
+    return left.drop("_deals"), sized.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
+
+
+def pairs_within(df: DataFrame, group: list[str], item: str, inside: list[str] | None = None) -> DataFrame:
     """Distinct items of a group that occur together, as ``a < b`` with their common groups counted.
 
     The sets of a group are pre-aggregated; groups are the join key, so no group is
-    crossed with another.
+    crossed with another, and a large one is dealt to many tasks.  Pairs are kept apart by
+    the columns ``inside``.
     """
-    one = df.select(*group, item).distinct()
-    left, right = one.withColumnRenamed(item, "a"), one.withColumnRenamed(item, "b")
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"))
+    inside = inside or []
+    key = [*group, *inside]
+    left, right = dealt_sides(df.select(*key, item).distinct(), key, item)
+    both = left.withColumnRenamed(item, "a").join(right.withColumnRenamed(item, "b"), [*key, "_deal"]).where("a < b")
+    return both.groupBy(*inside, "a", "b").agg(F.count("*").alias("n_common"))
 
 
 def best_match(df: DataFrame, group: str, item: str) -> DataFrame:

@@ -357,10 +357,13 @@ def topk_recall(spark: SparkSession, d: str) -> DataFrame:
     return st.top_k_recall(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").where("quality = 0"), "doc_id", "n_chars", [50, 100, 150]).withColumn("recall", r6(F.col("recall")))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT variant, person FROM {DOSAGE_SQL} WHERE ds >= 0.5), n AS (SELECT variant, count(*) AS n FROM c GROUP BY 1)
-SELECT a.variant AS a, b.variant AS b, count(*) AS n_common, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM c a JOIN c b ON a.person = b.person AND a.variant < b.variant JOIN n x ON x.variant = a.variant JOIN n y ON y.variant = b.variant GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY a.variant, b.variant"))
+@query(f"""WITH c AS (SELECT DISTINCT gene, variant, person FROM {DOSAGE_SQL} JOIN {MEMBERS_SQL} USING (variant) WHERE ds >= 0.5), n AS (SELECT variant, count(*) AS n FROM c GROUP BY 1)
+SELECT a.gene AS gene, a.variant AS a, b.variant AS b, count(*) AS n_common, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard
+FROM c a JOIN c b ON a.gene = b.gene AND a.person = b.person AND a.variant < b.variant JOIN n x ON x.variant = a.variant JOIN n y ON y.variant = b.variant GROUP BY a.gene, a.variant, b.variant""")
 def co_carriers(spark: SparkSession, d: str) -> DataFrame:
-    return st.co_carriers(dosage(spark, d), "variant", "person", "ds").withColumn("jaccard", r6(F.col("jaccard")))
+    """Pairs of one gene's variants by the people who carry both."""
+    carried = dosage(spark, d).join(members(spark, d).select("variant", "gene"), "variant")
+    return st.co_carriers(carried, "variant", "person", "ds", inside=["gene"]).withColumn("jaccard", r6(F.col("jaccard")))
 
 
 @query("SELECT pattern, count(*) AS n FROM (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS pattern FROM events WHERE value > 60 GROUP BY 1) GROUP BY 1")

@@ -254,3 +254,19 @@ def test_nearest_neighbours_in_many_blocks(spark):
             got.setdefault(r.query_id, {})[r["rank"]] = r.distance
         for i in range(60):
             assert np.allclose([got[i][k] for k in (1, 2, 3)], np.sort(np.delete(d[i], i))[:3], atol=1e-6)
+
+
+def test_pairs_of_a_large_group_are_dealt(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(p), int(v), "ab"[v % 2]) for p in range(4) for v in rng.permutation(40)[: 30 if p else 40]]
+    df = spark.createDataFrame(rows, "p long, v long, g string")
+    left, right = jn.dealt_sides(df, ["p"], "v", part_rows=7)
+    assert left.groupBy("p", "_deal").count().agg(F.max("count")).first()[0] < 30 and right.count() > left.count() == len(rows)
+    want = {}
+    for p, v, g in rows:
+        for q, w, h in rows:
+            if p == q and g == h and v < w:
+                want[g, v, w] = want.get((g, v, w), 0) + 1
+    assert {(r.g, r.a, r.b): r.n_common for r in jn.pairs_within(df, ["p"], "v", ["g"]).collect()} == want
+    dealt = left.withColumnRenamed("v", "a").join(right.withColumnRenamed("v", "b").drop("g"), ["p", "_deal"]).where("a < b").count()
+    assert dealt == sum(n * (n - 1) // 2 for n in [40, 30, 30, 30])
