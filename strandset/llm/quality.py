@@ -40,6 +40,8 @@ BITS = 16
 VOCABULARY = 1 << BITS
 #: Grams of the model that are sent to the executors at a time (16 bytes each).
 BLOCK_GRAMS = 2_000_000
+#: Rows of a few numbers, one for each language, that may be broadcast.
+FEW_LANGS = 10_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Characters of a window; a text's log perplexity is the median of its windows, so that a
@@ -178,6 +180,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def _few(by_lang: DataFrame) -> DataFrame:
+    """One row a language, by broadcast unless there are more than ``FEW_LANGS``: a frequent language stays spread."""
+    rows = materialize(by_lang, "langs")
+    return F.broadcast(rows) if rows.count() <= FEW_LANGS else rows
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """``lang, order, gram, logp, backoff`` of modified Kneser-Ney smoothing.
 
@@ -200,7 +208,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         discounts = [F.when(known & r.between(0.0, float(k)), r).otherwise(d).alias(f"d{k}") for k, r, d in zip((1, 2, 3), raw, (0.5, 1.0, 1.5))]
         n = n.select("lang", *discounts)
         context = F.shiftrightunsigned("gram", BITS).alias("context")
-        rows = grams.select("lang", "gram", "c", context).join(n, "lang")
+        rows = grams.select("lang", "gram", "c", context).join(_few(n), "lang")
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumn("d", F.least(d, F.col("c")))
         of_context = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
@@ -378,9 +386,9 @@ def judge(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Base counts, ``base_failed``, ``log_ppl`` and ``kept`` of every document."""
     model = materialize(kneser_ney(materialize(count_grams(docs), "grams")), "model")
     scored = materialize(scores(docs, model, block_grams), "scores")
-    limits = materialize(bands(scored), "bands")
+    limits = bands(scored)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     margin = MARGIN / F.sqrt(F.greatest("n_chars", F.lit(1)))
     inside = F.col("log_ppl").between(F.col("middle") - WIDTH_LOW * F.col("deviation") - margin, F.col("middle") + WIDTH_HIGH * F.col("deviation") + margin)
-    joined = scored.join(limits, "lang", "left").withColumn("base_failed", failed)
+    joined = scored.join(_few(limits), "lang", "left").withColumn("base_failed", failed)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), F.round("log_ppl", 6).alias("log_ppl"))
