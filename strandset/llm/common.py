@@ -62,6 +62,8 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+        del batch
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
