@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Chunks that each half of a worker's memory holds (about 180 bytes each).
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 160_000
 #: Characters given to the library in one call.
 CALL_CHARS = 200_000
 #: Bytes of texts that are split into chunks at a time (a longer text alone), and chunks whose ids are gathered at a time.
