@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chatformat, decontam, htmltext, langid, linededup, packing, pii, quality, ranked, repair, simhash, toxicity
+from . import chatformat, decontam, htmltext, langid, linededup, packing, pii, quality, ranked, repair, simhash, structure, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,6 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_perplexity_quality, op2_chat_format, op3_decontamination, op4_token_binary, op5_simhash_dedup, op6_html_extraction, op7_best_fit_packing, op8_toxicity, op9_line_dedup, op10_personal_data, op12_language_id, op13_ranked_search)
+    for f in (op1_perplexity_quality, op2_chat_format, op3_decontamination, op4_token_binary, op5_simhash_dedup, op6_html_extraction, op7_best_fit_packing, op8_toxicity, op9_line_dedup, op10_personal_data, op11_structure_repair, op12_language_id, op13_ranked_search)
 }
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": linededup.ORACLE, "op13_ranked_search": ranked.ORACLE}
