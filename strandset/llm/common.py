@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,13 +58,22 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return out
 
 
+def give_back() -> None:
+    """Return memory that Python and Arrow hold but do not use: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices, so that few of their rows are Python objects at a time."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
         del batch
-        pa.default_memory_pool().release_unused()  # a worker lives on after its task
+        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

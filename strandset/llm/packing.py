@@ -128,6 +128,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             k = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], kinds)], names[:k])
+        enc.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

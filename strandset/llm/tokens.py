@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 END_ID = 1
 #: Chunks that each half of a worker's memory holds (about 180 bytes each).
 CACHE_CHUNKS = 160_000
@@ -53,7 +55,7 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str) -> "ChunkEncoder":
-    """The encoder of this worker process; its table is kept between tasks."""
+    """The encoder of this worker process; its vocabulary is kept between tasks, its table of chunks is not."""
     if path not in _loaded:
         _loaded[path] = ChunkEncoder(path)
     return _loaded[path]
@@ -72,6 +74,11 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the table: called at the end of a task, since idle workers and other operators' tasks share the executor."""
+        self.known, self.older = {}, {}
+        give_back()
+
     def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks not met before.
 
