@@ -87,12 +87,13 @@ def from_end(line: Column, sep: str, offset: int) -> Column:
     return F.element_at(F.split(line, sep), -offset)
 
 
-def lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
-    text = spark.read.text(path)
+def lines(spark: SparkSession, path: str | DataFrame, comment: str = "#") -> DataFrame:
+    """Lines of text files, or of a table that has them as ``value`` (:func:`strandset.sources.indexed.indexed_lines`)."""
+    text = path.select("value") if isinstance(path, DataFrame) else spark.read.text(path)
     return text.where(~F.col("value").startswith(comment)) if comment else text
 
 
-def vcf_sites(spark: SparkSession, path: str) -> DataFrame:
+def vcf_sites(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """``chrom, pos, id, ref, alt, filter, info`` (a map) of variant lines, one row an alternative allele."""
     part = F.split("value", "\t")
     rows = lines(spark, path).select(*[F.get(part, F.lit(i)).alias(n) for i, n in enumerate(["chrom", "pos", "id", "ref", "alts", "qual", "filter", "info"])])
@@ -105,7 +106,7 @@ def vcf_samples(spark: SparkSession, path: str) -> list[str]:
     return header.value.split("\t")[9:] if header else []
 
 
-def vcf_cells(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def vcf_cells(spark: SparkSession, path: str | DataFrame, fields: list[str]) -> DataFrame:
     """``chrom, pos, ref, alt, sample_idx`` and the named cell fields of biallelic lines."""
     part = F.split("value", "\t")
     base = lines(spark, path).select(bare_chrom(F.get(part, F.lit(0))).alias("chrom"), F.get(part, F.lit(1)).cast("long").alias("pos"), F.get(part, F.lit(3)).alias("ref"), F.get(part, F.lit(4)).alias("alt"), F.split(F.get(part, F.lit(8)), ":").alias("_format"), F.posexplode(F.slice(part, F.lit(10), F.greatest(F.size(part) - 9, F.lit(0)))).alias("sample_idx", "_cell"))
@@ -123,7 +124,7 @@ def region(df: DataFrame, chrom: str, low: int, high: int) -> DataFrame:
     return df.where((F.col("chrom") == chrom) & F.col("pos").between(low, high))
 
 
-def gtf_genes(spark: SparkSession, path: str, biotype: str | None = "protein_coding") -> DataFrame:
+def gtf_genes(spark: SparkSession, path: str | DataFrame, biotype: str | None = "protein_coding") -> DataFrame:
     """``chrom, start, end, strand, gene_id, gene_name, tss`` of gene lines."""
     part = F.split("value", "\t")
     rows = lines(spark, path).where(F.get(part, F.lit(2)) == "gene").select(bare_chrom(F.get(part, F.lit(0))).alias("chrom"), F.get(part, F.lit(3)).cast("long").alias("start"), F.get(part, F.lit(4)).cast("long").alias("end"), F.get(part, F.lit(6)).alias("strand"), F.get(part, F.lit(8)).alias("_a"))
@@ -131,7 +132,7 @@ def gtf_genes(spark: SparkSession, path: str, biotype: str | None = "protein_cod
     return out.where(F.col("biotype") == biotype) if biotype else out
 
 
-def bed(spark: SparkSession, path: str, columns: dict[str, int] | None = None, chroms: list[str] | None = None) -> DataFrame:
+def bed(spark: SparkSession, path: str | DataFrame, columns: dict[str, int] | None = None, chroms: list[str] | None = None) -> DataFrame:
     """``chrom, start, end`` and named extra columns (0-based field numbers) of interval lines."""
     part = F.split("value", "\t")
     names = {"chrom": 0, "start": 1, "end": 2} | (columns or {})
@@ -167,18 +168,39 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def square_matrix(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """``i, j, r`` of a raw little-endian float32 square matrix file."""
+    """``i, j, r`` of a raw little-endian float32 square matrix file; tasks read stretches of its rows by offset."""
+    return _matrix_rows(spark, path, 0, n, n, "<f4").select(F.col("i"), F.col("j"), F.col("value").alias("r"))
+
+
+#: Cells of a matrix that are one row of the scan's plan, and that a batch holds.
+STRETCH_CELLS = 4_000_000
+BATCH_CELLS = 200_000
+
+
+def _matrix_rows(spark: SparkSession, path: str, offset: int, rows: int, width: int, dtype: str) -> DataFrame:
+    """``i, j, value`` of a row-major array of numbers that begins at ``offset`` of a file of any size."""
     import numpy as np
     import pyarrow as pa
 
+    from .indexed import Ranges
+
+    item = np.dtype(dtype).itemsize
+    per, step = max(1, STRETCH_CELLS // max(1, width)), max(1, BATCH_CELLS // max(1, width))
+
     def run(batches):
+        file = Ranges(path)
         for batch in batches:
-            for content in batch.column(0):
-                x = np.frombuffer(content.as_py(), "<f4").reshape(n, n)
-                for i in range(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int64)), pa.array(np.arange(n, dtype=np.int64)), pa.array(x[i].astype(np.float64))], ["i", "j", "r"])
+            for stretch in batch.column(0).to_pylist():
+                for first in range(stretch * per, min(rows, (stretch + 1) * per), step):
+                    n = min(step, rows - first, (stretch + 1) * per - first)
+                    raw = file.at(offset + first * width * item, n * width * item)
+                    if len(raw) != n * width * item:
+                        raise SchemaError(f"{path} is too short for its shape")
+                    x = np.frombuffer(raw, dtype).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + n, dtype=np.int64), width)), pa.array(np.tile(np.arange(width, dtype=np.int64), n)), pa.array(x)], ["i", "j", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "i long, j long, r double")
+    stretches = -(-rows // per)
+    return spark.range(0, stretches, 1, max(1, stretches)).mapInArrow(run, "i long, j long, value double")
 
 
 def union_of(frames: list[DataFrame]) -> DataFrame:
@@ -220,8 +242,27 @@ def members_only(spark: SparkSession, path: str, column: str, keys: list) -> Dat
     return spark.read.parquet(path).where(F.col(column).isin(keys))
 
 
+def array_file(spark: SparkSession, path: str) -> DataFrame:
+    """``i, j, value`` of one npy file of any size with one or two dimensions; tasks read stretches of its rows by offset."""
+    import io
+
+    import numpy as np
+
+    from .indexed import Ranges
+
+    head = io.BytesIO(Ranges(path).at(0, 1 << 16))
+    shape, columns_first, dtype = (np.lib.format.read_array_header_1_0, np.lib.format.read_array_header_2_0)[np.lib.format.read_magic(head)[0] - 1](head)
+    if dtype.kind not in "fiub" or len(shape) not in (1, 2):
+        raise SchemaError(f"{path} holds {dtype} of shape {shape}, not a vector or matrix of numbers")
+    rows, width = (shape[0], 1) if len(shape) == 1 else shape
+    if columns_first and len(shape) == 2:
+        return _matrix_rows(spark, path, head.tell(), width, rows, dtype.str).select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
+    return _matrix_rows(spark, path, head.tell(), rows, width, dtype.str)
+
+
 def arrays(spark: SparkSession, path: str) -> DataFrame:
-    """``array, i, j, value`` of one- and two-dimensional numeric arrays in npy and npz files (a file is one task)."""
+    """``array, i, j, value`` of one- and two-dimensional numeric arrays in small npy and npz files (a file is one task);
+    a large npy file is :func:`array_file`."""
     import numpy as np
     import pyarrow as pa
 
@@ -243,78 +284,12 @@ def arrays(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "array string, i long, j long, value double")
 
 
-def bigwig(spark: SparkSession, path: str) -> DataFrame:
-    """``chrom, start, end, value`` (half-open, 0-based) of bigWig signal files; a file is one task, a block at a time.
+def bigwig(spark: SparkSession, path: str, regions: list[str] | None = None) -> DataFrame:
+    """``chrom, start, end, value`` (half-open, 0-based) of bigWig signal files, blocks over ``regions`` only if given.
 
-    A point lookup is :func:`point_in_interval` over these rows (NULL outside them with ``how="left"``).
+    Blocks are found in the files' indexes and read by offset in many tasks; values at points
+    are :func:`strandset.sources.indexed.signal_at`.
     """
-    import pyarrow as pa
+    from .indexed import read_signal, signal_blocks
 
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                data = memoryview(content.as_py())
-                names, blocks, packed = _bigwig_index(data)
-                for offset, size in blocks:
-                    rows = _bigwig_block(data[offset : offset + size], packed)
-                    chrom, cols = rows[0], list(zip(*rows[1]))
-                    if cols:
-                        yield pa.RecordBatch.from_arrays([pa.array([names[chrom]] * len(cols[0])), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["chrom", "start", "end", "value"])
-
-    out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "chrom string, start long, end long, value double")
-    return out.withColumn("chrom", bare_chrom(F.col("chrom")))
-
-
-#: Marks of the format: the file, its chromosome tree, its region index.  Fixed values.
-BIGWIG_MARK, CHROM_TREE_MARK, INDEX_MARK = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
-
-
-def _bigwig_index(data: memoryview) -> tuple[dict[int, str], list[tuple[int, int]], bool]:
-    """Chromosome names by number, places of the data blocks, and whether they are compressed."""
-    import struct
-
-    order = "<" if struct.unpack_from("<I", data)[0] == BIGWIG_MARK else ">"
-    if order == ">" or len(data) < 64:
-        raise SchemaError("not a little-endian bigWig file")
-    tree, _, index = struct.unpack_from("<QQQ", data, 8)
-    packed = struct.unpack_from("<I", data, 52)[0] > 0
-    mark, _, key_size = struct.unpack_from("<III", data, tree)
-    if mark != CHROM_TREE_MARK or struct.unpack_from("<I", data, index)[0] != INDEX_MARK:
-        raise SchemaError("broken bigWig index")
-    names, todo = {}, [tree + 32]
-    while todo:
-        at = todo.pop()
-        leaf, _, n = struct.unpack_from("<BBH", data, at)
-        for k in range(n):
-            entry = at + 4 + k * (key_size + 8)
-            if leaf:
-                names[struct.unpack_from("<I", data, entry + key_size)[0]] = bytes(data[entry : entry + key_size]).rstrip(b"\0").decode()
-            else:
-                todo.append(struct.unpack_from("<Q", data, entry + key_size)[0])
-    blocks, todo = [], [index + 48]
-    while todo:
-        at = todo.pop()
-        leaf, _, n = struct.unpack_from("<BBH", data, at)
-        for k in range(n):
-            entry = at + 4 + k * (32 if leaf else 24)
-            if leaf:
-                blocks.append(struct.unpack_from("<QQ", data, entry + 16))
-            else:
-                todo.append(struct.unpack_from("<Q", data, entry + 16)[0])
-    return names, sorted(blocks), packed
-
-
-def _bigwig_block(block: memoryview, packed: bool) -> tuple[int, list[tuple[int, int, float]]]:
-    """Chromosome number and ``start, end, value`` of a block: free, stepped or fixed-step records."""
-    import struct
-    import zlib
-
-    raw = zlib.decompress(block) if packed else bytes(block)
-    chrom, start, _, step, span, kind, _, n = struct.unpack_from("<IIIIIBBH", raw)
-    if kind == 1:
-        return chrom, [struct.unpack_from("<IIf", raw, 24 + 12 * k) for k in range(n)]
-    if kind == 2:
-        free = [struct.unpack_from("<If", raw, 24 + 8 * k) for k in range(n)]
-        return chrom, [(a, a + span, v) for a, v in free]
-    values = struct.unpack_from(f"<{n}f", raw, 24)
-    return chrom, [(start + k * step, start + k * step + span, v) for k, v in enumerate(values)]
+    return read_signal(signal_blocks(spark, path, regions))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandset.operators.intervals import point_in_interval
+from strandset.sources import indexed as ix
 from strandset.sources import readers as rd
 from strandset.sources import sinks as sk
 from strandset.streaming import events as ev
@@ -145,7 +146,7 @@ def test_streams_equal_the_batch(spark, tmp_path):
 def bigwig_file(names, blocks, packed):
     """A file with one chromosome leaf and one index leaf over blocks ``(chrom, kind, start, step, span, records)``."""
     key = max(map(len, names))
-    tree = struct.pack("<IIIIQQ", rd.CHROM_TREE_MARK, len(names), key, 8, len(names), 0) + struct.pack("<BBH", 1, 0, len(names))
+    tree = struct.pack("<IIIIQQ", ix.CHROM_TREE_MARK, len(names), key, 8, len(names), 0) + struct.pack("<BBH", 1, 0, len(names))
     tree += b"".join(n.encode().ljust(key, b"\0") + struct.pack("<II", k, 1000) for k, n in enumerate(names))
     data, places = b"", []
     begin = 64 + len(tree)
@@ -155,9 +156,9 @@ def bigwig_file(names, blocks, packed):
         body = zlib.compress(body) if packed else body
         places.append((chrom, begin + len(data), len(body)))
         data += body
-    index = struct.pack("<IIQIIIIQII", rd.INDEX_MARK, 4, len(places), 0, 0, 0, 0, 0, 1, 0) + struct.pack("<BBH", 1, 0, len(places))
+    index = struct.pack("<IIQIIIIQII", ix.SIGNAL_INDEX_MARK, 4, len(places), 0, 0, 0, 0, 0, 1, 0) + struct.pack("<BBH", 1, 0, len(places))
     index += b"".join(struct.pack("<IIIIQQ", c, 0, c, 0, at, size) for c, at, size in places)
-    head = struct.pack("<IHHQQQHHQQIQ", rd.BIGWIG_MARK, 4, 0, 64, begin, begin + len(data), 0, 0, 0, 0, 4096 if packed else 0, 0)
+    head = struct.pack("<IHHQQQHHQQIQ", ix.BIGWIG_MARK, 4, 0, 64, begin, begin + len(data), 0, 0, 0, 0, 4096 if packed else 0, 0)
     return head + tree + data + index
 
 
