@@ -79,38 +79,73 @@ def _liu_tail(q: float, lam: np.ndarray) -> float:
     return _gammaq(df / 2, max(x, 0.0) / 2)
 
 
-def _imhof_tail(q: float, lam: np.ndarray) -> float:
-    """Tail of a weighted sum of chi-squares by inverting its characteristic function.
-
-    The integrand swings with q and falls like a power of the argument; it is summed by
-    Gauss-Legendre pieces of half a swing until what is left is below 1e-9.
+def _inverted_tail(q: float, lam: np.ndarray, tolerance: float = 1e-9) -> tuple[float, float]:
+    """Tail of a weighted sum of chi-squares (1 df each, positive weights) and its relative error.
+
+    P(Q > q) is the integral of exp(K(s) - q s) / s over a contour that crosses the real axis
+    between the pole at 0 and the first branch point 1 / (2 max(lam)), K being the cumulant
+    generating function.  The contour is a parabola around the branch cut through (about) the
+    saddle point, where the integrand falls like a Gaussian and nothing cancels, so small
+    tails come with the same relative accuracy as large ones.  Below the mean it crosses left
+    of the pole and gives the other tail.  The trapezoid rule converges geometrically there;
+    its step is halved until two sums agree.
     """
-    x, w = np.polynomial.legendre.leggauss(24)
-
-    def f(u: np.ndarray) -> np.ndarray:
-        theta = 0.5 * np.arctan(np.outer(u, lam)).sum(1) - 0.5 * q * u
-        rho = np.exp(0.25 * np.log1p(np.outer(u, lam) ** 2).sum(1))
-        return np.sin(theta) / (u * rho)
-
-    step = math.pi / max(0.5 * (q + lam.sum()), 1e-12) / 2
-    total, at = 0.0, 0.0
-    for _ in range(200_000):
-        total += float((w * f(at + step * (x + 1) / 2)).sum()) * step / 2
-        at += step
-        left = 2 / (len(lam) * math.exp(0.5 * np.log(np.maximum(at * lam, 1e-300)).sum())) if (at * lam).min() > 1 else math.inf
-        if left < 1e-9 or (left < 1e-5 and at * (q + lam.sum()) > 4e4):
+    lam = np.asarray(lam, float)
+    first, sd = 0.5 / lam.max(), math.sqrt(2.0 * float((lam**2).sum()))
+
+    def slope(s: float) -> float:
+        return float((lam / (1 - 2 * lam * s)).sum()) - q
+
+    # the saddle point by bisection: the slope of the exponent grows from -q to infinity
+    low, high = -0.5 * len(lam) / max(q, 1e-300), first * (1 - 1e-15)
+    while slope(low) > 0:
+        low *= 2
+    for _ in range(200):
+        middle = 0.5 * (low + high)
+        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    away = min(1.0 / sd, 0.5 * first)
+    c = max(low, away) if low >= 0 else min(low, -away)
+    width = min(abs(c), first - c)
+    # many equal weights make the integrand nearly normal along a straight line; few ones need the bend to fall
+    bend = min(0.5, 1.0 / (q * width))
+    limit = math.sqrt(45.0 / (q * width * bend))
+
+    def summed(step: float, offset: float) -> float:
+        t = np.arange(offset, limit, step)
+        s = c + width * (1j * t + bend * t * t)
+        exponent = -0.5 * np.log(1 - 2 * np.outer(s, lam)).sum(1) - q * s
+        value = np.exp(exponent - top) * (1j + 2 * bend * t) * width / s
+        weight = np.where(t == 0, 0.5, 1.0)
+        return float((weight * value.imag).sum()) * step
+
+    top = float(-0.5 * np.log1p(-2 * c * lam).sum() - q * c)
+    step = 0.25
+    total = summed(step, 0.0)
+    for _ in range(8):
+        step /= 2
+        new = total / 2 + summed(2 * step, step) / 2
+        error, total = abs(new - total), new
+        if error <= tolerance * abs(total):
             break
-    p = 0.5 + total / math.pi
-    return p if 0 < p < 1 else float("nan")
+    part = total / math.pi * math.exp(top)
+    p = part if c > 0 else 1.0 + part
+    return p, error / max(abs(total), 1e-300) * abs(part) / max(abs(p), 1e-300)
 
 
-def mixture_tail(q: float, lam: np.ndarray, mode: str = "liu") -> float:
-    """``liu`` (moments) or ``imhof`` (inversion, falling back on moments where it does not converge)."""
-    if mode == "imhof":
-        p = _imhof_tail(q, lam)
-        if not math.isnan(p):
-            return p
-    return _liu_tail(q, lam)
+def mixture_tail(q: float, lam: np.ndarray, mode: str = "exact") -> float:
+    """``exact`` (inversion on a contour) or ``liu`` (four moments, only fair in the far tail)."""
+    lam = np.asarray(lam, float)
+    lam = lam[lam > 0]
+    if not len(lam):
+        return 1.0
+    if q <= 0:
+        return 1.0
+    if mode == "liu":
+        return _liu_tail(q, lam)
+    p, error = _inverted_tail(q, lam)
+    if error > 1e-3 or not 0 <= p <= 1:
+        raise ValueError(f"the tail at {q} did not converge")
+    return p
 
 
 def _gammaq(a: float, x: float) -> float:
@@ -142,7 +177,7 @@ def _gammaq(a: float, x: float) -> float:
     return front * h
 
 
-def skat(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w", mean: str | None = None, tail: str = "liu") -> DataFrame:
+def skat(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str = "u", weight: str = "w", mean: str | None = None, tail: str = "exact") -> DataFrame:
     """Q = sum of (wU)^2 and its tail (:func:`mixture_tail`) from the eigenvalues of the weighted covariance; one group a task.
 
     Pairs absent from ``covariance`` are as in :func:`burden_test`.
@@ -180,7 +215,7 @@ def omnibus(tests: DataFrame, group: list[str], p: str) -> DataFrame:
     return tests.groupBy(*group).agg(acat(F.col(p)).alias("p_omnibus"), F.count(p).alias("n_tests"))
 
 
-def omnibus_grid(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str, weights: dict[str, Column], mean: str | None = None, tail: str = "liu", tests: tuple[str, ...] = ("burden", "skat")) -> DataFrame:
+def omnibus_grid(stats: DataFrame, covariance: DataFrame, group: str, variant: str, u: str, weights: dict[str, Column], mean: str | None = None, tail: str = "exact", tests: tuple[str, ...] = ("burden", "skat")) -> DataFrame:
     """``group, weight, test, p`` of every weighting (annotation times density) and test, for :func:`omnibus`."""
     out = []
     for name, w in weights.items():
@@ -191,6 +226,106 @@ def omnibus_grid(stats: DataFrame, covariance: DataFrame, group: str, variant: s
     return reduce(DataFrame.unionByName, out)
 
 
+#: Pairs of a person's variants that are expanded at a time.
+EXPANDED_PAIRS = 2_000_000
+
+
+def set_products(rows: DataFrame, group: str, variant: str, person: str, ds: str) -> DataFrame:
+    """``group, a, b, xy`` (a <= b): sums of products of dosages over the persons, for pairs of a group with a shared carrier.
+
+    Rows are dealt by group and person, so a large group is many tasks' work; each task adds
+    up the products of its persons before anything is shuffled again.
+    """
+    kinds = rows.schema
+    schema = f"`{group}` {kinds[group].dataType.simpleString()}, a {kinds[variant].dataType.simpleString()}, b {kinds[variant].dataType.simpleString()}, xy double"
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, v, x = (pdf[c].to_numpy() for c in (group, variant, ds))
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (pdf[person].to_numpy()[1:] != pdf[person].to_numpy()[:-1])])
+        ends = np.append(np.flatnonzero(new), len(pdf))
+        upto = np.repeat(ends[1:], np.diff(ends))
+        size = upto - np.arange(len(pdf))
+        out = []
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        at = 0
+        while at < len(pdf):
+            stop = max(at + 1, int(np.searchsorted(cuts, cuts[at] + EXPANDED_PAIRS, "right")) - 1)
+            a = np.repeat(np.arange(at, stop), size[at:stop])
+            b = a + np.arange(len(a)) - np.repeat(cuts[at:stop] - cuts[at], size[at:stop])
+            out.append(pd.DataFrame({group: g[a], "a": v[a], "b": v[b], "xy": x[a] * x[b]}).groupby([group, "a", "b"], sort=False, as_index=False).xy.sum())
+            at = stop
+        return pd.concat(out).groupby([group, "a", "b"], sort=False, as_index=False).xy.sum()
+
+    def run(frames):
+        held = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf[group] == pdf[group].iloc[-1]) & (pdf[person] == pdf[person].iloc[-1]) if len(pdf) else None
+            if last is None:
+                continue
+            held = pdf[last]  # its person may go on in the next batch
+            if not last.all():
+                yield pairs(pdf[~last])
+        if held is not None and len(held):
+            yield pairs(held)
+
+    dealt = rows.select(group, person, variant, F.col(ds).cast("double").alias(ds)).repartition(group, person).sortWithinPartitions(group, person, variant)
+    return dealt.mapInPandas(run, schema).groupBy(group, "a", "b").agg(F.sum("xy").alias("xy"))
+
+
+def set_tests(dosage: DataFrame, members: DataFrame, residuals: DataFrame, group: str, variant: str, person: str, ds: str, weights: list[str], resid: str = "resid", tail: str = "exact") -> DataFrame:
+    """``group, n_variants, weight, chi2, p_burden, q, p_kernel``: both tests of each group under every weighting.
+
+    ``members`` (group, variant, weight columns) carries one column a weighting (annotation
+    times allele-frequency density).  A group's matrix of products comes to one task once,
+    whatever the number of weightings: U = X'r without the mean, and the covariance is the
+    residuals' variance times X'X without the means.  A weighting without variance gives
+    NULL.  Persons without a row have dosage zero; groups without a row give none.
+    """
+    people = residuals.agg(F.count(resid).alias("n"), F.sum(resid).alias("sum"), F.sum(F.col(resid) * F.col(resid)).alias("squares")).first()
+    n, total = people["n"], people["sum"] or 0.0
+    variance = ((people["squares"] or 0.0) - total * total / n) / n if n else 0.0
+    rows = dosage.select(variant, person, ds).join(members.select(variant, group), variant).join(residuals.select(person, resid), person)
+    sums = rows.groupBy(group, variant).agg(F.sum(ds).cast("double").alias("_s"), F.sum(F.col(ds) * F.col(resid)).alias("_u"))
+    stats = sums.join(members.select(group, variant, *[F.col(w).cast("double").alias(w) for w in weights]), [group, variant])
+    kind = members.schema[group].dataType.simpleString()
+
+    def one(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(variant, kind="stable").reset_index(drop=True)
+        at = pd.Index(own[variant])
+        i, j = at.get_indexer(cells.a), at.get_indexer(cells.b)
+        known = (i >= 0) & (j >= 0)
+        gram = np.zeros((len(own), len(own)))
+        gram[i[known], j[known]] = gram[j[known], i[known]] = cells.xy.to_numpy()[known]
+        s = own._s.to_numpy()
+        cov = variance * (gram - np.outer(s, s) / n)
+        u = own._u.to_numpy() - s * total / n
+        out = []
+        for name in weights:
+            w = own[name].fillna(0.0).to_numpy()
+            wsw, q = float(w @ cov @ w), float(((w * u) ** 2).sum())
+            if not wsw > 1e-12 * variance * float((w * w * np.diag(gram)).sum()):
+                out.append((None, None, q, None))
+                continue
+            lam = np.linalg.eigvalsh(cov * np.outer(w, w))
+            lam = lam[lam > 1e-12 * lam.max()]
+            chi2 = float(w @ u) ** 2 / wsw
+            out.append((chi2, math.erfc(math.sqrt(chi2 / 2)), q, mixture_tail(q, lam, tail)))
+        found = pd.DataFrame(out, columns=["chi2", "p_burden", "q", "p_kernel"])
+        found.insert(0, "weight", weights)
+        found.insert(0, "n_variants", len(own))
+        found.insert(0, group, own[group].iloc[0])
+        return found
+
+    return stats.groupBy(group).cogroup(set_products(rows, group, variant, person, ds).groupBy(group)).applyInPandas(one, f"`{group}` {kind}, n_variants long, weight string, chi2 double, p_burden double, q double, p_kernel double")
+
+
+def set_omnibus(tests: DataFrame, group: str) -> DataFrame:
+    """Cauchy combination of both tests under all weightings of each group (:func:`set_tests`)."""
+    long = tests.select(group, F.explode(F.array("p_burden", "p_kernel")).alias("p")).where(F.col("p").isNotNull())
+    return omnibus(long, [group], "p")
+
+
 def lambda_gc(df: DataFrame, p: str, mode: str = "chi2_1df") -> DataFrame:
     """Genomic inflation: median statistic over its expectation.
 

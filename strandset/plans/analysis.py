@@ -534,23 +534,46 @@ def greedy_clump(spark: SparkSession, d: str) -> DataFrame:
     return cl.greedy_clump(rows, ["event_type"], "event_id", "us", "p", 6 * HOUR)
 
 
+def _weightings(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as variants of their brand, weighted by two annotations times two allele-frequency densities."""
+    from ..functions.special import beta_density
+
+    maf = F.least(F.col("p_size"), F.lit(50)) / 100.0
+    annotations = {"size": F.col("p_size") / 50.0, "price": F.least(F.lit(1.0), F.col("p_retailprice") / 2000.0)}
+    columns = [(v * beta_density(maf, *b)).alias(f"{k}_{b[0]}_{b[1]}") for k, v in annotations.items() for b in ((1, 1), (1, 25))]
+    return table(spark, d, "part").select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene"), *columns)
+
+
+WEIGHTINGS = ["size_1_1", "size_1_25", "price_1_1", "price_1_25"]
+_WEIGHTINGS_SQL = """(SELECT variant, gene, k AS weight, CASE split_part(k, '_', 1) WHEN 'size' THEN size ELSE price END * CASE WHEN k LIKE '%_25' THEN 25 * pow(1 - maf, 24) ELSE 1 END AS w
+FROM (SELECT p_partkey AS variant, p_brand AS gene, p_size / 5e1 AS size, least(1e0, p_retailprice / 2e3) AS price, least(p_size, 50) / 1e2 AS maf FROM part), (SELECT unnest(['size_1_1', 'size_1_25', 'price_1_1', 'price_1_25']) AS k))"""
+
+
+@query(f"""WITH x AS {DOSAGE_SQL}, r AS {_RESID}, n AS (SELECT count(*) AS n, sum(resid) AS sr, sum(resid * resid) / count(*) - pow(sum(resid) / count(*), 2) AS v FROM r), w AS {_WEIGHTINGS_SQL},
+b AS (SELECT gene, weight, person, sum(w * ds) AS b FROM x JOIN w USING (variant) GROUP BY ALL), s AS (SELECT gene, weight, sum(b) AS sb, sum(b * b) AS qb, sum(b * resid) AS br FROM b JOIN r USING (person) GROUP BY ALL),
+u AS (SELECT variant, sum(ds * resid) - sum(ds) * any_value(sr) / any_value(n) AS u FROM x JOIN r USING (person), n GROUP BY 1), q AS (SELECT gene, weight, count(*) AS n_variants, sum(pow(w * u, 2)) AS q FROM u JOIN w USING (variant) GROUP BY ALL)
+SELECT gene, weight, n_variants, round(pow(br - sb * sr / n, 2) / (v * (qb - sb * sb / n)), 6) AS chi2, round(log10(q), 6) AS log10_q FROM s JOIN q USING (gene, weight), n""")
+def annotation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Burden statistic and kernel sum of each brand under every annotation and density."""
+    out = st.set_tests(dosage(spark, d), _weightings(spark, d), nation_residuals(spark, d), "gene", "variant", "person", "ds", WEIGHTINGS)
+    return out.select("gene", "weight", "n_variants", r6(F.col("chi2")).alias("chi2"), r6(F.log10("q")).alias("log10_q"))
+
+
+@query(None)
+def annotation_omnibus(spark: SparkSession, d: str) -> DataFrame:
+    """Cauchy combination of both tests over the grid of annotations and densities."""
+    out = st.set_tests(dosage(spark, d), _weightings(spark, d), nation_residuals(spark, d), "gene", "variant", "person", "ds", WEIGHTINGS)
+    return st.set_omnibus(out, "gene").withColumn("p_omnibus", r6(F.col("p_omnibus")))
+
+
 @query(None)
 def skat_burden(spark: SparkSession, d: str) -> DataFrame:
-    """Burden and variance-component tests of each brand's parts with their Cauchy combination."""
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene"))
-    dose = settle(dosage(spark, d).join(parts, "variant"))
-    n = table(spark, d, "customer").count()
-    scale = F.sqrt(F.sum(F.col("ds") * F.col("ds")) / n - F.pow(F.sum("ds") / n, F.lit(2)))
-    means = dose.groupBy(F.col("variant").alias("id"), "gene").agg((F.sum("ds") / n / scale).alias("mean"))
-    z = st.single_variant_z(dose, nation_residuals(spark, d), "variant", "person", "ds").where("v > 0")
-    stats = settle(z.select(F.col("variant").alias("id"), (F.col("u") / F.sqrt("v")).alias("u")).join(means, "id").withColumn("w", F.lit(1.0)))
-    ld = st.ld_pairs(dose, "variant", "person", "ds", n, group="gene").select("gene", "a", "b", F.col("r").alias("s"))
-    own = stats.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("s"))
-    ld = settle(ld)
-    cov = ld.unionByName(ld.select("gene", F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(own)
-    burden = st.burden_test(stats, cov, "gene", "id", mean="mean").select("gene", "p")
-    kernel = st.skat(stats, cov, "gene", "id", mean="mean").select("gene", "p")
-    return st.omnibus(burden.unionByName(kernel), ["gene"], "p").withColumn("p_omnibus", r6(F.col("p_omnibus")))
+    """Burden and variance-component tests of each brand's standardised parts with their Cauchy combination."""
+    dose, resid = settle(dosage(spark, d)), nation_residuals(spark, d)
+    z = st.single_variant_z(dose, resid, "variant", "person", "ds").where("v > 0")
+    scaled = table(spark, d, "part").select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("gene")).join(z.select("variant", (1.0 / F.sqrt("v")).alias("w")), "variant")
+    tests = st.set_tests(dose, scaled, resid, "gene", "variant", "person", "ds", ["w"])
+    return st.set_omnibus(tests, "gene").withColumn("p_omnibus", r6(F.col("p_omnibus")))
 
 
 @query(None)

@@ -1,6 +1,7 @@
 """Variance-component tests over sparse dosages against the dense matrices."""
 
 import math
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def test_sparse_covariance_is_the_dense_one(spark):
     own = stats.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("s"))
     cov = ld.unionByName(ld.select("gene", F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(own)
     burden = {r.gene: r.chi2 for r in st.burden_test(stats, cov, "gene", "id", mean="mean").collect()}
-    kernel = {r.gene: r for r in st.skat(stats, cov, "gene", "id", mean="mean").collect()}
+    kernel = {r.gene: r for r in st.skat(stats, cov, "gene", "id", mean="mean", tail="liu").collect()}
     for gene, of in {"g": [0, 1, 2, 4, 5], "h": [3]}.items():
         full = np.diag(w[of]) @ (z[:, of].T @ z[:, of] / n) @ np.diag(w[of])
         assert math.isclose(burden[gene], (w[of] @ u[of]) ** 2 / full.sum(), rel_tol=1e-9)
@@ -35,3 +36,55 @@ def test_sparse_covariance_is_the_dense_one(spark):
         q = ((w[of] * u[of]) ** 2).sum()
         assert math.isclose(kernel[gene].q, q, rel_tol=1e-12)
         assert math.isclose(kernel[gene].p, st._liu_tail(q, lam[lam > 1e-12]), rel_tol=1e-7, abs_tol=1e-12)
+
+
+def test_small_tails_have_small_relative_errors():
+    # equal weights: a scaled chi-square; two pairs of weights: a mixture of two exponentials
+    for k in (1, 2, 5, 30, 400):
+        for q in (0.3 * k, k, 1.2 * k, k + 30, k + 90, 3 * k + 300):
+            p, error = st._inverted_tail(q, np.ones(k))
+            assert math.isclose(p, st._gammaq(k / 2, q / 2), rel_tol=1e-7) and error < 1e-6
+    a, b = 1.0, 0.3
+    for q in (0.1, 5.0, 30.0, 80.0, 200.0):
+        want = (a * math.exp(-q / 2 / a) - b * math.exp(-q / 2 / b)) / (a - b)
+        assert math.isclose(st.mixture_tail(q, np.array([a, a, b, b])), want, rel_tol=1e-8)
+    started = time.perf_counter()
+    for _ in range(50):
+        st.mixture_tail(2000.0, np.concatenate([[50.0], np.linspace(0.1, 1, 30)]))
+    assert (time.perf_counter() - started) / 50 < 0.05
+    assert st.mixture_tail(0.0, np.array([1.0])) == st.mixture_tail(3.0, np.zeros(2)) == 1.0
+
+
+def test_set_tests_are_the_dense_ones(spark, monkeypatch):
+    monkeypatch.setattr(st, "EXPANDED_PAIRS", 7)
+    rng = np.random.default_rng(11)
+    n, m = 60, 9
+    x = np.where(rng.random((n, m)) < 0.3, rng.integers(1, 3, (n, m)), 0).astype(float)
+    x[:, 8] = 0
+    gene = ["g"] * 6 + ["h"] * 3
+    r = rng.normal(size=n) + 0.3
+    w = {"one": np.ones(m), "wide": rng.random(m) + 0.1, "none": np.zeros(m)}
+    dose = spark.createDataFrame([(p, v, float(x[p, v])) for p in range(n) for v in range(m) if x[p, v]], "person long, variant long, ds double").repartition(3)
+    members = spark.createDataFrame([(v, gene[v], *(float(c[v]) for c in w.values())) for v in range(m)], "variant long, gene string, one double, wide double, none double")
+    resid = spark.createDataFrame([(p, float(r[p])) for p in range(n)], "person long, resid double")
+    got = {(t.gene, t.weight): t for t in st.set_tests(dose, members, resid, "gene", "variant", "person", "ds", list(w)).collect()}
+    assert len(got) == 6
+    for g in "gh":
+        of = [v for v in range(8) if gene[v] == g]
+        centred = x[:, of] - x[:, of].mean(0)
+        cov, u = r.var() * centred.T @ centred, centred.T @ r
+        for name in ("one", "wide"):
+            c = w[name][of]
+            t = got[g, name]
+            assert t.n_variants == len(of)
+            assert math.isclose(t.chi2, (c @ u) ** 2 / (c @ cov @ c), rel_tol=1e-9)
+            assert math.isclose(t.q, ((c * u) ** 2).sum(), rel_tol=1e-9)
+            draws = (np.random.default_rng(2).chisquare(1, (200_000, len(of))) * np.linalg.eigvalsh(cov * np.outer(c, c))).sum(1)
+            assert abs(t.p_kernel - (draws > t.q).mean()) < 5e-3
+        assert got[g, "none"].chi2 is None and got[g, "none"].p_kernel is None
+    assert {t.gene: t.n_tests for t in st.set_omnibus(st.set_tests(dose, members, resid, "gene", "variant", "person", "ds", list(w)), "gene").collect()} == {"g": 4, "h": 4}
+    # the pair form gives the same kernel test
+    one = st.set_products(dose.join(members.select("variant", "gene"), "variant"), "gene", "variant", "person", "ds")
+    full = {(c.gene, c.a, c.b): c.xy for c in one.collect()}
+    want = {(gene[a], a, b): float(x[:, a] @ x[:, b]) for a in range(m) for b in range(a, m) if gene[a] == gene[b] and x[:, a] @ x[:, b]}
+    assert full == want
