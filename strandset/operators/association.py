@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.special import CHI2_MEDIAN_1DF, chi2_sf, erfc_exact, normal_sf
 from .aggregates import correlation, mutual_information
 from .joins import dealt_sides, pairs_within
-from .ranking import average_rank
-from .scan import quantile_bucket, running
+from .ranking import average_rank, value_ranks
+from .scan import quantile_bucket, running, settle
 
 
 def weighted_burden(dosage: DataFrame, members: DataFrame, variant: str, group: str, person: str, ds: str, weight: str) -> DataFrame:
@@ -371,14 +371,35 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str], least: int = 3) ->
     return out.select(*group, "n", F.when((F.col("n") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("rho")).alias("rho"))
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, group: list[str], key: str) -> DataFrame:
-    """Kendall's tau-b of small groups, by pairs."""
-    a = df.select(*group, F.col(key).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    b = df.select(*group, F.col(key).alias("_j"), F.col(x).alias("_u"), F.col(y).alias("_w"))
-    pairs = a.join(b, group).where("_i < _j")
-    sx, sy = F.signum(F.col("_x") - F.col("_u")), F.signum(F.col("_y") - F.col("_w"))
-    out = pairs.groupBy(*group).agg(F.sum(sx * sy).alias("s"), F.sum(sx * sx).alias("nx"), F.sum(sy * sy).alias("ny"))
-    return out.select(*group, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+def kendall_tau_b(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
+    """``group, tau``: Kendall's tau-b of groups of any size over complete pairs; NULL where x or y is constant.
+
+    Discordant pairs are counted without making pairs, as merge sort counts inversions, with
+    the merges laid side by side: values of y get codes that keep their order, and two codes
+    differ first in one bit.  At each bit, rows with equal higher bits form a node; a row
+    whose bit is 0 is discordant with the rows of its node that have bit 1 and a smaller x,
+    which a running sum by x gives.  A row takes part once a bit; the sums go by buckets of
+    x, so neither a group nor a node has to be one task's.
+    """
+    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
+    codes = settle(value_ranks(complete, y, group).select(*group, y, F.col("n_below").cast("long").alias("_code")))
+    cells = complete.groupBy(*group, x, y).agg(F.count("*").alias("_n"))
+    cells = settle(cells.join(codes, [*group, y]))
+    bits = int(cells.agg(F.coalesce(F.max("_code"), F.lit(0))).first()[0]).bit_length()
+    pair = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
+    tied_x = cells.groupBy(*group, x).agg(F.sum("_n").alias("_n")).groupBy(*group).agg(pair("_n").alias("_tx"), F.sum("_n").alias("_all"))
+    tied_y = cells.groupBy(*group, y).agg(F.sum("_n").alias("_n")).groupBy(*group).agg(pair("_n").alias("_ty"))
+    tied = cells.groupBy(*group).agg(pair("_n").alias("_txy"))
+    level = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(max(0, bits - 1)))))
+    one = F.expr("shiftright(_code, _level) % 2")
+    nodes = level.select(*group, "_level", F.expr("shiftright(_code, _level + 1)").alias("_node"), F.col(x), one.alias("_bit"), "_n")
+    before = running(nodes, [*group, "_level", "_node"], [x], quantile_bucket(cells, x), {"_above": ("sum", F.col("_n") * F.col("_bit"))}, exclusive=True)
+    discordant = before.where("_bit = 0").groupBy(*group).agg(F.sum(F.col("_n").cast("double") * F.col("_above")).alias("_d"))
+    totals = tied_x.join(tied_y, group).join(tied, group).join(discordant, group, "left")
+    every = F.col("_all").cast("double") * (F.col("_all") - 1) / 2
+    free_x, free_y = every - F.col("_tx"), every - F.col("_ty")
+    score = every - F.col("_tx") - F.col("_ty") + F.col("_txy") - 2 * F.coalesce(F.col("_d"), F.lit(0.0))
+    return totals.select(*group, F.when((free_x > 0) & (free_y > 0), score / F.sqrt(free_x * free_y)).alias("tau"))
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -75,27 +75,57 @@ def greedy_clump(df: DataFrame, group: list[str], key: str, pos: str, p: str, re
     return _per_group(df.drop("_until"), [*group, "_stretch"], step, schema)
 
 
-def greedy_ld_clump(df: DataFrame, edges: DataFrame, group: list[str], key: str, p: str) -> DataFrame:
-    """Leads over given r2 edges (``group, a, b``): a lead takes its unclaimed neighbours."""
-    nodes = df.select(*group, F.col(key).alias("a"), F.col(p).cast("double").alias("_p"), F.lit(None).cast(df.schema[key].dataType).alias("b"))
-    links = edges.select(*group, "a", "b").unionByName(edges.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("_p", F.lit(None).cast("double"))
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.b.isna()].sort_values(["_p", "a"], kind="stable")
-        near = pdf[pdf.b.notna()].groupby("a").b.apply(list).to_dict()
-        lead: dict = {}
-        for k in own.a:
-            if k not in lead:
-                lead[k] = k
-                for other in near.get(k, []):
-                    lead.setdefault(other, k)
-        out = pd.DataFrame({key: list(own.a), "lead": [lead[k] for k in own.a]})
-        for g in reversed(group):
-            out.insert(0, g, pdf[g].iloc[0])
-        return out
+def greedy_ld_clump(df: DataFrame, edges: DataFrame, group: list[str], key: str, p: str, lead_p: float | None = None, member_p: float | None = None) -> DataFrame:
+    """``group, key, lead, is_lead``: by increasing p, a row that no lead has taken leads and takes its neighbours (``group, a, b``).
+
+    The outcome of the row-by-row loop without the loop: a row is decided once its better
+    neighbours are.  A round finds all rows without an undecided better neighbour, which
+    lead, and takes out their neighbours; edges between decided rows go.  Rounds are joins
+    over the edges left, so no group meets in one task.  Rows above ``lead_p`` cannot lead,
+    rows above ``member_p`` do not take part; rows that neither lead nor are taken are left
+    out.  Equal p go by key, null p last.
+    """
+    rows = df.select(*group, F.col(key).alias("_k"), F.coalesce(F.col(p).cast("double"), F.lit(float("inf"))).alias("_p"))
+    rows = settle(rows.where(F.col("_p") <= member_p) if member_p is not None else rows)
+    can = F.col("_p") <= lead_p if lead_p is not None else F.lit(True)
+    sides = [rows.select(*group, F.col("_k").alias(n), F.struct("_p", F.col("_k").alias("_i")).alias(f"_{n}")) for n in ("a", "b")]
+    links = edges.select(*group, "a", "b").where("a <> b").join(sides[0], [*group, "a"]).join(sides[1], [*group, "b"])
+    near = links.select(*group, F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v")).distinct()
+    near = settle(near.where(F.col("u._p") <= lead_p) if lead_p is not None else near)
+    # edges from a row that may still lead to a worse one
+    open_, taken, node = near, None, [*group, "v"]
+    while not open_.isEmpty():
+        worse = open_.select(*group, F.col("v").alias("u")).distinct()
+        heads = open_.select(*group, "u").distinct().join(worse, [*group, "u"], "left_anti")
+        new = settle(open_.join(heads, [*group, "u"], "left_semi").select(*node).distinct())
+        taken = new if taken is None else taken.unionByName(new)
+        left = open_.join(new, node, "left_anti").join(new.withColumnRenamed("v", "u"), [*group, "u"], "left_anti")
+        open_ = settle(left)
+    everyone = rows.where(can).select(*group, F.struct("_p", F.col("_k").alias("_i")).alias("v"))
+    leads = everyone if taken is None else everyone.join(taken, node, "left_anti")
+    own = leads.select(*group, F.col("v._i").alias(key), F.col("v._i").alias("lead"), F.lit(1).cast("long").alias("is_lead"))
+    first = near.join(leads.withColumnRenamed("v", "u"), [*group, "u"]).groupBy(*node).agg(F.min("u").alias("u"))
+    return own.unionByName(first.select(*group, F.col("v._i").alias(key), F.col("u._i").alias("lead"), F.lit(0).cast("long").alias("is_lead")))
+
+
+def ld_proxies(edges: DataFrame, leads: DataFrame, group: list[str], key: str, least: float = 0.5) -> DataFrame:
+    """``group, lead, proxy, r2``: rows linked to a lead with r2 of ``least`` or more, the lead among them (r2 1)."""
+    ends = edges.where(F.col("r2") >= least).where("a <> b")
+    both = ends.select(*group, F.col("a").alias("lead"), F.col("b").alias("proxy"), "r2").unionByName(ends.select(*group, F.col("b").alias("lead"), F.col("a").alias("proxy"), "r2"))
+    heads = leads.select(*group, F.col(key).alias("lead")).distinct()
+    return both.join(heads, [*group, "lead"]).unionByName(heads.select(*group, "lead", F.col("lead").alias("proxy"), F.lit(1.0).alias("r2")))
+
+
+def clumped_loci(df: DataFrame, group: list[str], key: str, pos: str, p: str, reach: float, flank: float) -> DataFrame:
+    """``group, start, end, n_leads``: windows of ``flank`` around the leads of :func:`greedy_clump`, merged where they touch."""
+    from .intervals import merge_intervals, point_in_interval
 
-    kind = df.schema[key].dataType.simpleString()
-    return _per_group(nodes.unionByName(links), group, step, f"{_fields(df, *group)}, `{key}` {kind}, lead {kind}")
+    clumps = greedy_clump(df, group, key, pos, p, reach)
+    leads = settle(df.join(clumps.where("is_lead = 1").select(*group, key), [*group, key]).select(*group, key, F.col(pos).alias("_at")))
+    windows = leads.select(*group, F.greatest(F.col("_at") - flank, F.lit(0)).alias("_lo"), (F.col("_at") + flank).alias("_hi"))
+    width = max(64.0 * flank, 1.0)
+    merged = merge_intervals(windows, group, "_lo", "_hi", width).select(*group, "start", "end")
+    return point_in_interval(leads, merged, group, "_at", "start", "end", width, "both").groupBy(*group, "start", "end").agg(F.count("*").alias("n_leads"))
 
 
 def prune_related(edges: DataFrame, a: str, b: str, seed: str = "") -> DataFrame:
@@ -148,8 +178,33 @@ def greedy_prune(df: DataFrame, edges: DataFrame, group: list[str], key: str, or
     return _per_group(rows.unionByName(links), group, step, f"{_fields(df, *group, key)}")
 
 
+def complete_teams(r2: np.ndarray, threshold: float) -> list[int]:
+    """The first row of each row's team: closest teams merge first, by their farthest pair, while that exceeds the threshold.
+
+    The largest entry of each row is kept, and only rows whose largest entry changed are searched again.
+    """
+    n = len(r2)
+    sim = np.where(r2 > threshold, r2, -1.0)
+    np.fill_diagonal(sim, -1.0)
+    team, best = np.arange(n), sim.max(1, initial=-1.0)
+    while n and best.max() > threshold:
+        i = int(best.argmax())
+        j = int(sim[i].argmax())
+        lost = np.flatnonzero((sim[i] > 0) | (sim[j] > 0))
+        team[team == j] = i
+        sim[i] = sim[:, i] = np.minimum(sim[i], sim[j])
+        sim[j] = sim[:, j] = -1.0
+        sim[i, i] = -1.0
+        for k in {i, j, *lost.tolist()}:
+            best[k] = sim[k].max()
+    return team.tolist()
+
+
 def complete_linkage(edges: DataFrame, nodes: DataFrame, group: list[str], key: str, r2: str = "r2", threshold: float = 0.8) -> DataFrame:
-    """Teams in which every pair exceeds the threshold: closest teams merge first; ``team`` is its least key."""
+    """Teams in which every pair exceeds the threshold: closest teams merge first; ``team`` is its least key.
+
+    A group is one task; long groups go by :func:`strandset.operators.linkage.blocked_linkage`.
+    """
     rows = nodes.select(*group, F.col(key).alias("a"), F.lit(None).cast(nodes.schema[key].dataType).alias("b"), F.lit(None).cast("double").alias("_r")).unionByName(edges.where(F.col(r2) > threshold).select(*group, "a", "b", F.col(r2).cast("double").alias("_r")))
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,16 +213,7 @@ def complete_linkage(edges: DataFrame, nodes: DataFrame, group: list[str], key:
         sim = np.full((len(ids), len(ids)), -1.0)
         for x, y, r in pdf[pdf.b.notna()][["a", "b", "_r"]].itertuples(index=False):
             sim[at[x], at[y]] = sim[at[y], at[x]] = r
-        np.fill_diagonal(sim, -1.0)
-        team = list(range(len(ids)))
-        while len(ids) > 1 and sim.max() > threshold:
-            i, j = divmod(int(sim.argmax()), len(ids))
-            i, j = min(i, j), max(i, j)
-            team = [i if t == j else t for t in team]
-            sim[i] = sim[:, i] = np.minimum(sim[i], sim[j])  # the farthest pair counts
-            sim[j] = sim[:, j] = -1.0
-            sim[i, i] = -1.0
-        out = pd.DataFrame({key: ids, "team": [ids[t] for t in team]})
+        out = pd.DataFrame({key: ids, "team": [ids[t] for t in complete_teams(sim, threshold)]})
         for g in reversed(group):
             out.insert(0, g, pdf[g].iloc[0])
         return out

@@ -315,7 +315,7 @@ def spearman_groups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH v AS {vectors_sql(2)}, p AS (SELECT a.label, sign(a.d0 - b.d0) AS x, sign(a.d1 - b.d1) AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)
 SELECT label, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)::DOUBLE), 6) AS tau FROM p GROUP BY 1""")
 def kendall_groups(spark: SparkSession, d: str) -> DataFrame:
-    return st.kendall_tau_b(vectors(spark, d, 2), "d0", "d1", ["label"], "vec_id").withColumn("tau", r6(F.col("tau")))
+    return st.kendall_tau_b(vectors(spark, d, 2), "d0", "d1", ["label"]).withColumn("tau", r6(F.col("tau")))
 
 
 def _dims(spark: SparkSession, d: str, n: int) -> DataFrame:
