@@ -3,15 +3,17 @@
 A page is cut into blocks at block-level tags.  The first pass classifies a block by its
 length, its share of characters in links and its share of stop words as good, bad, nearly
 good, or short; what stands in navigation, footers, side bars, forms, adverts, notices or
-reader comments (by tag, class, id or role) is bad at once.  Class names of the page's
-state ("no-sidebar", "comments-open") and names on ``html``, ``body``, ``main`` and
-``article`` say nothing, nor does a name on an element that holds the page's main heading
-or article and most of its text.  Stop words of ``STOP_WORDS`` count; a page with next to
+reader comments (by tag, class, id or role) is bad at once.  In a class name or id the last
+word that is no shape ("content", "list") counts: "post-comments" is boilerplate, "cookie-recipe"
+is not.  Names of the page's state ("no-sidebar", "comments-open") and names on ``html``,
+``body``, ``main`` and ``article`` say nothing, nor does a name on an element that holds the
+page's main heading or article and most of its text.  Stop words of ``STOP_WORDS`` count; a page with next to
 none of them is in another language, and there ends of sentences stand in for them.  In
 the second pass nearly good and short blocks take the label of the nearest decided blocks before and after them;
 a heading goes with the good block it precedes.  Where a page marks its article, blocks
 outside it are bad and cannot pass labels into it, and a short block without decided
-neighbours inside it is good.
+neighbours inside it is good.  A page without any good block keeps its nearly good ones or,
+without those, its short ones.
 
 Pages are independent, so this is one pass without a shuffle.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,8 +79,14 @@ BAD_NAMES = frozenset(
     " sidebar sidenav widget nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus replies reply respond share sharing social"
     " related recommended newsletter subscribe subscription login signin signup search searchbox form copyright pager pagination toolbar skip".split()
 )
-#: Words of a class name that tell the page's state or layout, not what the element holds.
-STATE_NAMES = frozenset("no not has have with without is are open opened closed enabled disabled hide hidden show left right single layout template active inactive main content page post entry".split())
+#: Words right before or after another word of a class name that make it the page's state ("no-sidebar", "comments-open").
+STATE_BEFORE = frozenset("no not has have with without is are layout template".split())
+STATE_AFTER = frozenset("open opened closed enabled disabled hide hidden show active inactive".split())
+#: Words of a class name that say where or what shape an element is, not what it holds.
+SHAPE_NAMES = frozenset(
+    "content contents wrapper wrap inner outer container area box section list block item items body main page post posts entry entries single title heading text"
+    " link links left right top bottom button buttons icon icons bar bars article articles group row col column unit slot holder panel region zone module component count".split()
+)
 SAFE_TAGS = frozenset("html body main article".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
@@ -99,7 +108,20 @@ class Block:
     heading: bool
     bad: bool  # inside boilerplate
     article: int  # number of the article around it, or -1
-    named: tuple = ()  # numbers of the elements around it that are boilerplate by name only
+    named: int = -1  # the innermost element around it that is boilerplate by name only, or -1
+    tag: str = ""  # the element that it stands in
+
+
+def bad_name(name: str, inside: bool) -> bool:
+    """Whether a class name or id says that its element is boilerplate: its last word that is no shape does."""
+    words = [w for w in NAME.findall(name)]
+    nouns = [k for k, w in enumerate(words) if w not in SHAPE_NAMES and w not in STATE_AFTER]
+    if not nouns:
+        return False
+    k = nouns[-1]
+    if words[k] not in BAD_NAMES and not (words[k] == "header" and not inside):
+        return False
+    return not (k and words[k - 1] in STATE_BEFORE) and not (k + 1 < len(words) and words[k + 1] in STATE_AFTER)
 
 
 def _is_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -112,10 +134,7 @@ def _is_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id") and tag not in SAFE_TAGS:
-            for one in value.split():
-                words = set(NAME.findall(one))
-                if not words & STATE_NAMES and (words & BAD_NAMES or ("header" in words and not inside)):
-                    named = True
+            named = named or any(bad_name(one, inside) for one in value.split())
         elif name == "role" and value in BAD_ROLES:
             return True, False
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
@@ -124,25 +143,31 @@ def _is_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order.  The work is linear in the page, whatever its nesting."""
     out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int, tuple]] = []  # tag, bad, article, elements bad by name
-    links, articles, elements = 0, 0, 0
-    holders: set[int] = set()  # elements bad by name around an article or the main heading
+    stack: list[tuple[str, bool, int, int]] = []  # tag, bad, article, element bad by name
+    open_tags: Counter[str] = Counter()
+    links, articles, headings = 0, 0, 0
+    around: list[int] = []  # of each element bad by name, the one around it
+    holders: set[int] = set()  # elements bad by name right around an article or the main heading
 
     def squeeze(parts: list[str]) -> str:
         return " ".join(html_lib.unescape("".join(parts)).split())
 
     def close() -> None:
         if text and (whole := squeeze(text)):
-            heading = any(t[0] in HEADINGS for t in stack)
-            bad, article, named = stack[-1][1:] if stack else (False, -1, ())
-            out.append(Block(whole, len(squeeze(linked)), heading, bad, article, named))
+            tag, bad, article, named = stack[-1] if stack else ("", False, -1, -1)
+            out.append(Block(whole, len(squeeze(linked)), headings > 0, bad, article, named, "pre" if open_tags["pre"] else tag))
         text.clear()
         linked.clear()
 
+    def leave(tag: str) -> None:
+        nonlocal headings
+        open_tags[tag] -= 1
+        headings -= tag in HEADINGS
+
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -171,41 +196,50 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID_TAGS or attributes.endswith("/"):
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while open_tags[tag]:
+                top = stack.pop()[0]
+                leave(top)
+                if top == tag:
                     break
         elif tag in BLOCK_TAGS or tag in HIDDEN_TAGS or tag == "span":
             if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()  # a paragraph ends where the next begins
-            bad, article, named = stack[-1][1:] if stack else (False, -1, ())
+                leave(stack.pop()[0])  # a paragraph ends where the next begins
+            bad, article, named = stack[-1][1:] if stack else (False, -1, -1)
             main = tag in ("article", "main") or 'role="main"' in attributes or "articlebody" in attributes.lower()
-            if main or tag == "h1":
-                holders.update(named)
+            if (main or tag == "h1") and named >= 0:
+                holders.add(named)
             if main and not bad and article < 0:
                 article, articles = articles, articles + 1
             ill, by_name = _is_bad(tag, attributes, article >= 0)
             if by_name:
-                elements += 1
-                named = (*named, elements)
+                around.append(named)
+                named = len(around) - 1
             else:
                 bad = bad or tag in HIDDEN_TAGS or ill
             stack.append((tag, bad, article, named))
+            open_tags[tag] += 1
+            headings += tag in HEADINGS
     close()
-    return judged(out, holders)
+    return judged(out, around, holders)
 
 
-def judged(blocks: list[Block], holders: set[int]) -> list[Block]:
+def judged(blocks: list[Block], around: list[int], holders: set[int]) -> list[Block]:
     """Blocks in elements that are boilerplate by name are bad, unless that element holds an
     article or the main heading and most of the text outside other boilerplate."""
-    size: dict[int, int] = {}
+    size, holds = [0] * len(around), [e in holders for e in range(len(around))]
     for b in blocks:
-        for e in b.named if not b.bad else ():
-            size[e] = size.get(e, 0) + len(b.text)
+        if b.named >= 0 and not b.bad:
+            size[b.named] += len(b.text)
+    for e in range(len(around) - 1, -1, -1):  # elements come after those around them
+        if around[e] >= 0:
+            size[around[e]] += size[e]
+            holds[around[e]] |= holds[e]
     total = sum(len(b.text) for b in blocks if not b.bad)
-    fine = {e for e in holders if 2 * size.get(e, 0) > total}
+    ill: list[bool] = []
+    for e, outer in enumerate(around):
+        ill.append(not (holds[e] and 2 * size[e] > total) or (outer >= 0 and ill[outer]))
     for b in blocks:
-        b.bad = b.bad or any(e not in fine for e in b.named)
+        b.bad = b.bad or (b.named >= 0 and ill[b.named])
     return blocks
 
 
@@ -227,10 +261,14 @@ def stop_limits(blocks: list[Block]) -> tuple[float, float] | None:
 def classify(block: Block, limits: tuple[float, float] | None = (STOP_LOW, STOP_HIGH)) -> str:
     """First pass: good, bad, near or short."""
     n = len(block.text)
-    if block.bad or block.linked > MAX_LINKS * n:
+    if block.bad:
         return "bad"
+    if block.linked > MAX_LINKS * n or (n < LENGTH_LOW and block.linked):
+        return "short" if block.tag == "p" and block.linked < n else "bad"  # a paragraph with a link in it is perhaps no list of links
+    if block.tag == "pre":
+        return "near"  # code has no stop words
     if n < LENGTH_LOW:
-        return "bad" if block.linked else "short"
+        return "short"
     if limits is None:
         return "near" if not SENTENCE_END.search(block.text) or n <= LENGTH_HIGH else "good"
     stop = stop_share(block.text)
@@ -285,9 +323,27 @@ def label(blocks: list[Block]) -> list[bool]:
     return final
 
 
+def rescued(blocks: list[Block]) -> list[bool]:
+    """Main text of a page on which no block is good by itself: its nearly good blocks or, without any, its
+    short ones without links, and what :func:`label` then gives their neighbours."""
+    limits = stop_limits(blocks)
+    kinds = [classify(b, limits) for b in blocks]
+    wanted = "near" if "near" in kinds else "short"
+    kept = [kind == wanted and not (wanted == "short" and b.linked) for kind, b in zip(kinds, blocks)]
+    if wanted == "near":
+        first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+        for k, (kind, b) in enumerate(zip(kinds, blocks)):
+            above = b.heading and k < first and sum(len(x.text) for x in blocks[k + 1 : first]) <= HEADING_REACH and not any(x.bad for x in blocks[k:first])
+            kept[k] = kept[k] or (kind == "short" and (first < k < last or above))
+    return kept
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, good in zip(blocks, label(blocks)) if good)
+    kept = label(blocks)
+    if not any(kept):
+        kept = rescued(blocks)
+    return "\n".join(b.text for b, good in zip(blocks, kept) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

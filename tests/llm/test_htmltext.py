@@ -1,6 +1,7 @@
 """Main text of pages with all the parts that must go."""
 
 import random
+import time
 
 from strandset.llm import htmltext as h
 
@@ -103,3 +104,40 @@ def test_broken_and_empty(spark):
     got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in h.extract(df).collect())
     assert got == [("1", "u", LONG, len(LONG))] * 2 + [("None", "None", "", 0)]
     assert h.extract(df.where("page_id = 5")).count() == 0
+
+
+P195 = "The house of the old man is on the hill by the sea, and in the winter the wind is so loud that he and his dog are in the kitchen for most of the day with a book and a cup of tea by the fire."
+VERSE = ["The rain is in the hills", "and all the birds are still", "a bell is in the town"] * 4
+
+
+def test_pages_of_short_paragraphs_stay():
+    assert 180 <= len(P195) <= 200
+    page = "<body><h1>A title</h1>" + "".join(f"<p>{P195}</p>" for _ in range(3)) + "</body>"
+    assert h.main_text(page) == "\n".join(["A title", *[P195] * 3])
+    with_more = f"<body><nav><a href='/'>Home</a></nav><h1>A title</h1><p>{P195}</p><p>Yes.</p><p>{P195}</p><footer>Made by us</footer></body>"
+    assert h.main_text(with_more) == f"A title\n{P195}\nYes.\n{P195}"
+    assert h.main_text("<body><nav><a href='/'>Home</a></nav>" + "".join(f"<p>{v}</p>" for v in VERSE) + "<footer>x</footer></body>") == "\n".join(VERSE)
+
+
+def test_code_and_linked_paragraphs_between_good_blocks_stay():
+    code = "for (i = 0; i < n; i++) { total += values[i] * weight[i]; if (total > limit) break; } return total / n;"
+    link = f"<p>See <a href='x'>{LONG}</a></p>"
+    for before, after in (("<div>", "</div>"), ("<article>", "</article>")):
+        page = f"<body>{before}<p>{LONG} {TWO}</p><pre><code>{code}</code></pre><p>{TWO} {LONG}</p>{link}<p>{LONG} {TWO}</p>{after}</body>"
+        assert h.main_text(page) == f"{LONG} {TWO}\n{code}\n{TWO} {LONG}\nSee {LONG}\n{LONG} {TWO}"
+
+
+def test_names_of_boilerplate_and_of_subjects():
+    art, other = f"<p>{LONG} {TWO}</p>", f"<p>{TWO} {LONG}</p>"
+    for name in ("post-comments", "single-comments", "content-comments", "page-sidebar", "sidebar-content", "content-sidebar", "entry-footer", "main-nav", "comment-list", "related-posts", "share-buttons", "sidebar-left", "ad-slot"):
+        assert h.main_text(f"<body><div class='post'>{art}</div><div class='{name}'>{other}</div></body>") == f"{LONG} {TWO}", name
+        assert h.main_text(f"<body><div class='post'>{art}</div><section id='{name}'>{other}</section></body>") == f"{LONG} {TWO}", name
+    for name in ("social-science", "cookie-recipe", "related-work", "no-sidebar", "has-widget", "comments-open", "main-content", "post", "search-theory"):
+        assert h.main_text(f"<body><div class='{name}'>{art}</div></body>") == f"{LONG} {TWO}", name
+
+
+def test_deep_and_unmatched_tags_take_linear_time():
+    page = "<div>" * 20_000 + "x" + "</b>" * 20_000 + "<div class='ad'>" * 5_000 + f"<p>{LONG}</p>"
+    started = time.perf_counter()
+    h.main_text(page)
+    assert time.perf_counter() - started < 2
