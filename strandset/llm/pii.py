@@ -30,6 +30,7 @@ ignored.  Places are code points, ends exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,21 +64,65 @@ FOLDS, LEAST_HELD_OUT = 5, 20
 TREES, DEPTH, RATE = 20, 3, 0.3
 
 
+#: Rows that are folded together; an array that grows by one is copied no longer than this.
+FOLD_ROWS = 64
+#: Characters before a span that count as its context.
+CONTEXT = 24
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(rows: Column) -> Column:
+    """An array in runs of ``FOLD_ROWS``."""
+    last = F.floor((F.size(rows) - 1) / FOLD_ROWS).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(rows, k * FOLD_ROWS + 1, F.lit(FOLD_ROWS)))
+    return F.when(F.size(rows) > 0, runs).otherwise(F.slice(runs, F.lit(1), F.lit(0)))
+
+
+def fold_rows(rows: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """``state, out`` after all rows of an array: ``step`` of a state and a row gives the next state and an array of what it puts out.
+
+    Long arrays are folded run by run, so the time is near linear where one growing result
+    would be copied for every row.
+    """
+
+    def run(acc: Column, block: Column) -> Column:
+        def one(a: Column, row: Column) -> Column:
+            new, out = step(a["state"], row)
+            return F.struct(new.alias("state"), F.concat(a["out"], out).alias("out"))
+
+        begin = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        # what an aggregate ends with is not copied, unlike what a transform gives
+        return F.aggregate(block, begin, one, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return _let(rows, lambda held: F.aggregate(_blocks(held), begin, run, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out"))))
+
+
+SPAN = "struct<start:int,end:int,m:string,before:string,after:string>"
+
+
 def _spans(text: Column, gen: int) -> Column:
-    """Leftmost non-overlapping matches of a generator with their places."""
+    """Leftmost non-overlapping matches of a generator with their places and the characters beside them."""
     kind, pattern, guard = GENERATORS[gen]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["b"]
+
+    def placed(found: Column) -> Column:
+        return _let(F.split(text, pattern, -1), lambda between: F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"), F.slice(between, F.lit(2), F.size(found)).alias("n"), F.slice(F.concat(found, F.array(F.lit(""))), F.lit(2), F.size(found)).alias("o")))
+
+    def step(state: Column, p: Column) -> tuple[Column, Column]:
+        begin = state["at"] + F.length(p["b"])
         end = begin + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("m")))).alias("out"))
+        before = F.right(F.concat(state["tail"], F.right(p["b"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        span = F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("m"), before.alias("before"), F.left(F.concat(F.left(p["n"], F.lit(1)), F.left(p["o"], F.lit(1))), F.lit(1)).alias("after"))
+        tail = F.right(F.concat(before, F.right(p["m"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), tail.alias("tail")), F.array(span)
 
-    return F.when(text.rlike(guard), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    pairs = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    found = fold_rows(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), SPAN, step)["out"]
+    return F.when(text.rlike(guard), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _luhn(number: Column) -> Column:
@@ -135,9 +180,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def described(gen: int) -> Column:
         def one(s: Column) -> Column:
-            m = s["m"]
-            before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-            values = _features(gen, m, before, F.substring(text, s["end"] + 1, F.lit(1)))
+            m, before = s["m"], s["before"]
+            values = _features(gen, m, before, s["after"])
             return F.struct(F.lit(KINDS.index(GENERATORS[gen][0])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _evidence(gen, m, before).alias("label"), *[v.cast("int").alias(f) for v, f in zip(values, FEATURES)])
 
         return F.transform(_spans(text, gen), one)
@@ -249,21 +293,21 @@ def find(docs: DataFrame) -> DataFrame:
     def plain(s: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
 
-    rows = found.select("doc_id", F.array_sort(F.filter(F.transform("spans", scored), lambda s: s["base"] | s["take"])).alias("s"))
+    rows = found.select("doc_id", F.sort_array(F.filter(F.transform("spans", scored), lambda s: s["base"] | s["take"])).alias("s"))
     span = "struct<start:int,kind:int,end:int>"
     nothing = F.lit(None).cast("struct<start:int,kind:int,end:int,base:boolean,take:boolean,score:bigint>")
-    begin = F.struct(F.array().cast(f"array<{span}>").alias("out"), nothing.alias("cur"), F.lit(0).alias("reach"))
 
-    def step(acc: Column, s: Column) -> Column:
-        cur = acc["cur"]
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        cur = state["cur"]
         meets = F.coalesce(s["start"] < cur["end"], F.lit(False))
-        done = F.when(cur.isNotNull() & ~meets, F.concat(acc["out"], F.array(plain(cur)))).otherwise(acc["out"])
-        new = F.when(s["base"], nothing).when(s["start"] < acc["reach"], F.when(meets, cur).otherwise(nothing)).when(meets & (s["score"] <= cur["score"]), cur).otherwise(s)
-        return F.struct(done.alias("out"), new.alias("cur"), F.when(s["base"], F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"]).alias("reach"))
+        done = F.when(cur.isNotNull() & ~meets, F.array(plain(cur))).otherwise(F.array().cast(f"array<{span}>"))
+        new = F.when(s["base"], nothing).when(s["start"] < state["reach"], F.when(meets, cur).otherwise(nothing)).when(meets & (s["score"] <= cur["score"]), cur).otherwise(s)
+        return F.struct(new.alias("cur"), F.when(s["base"], F.greatest(state["reach"], s["end"])).otherwise(state["reach"]).alias("reach")), done
 
-    more = F.aggregate("s", begin, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(plain(acc["cur"])))))
+    folded = fold_rows(F.col("s"), F.struct(nothing.alias("cur"), F.lit(0).alias("reach")), span, step)
+    more = _let(folded, lambda r: F.when(r["state"]["cur"].isNull(), r["out"]).otherwise(F.concat(r["out"], F.array(plain(r["state"]["cur"])))))
     base = F.transform(F.filter("s", lambda s: s["base"]), plain)
-    return rows.select("doc_id", base.alias("base"), F.array_sort(F.concat(base, more)).alias("spans"))
+    return rows.select("doc_id", base.alias("base"), F.sort_array(F.concat(base, more)).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -287,11 +331,21 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = spans.select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id._h").alias("_t"), "spans")
     joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_h").eqNullSafe(F.col("_t")))
     names = F.array(*[F.lit(k) for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, F.lit("["), F.get(names, s["kind"]), F.lit("]")).alias("out"))
+    def pieces(state: Column, block: Column) -> tuple[Column, Column]:
+        # one stretch of text for a run of spans, so that places are counted from near by
+        end = F.greatest(state, F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def cut(stretch: Column) -> Column:
+            def one(at: Column, s: Column) -> tuple[Column, Column]:
+                kept = F.substring(stretch, at - state + 1, F.greatest(s["start"] - at, F.lit(0)))
+                return F.greatest(at, s["end"]), F.array(F.concat(kept, F.lit("["), F.get(names, s["kind"]), F.lit("]")))
+
+            return fold_rows(block, state, "string", one)["out"]
+
+        return end, _let(F.substring(F.col("text"), state + 1, end - state), cut)
+
+    def whole(spans: Column) -> Column:
+        return _let(fold_rows(_blocks(spans), F.lit(0), "string", pieces), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(F.col("text"), r["state"] + 1, F.length("text"))))
 
-    text = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.select("doc_id", text.alias("text"))
+    return joined.select("doc_id", _let(F.col("spans"), whole).alias("text"))

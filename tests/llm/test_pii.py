@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 from strandset.llm import pii
@@ -171,3 +172,19 @@ def test_added_spans_equal_a_plain_version_and_leave_other_numbers(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("doc_id = 2")
     assert pii.personal_data(df).count() == 0
+
+
+def test_long_texts_take_near_linear_time(spark):
+    def seconds(n):
+        text = " and ".join(f"10.{k % 200}.{k % 7}.{k % 250}" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        started = time.perf_counter()
+        row = pii.personal_data(df).first()
+        assert row.n_ip == n
+        middle = time.perf_counter()
+        assert pii.redact(df).first().text == " and ".join(["[ip]"] * n)
+        return middle - started, time.perf_counter() - middle
+
+    seconds(100)
+    short, long = seconds(1000), seconds(10_000)
+    assert all(b < 10 * a for a, b in zip(short, long)), (short, long)
