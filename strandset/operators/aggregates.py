@@ -198,16 +198,23 @@ def scope_union(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def block_r2_by_distance(pairs: DataFrame, block_a: str, block_b: str, distance: str, r2: str, edges: list[float]) -> DataFrame:
     """Median r2 of same-block and other pairs in distance bins, and their ratio."""
-    same = F.col(block_a) == F.col(block_b)
-    binned = pairs.withColumn("bin", histogram(F.col(distance), edges))
-    out = binned.where("bin IS NOT NULL").groupBy("bin").agg(F.expr("percentile(CASE WHEN %s = %s THEN %s END, 0.5)" % (block_a, block_b, r2)).alias("same"), F.expr("percentile(CASE WHEN %s <> %s THEN %s END, 0.5)" % (block_a, block_b, r2)).alias("other"), F.count_if(same).alias("n_same"))
+    from .ranking import linear_quantiles
+
+    same = F.coalesce(F.col(block_a) == F.col(block_b), F.lit(False))
+    binned = pairs.select(histogram(F.col(distance), edges).alias("bin"), same.alias("_same"), r2).where("bin IS NOT NULL")
+    middle = linear_quantiles(binned, r2, [0.5], ["bin", "_same"]).select("bin", "_same", F.col("q")[0].alias("_m"))
+    out = middle.groupBy("bin").agg(F.max(F.when(F.col("_same"), F.col("_m"))).alias("same"), F.max(F.when(~F.col("_same"), F.col("_m"))).alias("other"))
+    out = out.join(binned.groupBy("bin").agg(F.count_if("_same").alias("n_same")), "bin").select("bin", "same", "other", "n_same")
     return out.withColumn("ratio", F.when(F.col("other") > 0, F.col("same") / F.col("other")))
 
 
 def robust_z(df: DataFrame, column: str, name: str = "z") -> DataFrame:
     """(x - median) / scale; scale is IQR / 1.349, else 1.4826 MAD, else the standard deviation, else 1."""
-    q = df.agg(F.expr(f"percentile(`{column}`, array(0.25, 0.5, 0.75))").alias("_q"), F.stddev_pop(column).alias("_sd"))
-    mad = df.crossJoin(F.broadcast(q)).agg(F.expr(f"percentile(abs(`{column}` - _q[1]), 0.5)").alias("_mad"))
+    from .ranking import linear_quantiles
+
+    q = linear_quantiles(df, column, [0.25, 0.5, 0.75]).select(F.col("q").alias("_q")).crossJoin(df.agg(F.stddev_pop(column).alias("_sd")))
+    away = df.crossJoin(F.broadcast(q)).select(F.abs(F.col(column) - F.col("_q")[1]).alias("_away"))
+    mad = linear_quantiles(away, "_away", [0.5]).select(F.col("q")[0].alias("_mad"))
     scale = F.coalesce(F.nullif((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(0.0)), F.nullif(1.4826 * F.col("_mad"), F.lit(0.0)), F.nullif(F.col("_sd"), F.lit(0.0)), F.lit(1.0))
     return df.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(mad)).withColumn(name, (F.col(column) - F.col("_q")[1]) / scale).drop("_q", "_sd", "_mad")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.special import CHI2_MEDIAN_1DF, chi2_sf, erfc_exact, normal_sf
 from .aggregates import correlation, mutual_information
 from .joins import dealt_sides, pairs_within
-from .ranking import average_rank, value_ranks
+from .ranking import linear_quantiles, value_ranks
 from .scan import quantile_bucket, running, settle
 
 
@@ -333,8 +333,9 @@ def lambda_gc(df: DataFrame, p: str, mode: str = "chi2_1df") -> DataFrame:
     ``log_2df`` is the median of 2 |ln p| over ln 4.
     """
     if mode == "log_2df":
-        return df.agg((F.expr(f"percentile(2 * abs(ln({p})), 0.5)") / 1.3863).alias("lambda_gc"))
-    median = df.agg(F.expr(f"percentile({p}, 0.5)").alias("m"))
+        logs = df.select((2.0 * F.abs(F.log(p))).alias("_l"))
+        return linear_quantiles(logs, "_l", [0.5]).select((F.col("q")[0] / 1.3863).alias("lambda_gc"))
+    median = linear_quantiles(df.select(p), p, [0.5]).select(F.col("q")[0].alias("m"))
 
     @F.pandas_udf("double")
     def inverse(s: pd.Series) -> pd.Series:
@@ -364,11 +365,22 @@ def threshold_comparison(a: Column, b: Column, alpha: float) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str], least: int = 3) -> DataFrame:
-    """Spearman correlation of each group over complete pairs; NULL for few rows or a constant."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumns({"_rx": average_rank(x, group), "_ry": average_rank(y, group)})
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.var_pop("_rx").alias("_a"), F.var_pop("_ry").alias("_b"))
-    return out.select(*group, "n", F.when((F.col("n") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("rho")).alias("rho"))
+    """Spearman correlation of each group over complete pairs; NULL for few rows or a constant.
+
+    Ranks come from counted values and rows from counted pairs of values, so neither a group
+    nor a frequent value meets in one task.
+    """
+    each = settle(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))
+    rows = each.groupBy(*group, x, y).agg(F.count("*").alias("_w"))
+    for c, name in ((x, "_rx"), (y, "_ry")):
+        ranks = value_ranks(each, c, group).select(*group, c, (F.col("n_below") + (F.col("n_at") + 1) / 2.0).alias(name))
+        rows = rows.join(ranks, [*group, c])
+    n = rows.groupBy(*group).agg(F.sum("_w").alias("n"))
+    middle = (F.col("n") + 1) / 2.0
+    rows = rows.join(n, group).select(*group, "n", "_w", (F.col("_rx") - middle).alias("_a"), (F.col("_ry") - middle).alias("_b"))
+    sums = rows.groupBy(*group).agg(F.max("n").alias("n"), *[F.sum(F.col("_w") * F.col(p) * F.col(q)).alias(p + q) for p, q in (("_a", "_a"), ("_a", "_b"), ("_b", "_b"))])
+    sound = (F.col("n") >= least) & (F.col("_a_a") > 0) & (F.col("_b_b") > 0)
+    return sums.select(*group, "n", F.when(sound, F.col("_a_b") / F.sqrt(F.col("_a_a") * F.col("_b_b"))).alias("rho"))
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:

@@ -336,6 +336,31 @@ def intrinsic_dimension(neighbours: DataFrame) -> DataFrame:
     return used.agg((F.count("*") / F.sum(F.log(F.col("r2") / F.col("r1")))).alias("dimension"), F.count("*").alias("n"))
 
 
+def likelihood_dimension(neighbours: DataFrame, k: int) -> DataFrame:
+    """``dimension, n``: maximum-likelihood estimate from the logarithms of neighbour distances over the kth's.
+
+    ``neighbours`` has ``query_id, rank, distance``; queries with fewer than k neighbours or
+    a neighbour at distance 0 are left out, as are estimates of fewer than 20 queries.
+    """
+    near = neighbours.where(F.col("rank") <= k)
+    far = near.groupBy("query_id").agg(F.max("distance").alias("_far"), F.count("*").alias("_n"), F.min("distance").alias("_near")).where((F.col("_n") == k) & (F.col("_near") > 0))
+    each = near.join(far, "query_id").groupBy("query_id").agg((F.sum(F.log(F.col("_far") / F.col("distance"))) / (k - 1)).alias("_inverse"))
+    return each.agg(F.when((F.count("*") >= 20) & (F.avg("_inverse") > 0), 1.0 / F.avg("_inverse")).alias("dimension"), F.count("*").alias("n"))
+
+
+def bimodality(df: DataFrame, group: list[str], value: str, least: int = 30) -> DataFrame:
+    """``group, n, coefficient``: (skewness^2 + 1) over the kurtosis with its sample correction; above 5/9 hints at two modes.
+
+    From central moments in one aggregate; NULL for fewer than ``least`` finite values or a constant.
+    """
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    out = rows.groupBy(*group).agg(F.count("*").alias("n"), F.skewness(x).alias("_s"), F.kurtosis(x).alias("_k"), F.var_pop(x).alias("_v"))
+    n = F.col("n").cast("double")
+    coefficient = (F.col("_s") * F.col("_s") + 1.0) / (F.col("_k") + 3.0 * (n - 1) * (n - 1) / ((n - 2) * (n - 3)))
+    return out.select(*group, "n", F.when((n >= least) & (F.col("_v") > 0), coefficient).alias("coefficient"))
+
+
 def hopkins(df: DataFrame, key: str, vector: str, m: int, seed: int = 1) -> float:
     """Clustering tendency: distances of uniform probes against those of ``m`` sampled rows (a sampling operator)."""
     from .sets import nearest_neighbours

@@ -199,3 +199,28 @@ def shifted_null(intervals: DataFrame, keys: list[str], start: str, end: str, ex
         size = F.when(F.col(keys[0]) == k, F.lit(float(v))).otherwise(size)
     moved = F.pmod(F.col(start) + F.floor(draw * size), size)
     return rep.withColumns({end: moved + (F.col(end) - F.col(start)), start: moved})
+
+
+def factor_sets(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, start: str, end: str, factor: str, top: list, width: float, closed: str = "left") -> DataFrame:
+    """``points`` with ``n_factors``, the distinct factors of the intervals around a point, and ``top_bits``.
+
+    Bit k of ``top_bits`` is set where factor ``top[k]`` (63 at most) is around; single
+    factors come from it by :func:`factor_indicators`.  A point meets the intervals of its
+    bin; what it meets is reduced to distinct factors before they are counted, so many
+    intervals of one factor cost one row.
+    """
+    if len(top) > 63:
+        raise ValueError("a set of factors holds 63 at most")
+    bit = F.lit(0).cast("long")
+    for k, value in enumerate(top):
+        bit = F.when(F.col(factor) == value, F.lit(1 << k).cast("long")).otherwise(bit)
+    place = [*keys, pos]
+    places = points.select(*place).distinct()
+    met = point_in_interval(places, intervals.select(*keys, start, end, factor), keys, pos, start, end, width, closed)
+    sets = met.select(*place, factor, bit.alias("_bit")).distinct().groupBy(*place).agg(F.count(factor).alias("n_factors"), F.bit_or("_bit").alias("top_bits"))
+    return points.join(sets, place, "left").fillna({"n_factors": 0, "top_bits": 0})
+
+
+def factor_indicators(top: list, bits: str = "top_bits", prefix: str = "factor_") -> list[Column]:
+    """A 0/1 column for each listed factor of :func:`factor_sets`."""
+    return [F.expr(f"CAST(shiftright({bits}, {k}) & 1 AS INT)").alias(f"{prefix}{value}") for k, value in enumerate(top)]

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
+from ..operators import clustering as cl
 from ..operators import intervals as iv
+from ..operators import joins as jn
 from ..operators import ranking as rk
 from ..operators import resampling as rs
+from ..operators import sets as se
 from .registry import EVENTS_SQL, events, query, r6, table
 
 HOUR = 3_600_000_000
@@ -53,9 +56,61 @@ def exact_sum(spark: SparkSession, d: str) -> DataFrame:
     return ag.exact_sum(rows, ["l_returnflag", "l_linestatus"], "x").withColumn("total", F.round("total", 4))
 
 
-@query("""WITH t AS (SELECT c_custkey, c_acctbal AS v FROM customer WHERE c_nationkey < 5), p AS (SELECT s_suppkey, s_acctbal AS s FROM supplier)
+@query("""WITH t AS (SELECT c_custkey, c_acctbal AS v FROM customer), p AS (SELECT s_suppkey, s_acctbal AS s FROM supplier)
 SELECT c_custkey, s_suppkey AS control, round(abs(v - s), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(v - s), s, sha256('m:' || s_suppkey::VARCHAR)) AS k FROM t, p) WHERE k = 1""")
 def nearest_controls(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "customer").where("c_nationkey < 5").select("c_custkey", F.col("c_acctbal").alias("v"))
+    wanted = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"))
     pool = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v"))
     return rs.nearest_controls(wanted, pool, [], "v", "s_suppkey", 500.0, "m").select("c_custkey", "control", r6(F.col("distance")).alias("distance"))
+
+
+@query(f"""WITH e AS {EVENTS_SQL}, p AS (SELECT DISTINCT event_type, us FROM e WHERE event_id % 3 = 0), i AS (SELECT event_type, us AS a, us_end AS b, user_id % 40 AS f FROM e WHERE event_id % 3 <> 0),
+s AS (SELECT p.event_type, p.us, count(DISTINCT f) AS n_factors, bit_or(CASE WHEN f < 20 THEN 1::BIGINT << f::INTEGER ELSE 0 END) AS top_bits FROM p JOIN i ON p.event_type = i.event_type AND a <= us AND us < b GROUP BY 1, 2)
+SELECT event_id, coalesce(n_factors, 0) AS n_factors, coalesce(top_bits, 0) AS top_bits FROM e LEFT JOIN s USING (event_type, us) WHERE event_id % 3 = 0""")
+def factor_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct factors of the spans around each point, and a set of the listed ones."""
+    e = events(spark, d)
+    spans = e.where("event_id % 3 <> 0").select("event_type", F.col("us").alias("a"), F.col("us_end").alias("b"), (F.col("user_id") % 40).alias("f"))
+    points = e.where("event_id % 3 = 0").select("event_id", "event_type", "us")
+    return iv.factor_sets(points, spans, ["event_type"], "us", "a", "b", "f", list(range(20)), HOUR).select("event_id", "n_factors", "top_bits")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS q, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY d) AS k FROM p), t AS (SELECT q, max(d) AS far FROM r WHERE k <= 8 GROUP BY 1 HAVING count(*) = 8 AND min(d) > 0), m AS (SELECT q, sum(ln(far / d)) / 7 AS inv FROM r JOIN t USING (q) WHERE k <= 8 GROUP BY 1)
+SELECT CASE WHEN count(*) >= 20 THEN round(1 / avg(inv), 6) END AS dimension, count(*) AS n FROM m""")
+def likelihood_dimension(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    near = se.nearest_neighbours(e, "vec_id", "embedding", 8, e.where("vec_id % 20 = 0"))
+    return cl.likelihood_dimension(near, 8).select(r6(F.col("dimension")).alias("dimension"), "n")
+
+
+@query("""WITH v AS (SELECT event_type, value::DOUBLE AS x FROM events), c AS (SELECT event_type, x - avg(x) OVER (PARTITION BY event_type) AS x FROM v WHERE isfinite(x)),
+m AS (SELECT event_type, count(*) AS n, sum(x * x) / count(*) AS m2, sum(x * x * x) / count(*) AS m3, sum(x * x * x * x) / count(*) AS m4 FROM c GROUP BY 1)
+SELECT event_type, n, CASE WHEN n >= 30 AND m2 > 0 THEN round((m3 * m3 / pow(m2, 3) + 1) / (m4 / (m2 * m2) - 3 + 3e0 * (n - 1) * (n - 1) / ((n - 2e0) * (n - 3))), 6) END AS coefficient FROM m""")
+def bimodality(spark: SparkSession, d: str) -> DataFrame:
+    return cl.bimodality(table(spark, d, "events"), ["event_type"], "value").withColumn("coefficient", r6(F.col("coefficient")))
+
+
+_ALLELES = "CASE {} % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'G' ELSE 'T' END"
+
+
+def _alleles(spark: SparkSession, d: str, name: str, key: str, shift: int) -> DataFrame:
+    """A table's keys as places with an allele pair."""
+    base = F.array(*[F.lit(x) for x in "ACGT"])
+    i = F.col(key)
+    return table(spark, d, name).select(F.col(key).alias(f"{name}_key"), (i % 97).alias("place"), F.get(base, (i % 4).cast("int")).alias("ref"), F.get(base, ((i + shift) % 4).cast("int")).alias("alt"))
+
+
+def _alleles_sql(name: str, key: str, shift: int) -> str:
+    return f"(SELECT {key} AS {name}_key, {key} % 97 AS place, {_ALLELES.format(key)} AS ref, {_ALLELES.format(f'({key} + {shift})')} AS alt FROM {name})"
+
+
+@query(f"SELECT part_key, supplier_key FROM {_alleles_sql('part', 'p_partkey', 1)} a JOIN {_alleles_sql('supplier', 's_suppkey', 3)} b ON a.place = b.place AND least(a.ref, a.alt) = least(b.ref, b.alt) AND greatest(a.ref, a.alt) = greatest(b.ref, b.alt)")
+def unordered_alleles(spark: SparkSession, d: str) -> DataFrame:
+    return jn.unordered(_alleles(spark, d, "part", "p_partkey", 1), _alleles(spark, d, "supplier", "s_suppkey", 3), ["place"], ("ref", "alt")).select("part_key", "supplier_key")
+
+
+@query(f"""SELECT CASE WHEN a.ref = b.ref AND a.alt = b.alt THEN 'same' WHEN a.ref = b.alt AND a.alt = b.ref THEN 'swapped' ELSE 'mismatch' END AS allele_status, count(*) AS n
+FROM {_alleles_sql('part', 'p_partkey', 1)} a JOIN {_alleles_sql('supplier', 's_suppkey', 3)} b USING (place) GROUP BY 1""")
+def position_alleles(spark: SparkSession, d: str) -> DataFrame:
+    return jn.position_check(_alleles(spark, d, "part", "p_partkey", 1), _alleles(spark, d, "supplier", "s_suppkey", 3), ["place"], ("ref", "alt")).groupBy("allele_status").agg(F.count("*").alias("n"))
