@@ -1,4 +1,4 @@
-"""Queries of distances to intervals, exclusive assignment, exact sums and matched controls."""
+"""Queries of distances to intervals, assignment, exact sums, controls, factor sets, dimension, allele joins, linkage and clumps."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
+from ..operators import association as st
 from ..operators import clustering as cl
 from ..operators import intervals as iv
 from ..operators import joins as jn
+from ..operators import linkage as lk
 from ..operators import ranking as rk
 from ..operators import resampling as rs
+from ..operators import scan as sc
 from ..operators import sets as se
 from .registry import EVENTS_SQL, events, query, r6, table
 
@@ -114,3 +117,53 @@ def unordered_alleles(spark: SparkSession, d: str) -> DataFrame:
 FROM {_alleles_sql('part', 'p_partkey', 1)} a JOIN {_alleles_sql('supplier', 's_suppkey', 3)} b USING (place) GROUP BY 1""")
 def position_alleles(spark: SparkSession, d: str) -> DataFrame:
     return jn.position_check(_alleles(spark, d, "part", "p_partkey", 1), _alleles(spark, d, "supplier", "s_suppkey", 3), ["place"], ("ref", "alt")).groupBy("allele_status").agg(F.count("*").alias("n"))
+
+
+_BLOCK, _BORDER, _R2 = 20, 5, 0.02
+
+
+@query(f"""WITH v AS (SELECT label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+c AS (SELECT label, idx, n, idx // {_BLOCK} AS block, list_transform(e, lambda x: x - list_avg(e)) AS e FROM v),
+t AS (SELECT * FROM c WHERE idx >= least(n, (block + 1) * {_BLOCK}) - {_BORDER} AND (block + 1) * {_BLOCK} < n), h AS (SELECT * FROM c WHERE block > 0 AND idx < block * {_BLOCK} + {_BORDER}),
+p AS (SELECT t.label, t.block AS border, t.idx AS a, h.idx AS b, pow(list_cosine_similarity(t.e, h.e), 2) > {_R2} AS high FROM t JOIN h ON t.label IS NOT DISTINCT FROM h.label AND t.block + 1 = h.block)
+SELECT label, border, count(*) AS tested_pairs, count(*) FILTER (high) AS high_pairs, count(DISTINCT a) FILTER (high) AS left_involved, count(DISTINCT b) FILTER (high) AS right_involved FROM p GROUP BY 1, 2""")
+def block_borders(spark: SparkSession, d: str) -> DataFrame:
+    """What the borders of blocked linkage cut."""
+    e = table(spark, d, "embeddings").withColumn("at", F.col("vec_id"))
+    return lk.blocked_linkage(e, ["label"], "vec_id", "at", "embedding", _R2, _BLOCK, _BORDER)[1]
+
+
+@query(None)
+def block_teams(spark: SparkSession, d: str) -> DataFrame:
+    """Complete linkage in blocks."""
+    e = table(spark, d, "embeddings").withColumn("at", F.col("vec_id"))
+    return lk.blocked_linkage(e, ["label"], "vec_id", "at", "embedding", _R2, _BLOCK, _BORDER)[0].select("label", "vec_id", "idx", "block", "team")
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT vec_id, run, CASE WHEN (vec_id + run) % 7 = 0 THEN -1 ELSE (e[run + 1] > 0)::INTEGER + 2 * (e[run + 2] > 0)::INTEGER END AS c FROM v, (SELECT unnest(range(0, 8)) AS run) WHERE (vec_id * 3 + run) % 5 <> 0),
+n AS (SELECT vec_id, lead(vec_id) OVER (ORDER BY vec_id) AS next FROM v)
+SELECT n.vec_id AS a, n.next AS b, count(*) AS n_both, count(*) FILTER (x.c = y.c AND x.c >= 0) AS n_same FROM n JOIN r x ON x.vec_id = n.vec_id JOIN r y ON y.vec_id = n.next AND y.run = x.run GROUP BY 1, 2""")
+def co_association(spark: SparkSession, d: str) -> DataFrame:
+    """How often neighbours by number fall into one cluster over runs that draw parts of the rows."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    run = e.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(7)))).where((F.col("vec_id") * 3 + F.col("run")) % 5 != 0)
+    sign = [(F.get("embedding", F.col("run") + k) > 0).cast("int") for k in (0, 1)]
+    runs = run.select("run", F.col("vec_id").alias("id"), F.when((F.col("vec_id") + F.col("run")) % 7 == 0, -1).otherwise(sign[0] + 2 * sign[1]).alias("cluster"))
+    places = sc.running(e.select("vec_id"), [], ["vec_id"], sc.quantile_bucket(e, "vec_id"), {"i": ("sum", F.lit(1))})
+    pairs = places.select(F.col("vec_id").alias("a"), "i").join(places.select(F.col("vec_id").alias("b"), (F.col("i") - 1).alias("i")), "i").select("a", "b")
+    return lk.co_association(runs, pairs).select("a", "b", "n_both", "n_same")
+
+
+@query(None)
+def ld_clumps(spark: SparkSession, d: str) -> DataFrame:
+    """Clumps of dimensions by their correlation over all vectors, the strongest first."""
+    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("person"), F.posexplode("embedding").alias("variant", "x")).select("person", "variant", F.col("x").cast("double").alias("ds"), F.lit("1").alias("chrom")).withColumn("pos", F.col("variant"))
+    n = table(spark, d, "embeddings").count()
+    links = st.ld_pairs(cells, "variant", "person", "ds", n, "pos", 16.0).where("r2 >= 0.001").withColumn("chrom", F.lit("1"))
+    p = cells.groupBy("chrom", "variant").agg((1.0 / (1.0 + F.abs(F.avg("ds")))).alias("p"))
+    return cl.greedy_ld_clump(p, links, ["chrom"], "variant", "p").select("variant", "lead", "is_lead")
+
+
+@query(None)
+def ward_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return lk.ward(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 8).select("label", "vec_id", "cluster")
