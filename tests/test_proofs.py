@@ -214,5 +214,14 @@ def test_haplotype_units(spark):
     assert sorted(r.member for r in got if r.kind == "WINDOW") == [470, 480, 490, 510, 520, 530] and kinds["TARGET"] == 1 and 1 <= kinds["NEIGHRND"] <= 6
 
 
+def test_exact_sums_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), [5e-324] * 3, [1e16, 1.0, -1e16]])
+    rows = [("a", float(v)) for v in values] + [("b", 0.1)] * 10 + [("b", None), ("b", float("nan"))] + [("i", float("inf")), ("i", 1.0), ("n", float("inf")), ("n", float("-inf")), (None, 2.0), ("z", 0.0)]
+    got = {r.g: r.total for r in ag.exact_sum(spark.createDataFrame(rows, "g string, v double").repartition(6), ["g"], "v").collect()}
+    assert got["a"] == math.fsum(values) and got["b"] == math.fsum([0.1] * 10)
+    assert got["i"] == math.inf and got["n"] is None and got[None] == 2.0 and got["z"] == 0.0
+
+
 def rs_sorted(df):
     return sorted(map(tuple, df.collect()))
