@@ -27,12 +27,16 @@ def replicated(df: DataFrame, reps: int) -> DataFrame:
 
 
 def permute_within(df: DataFrame, group: list[str], key: str, value: str, reps: int, seed: str) -> DataFrame:
-    """``value`` dealt anew among the rows of each group, for each replicate (column ``permuted``)."""
+    """``value`` dealt anew among the rows of each group, for each replicate (column ``permuted``).
+
+    Rows are numbered twice over all replicates and groups, by key and by digest inside
+    them; as both orders begin with replicate and group, equal numbers are rows of one group.
+    Numbers come from ranges, so neither a replicate nor a group is one task's.
+    """
     rows = replicated(df.select(*group, key, value), reps)
-    w = Window.partitionBy("rep", *group)
-    numbered = rows.select("*", F.row_number().over(w.orderBy(key)).alias("_i"), F.row_number().over(w.orderBy(draw(seed, "rep", key), key)).alias("_j"))
-    source = numbered.select("rep", *group, F.col("_j").alias("_i"), F.col(value).alias("permuted"))
-    return numbered.select("rep", *group, key, value, "_i").join(source, ["rep", *group, "_i"]).drop("_i")
+    by_key = _numbered(rows.withColumn("_o", F.struct("rep", *group, key)), "_o").drop("_o")
+    by_draw = _numbered(rows.select(F.col(value).alias("permuted"), F.struct("rep", *group, draw(seed, "rep", key).alias("_d"), key).alias("_o")), "_o").select("_i", "permuted")
+    return by_key.join(by_draw, "_i").select("rep", *group, key, value, "permuted")
 
 
 def column_shuffle(df: DataFrame, key: str, blocks: list[list[str]], seed: str) -> DataFrame:
