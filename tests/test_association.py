@@ -88,3 +88,18 @@ def test_set_tests_are_the_dense_ones(spark, monkeypatch):
     full = {(c.gene, c.a, c.b): c.xy for c in one.collect()}
     want = {(gene[a], a, b): float(x[:, a] @ x[:, b]) for a in range(m) for b in range(a, m) if gene[a] == gene[b] and x[:, a] @ x[:, b]}
     assert full == want
+
+
+def test_effective_rank_of_empty_partitions_and_broken_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8, 3))
+    rows = [(i % 2, v.tolist()) for i, v in enumerate(x)]
+    odd = [(0, None), (1, [1.0, None, 2.0]), (1, [float("nan"), 0.0, 1.0]), (2, None)]
+    df = spark.createDataFrame(rows + odd, "label int, e array<double>").repartition(40)
+    got = {r.label: r.effective_rank for r in st.effective_rank(df, "label", "e").collect()}
+    for k in (0, 1):
+        s = np.linalg.svd(x[k::2] - x[k::2].mean(0), compute_uv=False)
+        p = s / s.sum()
+        assert math.isclose(got[k], np.exp(-(p * np.log(p)).sum()), rel_tol=1e-9)
+    assert got[2] is None and len(got) == 3
+    assert not st.effective_rank(df.where("label = 9"), "label", "e").collect()
