@@ -29,14 +29,21 @@ def replicated(df: DataFrame, reps: int) -> DataFrame:
 def permute_within(df: DataFrame, group: list[str], key: str, value: str, reps: int, seed: str) -> DataFrame:
     """``value`` dealt anew among the rows of each group, for each replicate (column ``permuted``).
 
-    Rows are numbered twice over all replicates and groups, by key and by digest inside
-    them; as both orders begin with replicate and group, equal numbers are rows of one group.
+    Rows are numbered once by key and, over all replicates, by digest; as both orders have
+    the groups in the same places of each replicate, equal places are rows of one group.
     Numbers come from ranges, so neither a replicate nor a group is one task's.
     """
-    rows = replicated(df.select(*group, key, value), reps)
-    by_key = _numbered(rows.withColumn("_o", F.struct("rep", *group, key)), "_o").drop("_o")
-    by_draw = _numbered(rows.select(F.col(value).alias("permuted"), F.struct("rep", *group, draw(seed, "rep", key).alias("_d"), key).alias("_o")), "_o").select("_i", "permuted")
-    return by_key.join(by_draw, "_i").select("rep", *group, key, value, "permuted")
+    rows = df.select(*group, key, value)
+    by_key = _numbered(rows.withColumn("_o", F.struct(*group, key)), "_o").drop("_o")
+    n = by_key.count()
+    order = F.struct("rep", *group, F.unhex(draw(seed, "rep", key)).alias("_d"), key)
+    by_draw = _numbered(replicated(rows, reps).select("rep", F.col(value).alias("permuted"), order.alias("_o")), "_o").select("rep", "permuted", (F.col("_i") - F.col("rep") * F.lit(n)).alias("_i"))
+    return _beside(by_key, by_draw).select("rep", *group, key, value, "permuted")
+
+
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on ``_i`` by sorting: a settled table is still taken for as small as the files it was made from, and would be broadcast."""
+    return left.hint("merge").join(right, "_i")
 
 
 def column_shuffle(df: DataFrame, key: str, blocks: list[list[str]], seed: str) -> DataFrame:
@@ -44,7 +51,7 @@ def column_shuffle(df: DataFrame, key: str, blocks: list[list[str]], seed: str)
     out = _numbered(df.select(key), key)
     for k, block in enumerate(blocks):
         part = _numbered(df.select(*block, draw(f"{seed}{k}", key).alias("_d")), "_d").drop("_d")
-        out = out.join(part, "_i")
+        out = _beside(out, part)
     return out.drop("_i")
 
 
