@@ -70,6 +70,16 @@ def position_check(left: DataFrame, right: DataFrame, place: list[str], alleles:
     return joined.withColumn("allele_status", F.when(same, "same").when(swap, "swapped").otherwise("mismatch"))
 
 
+def position_counts(left: DataFrame, right: DataFrame, place: list[str], alleles: tuple[str, str]) -> DataFrame:
+    """``allele_status, n``: the pairs of :func:`position_check` counted, without making them.
+
+    Rows that agree in place and alleles are counted on each side first; what meets are these
+    kinds, and a meeting stands for the product of their counts.
+    """
+    kinds = [side.groupBy(*place, *alleles).agg(F.count("*").alias(name)) for side, name in ((left, "_n"), (right, "_m"))]
+    return position_check(*kinds, place, alleles).groupBy("allele_status").agg(F.sum(F.col("_n") * F.col("_m")).alias("n"))
+
+
 def dealt_sides(rows: DataFrame, group: list[str], item: str, part_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
     """``rows`` for both sides of a join on ``group`` and ``_deal``: a group of many rows is dealt by
     ``item`` to parts of about ``part_rows`` on the left, and copied to each of them on the right."""

@@ -116,7 +116,7 @@ def unordered_alleles(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT CASE WHEN a.ref = b.ref AND a.alt = b.alt THEN 'same' WHEN a.ref = b.alt AND a.alt = b.ref THEN 'swapped' ELSE 'mismatch' END AS allele_status, count(*) AS n
 FROM {_alleles_sql('part', 'p_partkey', 1)} a JOIN {_alleles_sql('supplier', 's_suppkey', 3)} b USING (place) GROUP BY 1""")
 def position_alleles(spark: SparkSession, d: str) -> DataFrame:
-    return jn.position_check(_alleles(spark, d, "part", "p_partkey", 1), _alleles(spark, d, "supplier", "s_suppkey", 3), ["place"], ("ref", "alt")).groupBy("allele_status").agg(F.count("*").alias("n"))
+    return jn.position_counts(_alleles(spark, d, "part", "p_partkey", 1), _alleles(spark, d, "supplier", "s_suppkey", 3), ["place"], ("ref", "alt"))
 
 
 _BLOCK, _BORDER, _R2 = 20, 5, 0.02
