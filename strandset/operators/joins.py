@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import complement
+from .scan import settle, task_count
 
 
 def one_per_key(df: DataFrame, keys: list[str], policy: str = "error", order: list[str] | None = None) -> DataFrame:
@@ -94,13 +95,19 @@ def pairs_within(df: DataFrame, group: list[str], item: str, inside: list[str] |
 
     The sets of a group are pre-aggregated; groups are the join key, so no group is
     crossed with another, and a large one is dealt to many tasks.  Pairs are kept apart by
-    the columns ``inside``.
+    the columns ``inside``.  The number of tasks follows the number of pairs to make, so a
+    task's memory does not grow with the table.
     """
     inside = inside or []
     key = [*group, *inside]
-    left, right = dealt_sides(df.select(*key, item).distinct(), key, item)
+    rows = df.select(*key, item)
+    rows = settle(rows.repartition(task_count(df.sparkSession, rows.count()), *key).distinct())
+    pairs = rows.groupBy(*key).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") + 1) / 2)).first()[0]
+    tasks = task_count(df.sparkSession, pairs or 0)
+    left, right = dealt_sides(rows, key, item)
+    left, right = (side.repartition(tasks, *key, "_deal") for side in (left, right))
     both = left.withColumnRenamed(item, "a").join(right.withColumnRenamed(item, "b"), [*key, "_deal"]).where("a < b")
-    return both.groupBy(*inside, "a", "b").agg(F.count("*").alias("n_common"))
+    return both.select(*inside, "a", "b").repartition(tasks, *inside, "a", "b").groupBy(*inside, "a", "b").agg(F.count("*").alias("n_common"))
 
 
 def best_match(df: DataFrame, group: str, item: str) -> DataFrame:

@@ -103,3 +103,45 @@ def test_effective_rank_of_empty_partitions_and_broken_vectors(spark):
         assert math.isclose(got[k], np.exp(-(p * np.log(p)).sum()), rel_tol=1e-9)
     assert got[2] is None and len(got) == 3
     assert not st.effective_rank(df.where("label = 9"), "label", "e").collect()
+
+
+def test_large_groups_fall_apart_into_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    n, m = 120, 30
+    x = np.zeros((n, m))
+    for k in range(3):  # three blocks of variants without a shared carrier; variant 29 is alone
+        x[k * 35 : (k + 1) * 35, k * 9 : (k + 1) * 9] = np.where(rng.random((35, 9)) < 0.4, rng.random((35, 9)) * 2, 0.0)
+    x[110, 29] = 1.5
+    dose = spark.createDataFrame([(p, v, float(x[p, v])) for p in range(n) for v in range(m) if x[p, v]], "person long, variant long, ds double")
+    resid = spark.createDataFrame([(p, float(r)) for p, r in enumerate(rng.normal(size=n))], "person long, resid double")
+    members = spark.createDataFrame([(v, "g", float(rng.random() + 0.1), 1.0) for v in range(m)], "variant long, gene string, w1 double, w2 double")
+    args = (dose, members, resid, "gene", "variant", "person", "ds", ["w1", "w2"])
+    whole = {r.weight: r for r in st.set_tests(*args).collect()}
+    plain = {r.weight: r for r in st.set_statistics(*args).collect()}
+    monkeypatch.setattr(st, "WHOLE_VARIANTS", 5)
+    monkeypatch.setattr(st, "TAIL_CELLS", 50)
+    monkeypatch.setattr(np.linalg, "eigvalsh", lambda a: (_ for _ in ()).throw(AssertionError("a whole matrix")))
+    parts = {r.weight: r for r in st.set_tests(*args).collect()}
+    liu = {r.weight: r.p_kernel for r in st.set_tests(*args, tail="liu").collect()}
+    monkeypatch.undo()
+    liu_whole = {r.weight: r.p_kernel for r in st.set_tests(*args, tail="liu").collect()}
+    for w, r in whole.items():
+        assert parts[w].n_variants == r.n_variants == plain[w].n_variants == 28
+        for c in ("chi2", "p_burden", "q", "p_kernel"):
+            assert math.isclose(parts[w][c], r[c], rel_tol=1e-8)
+        assert math.isclose(plain[w].chi2, r.chi2, rel_tol=1e-9) and math.isclose(plain[w].q, r.q, rel_tol=1e-9) and math.isclose(liu[w], liu_whole[w], rel_tol=1e-8)
+
+
+def test_tails_of_a_matrix_less_one_rank():
+    rng = np.random.default_rng(6)
+    for m in (1, 2, 5, 60):
+        for share in (0.1, 0.9, 0.999):
+            lam = np.sort(rng.random(m) * 3 + 0.1)
+            z = rng.normal(size=m)
+            z *= math.sqrt(share / (z * z / lam).sum())  # the difference has no negative eigenvalue
+            direct = np.linalg.eigvalsh(np.diag(lam) - np.outer(z, z))
+            direct = direct[direct > 1e-12]
+            assert math.isclose(st._largest(lam, z * z), direct.max(), rel_tol=1e-9)
+            for q in (0.2, 1.0, 3.0, 10.0):
+                q *= direct.sum()
+                assert math.isclose(st.mixture_tail(q, lam, taken=z * z), st.mixture_tail(q, direct), rel_tol=1e-6)
