@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Products that a task of nearest neighbours holds at a time, and candidates whose distances it takes at a time.
+CELLS, CANDIDATES = 1_000_000, 65_536
+
 
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
@@ -46,39 +49,47 @@ def duplicate_vectors(df: DataFrame, columns: list[str], digits: int) -> DataFra
 def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, queries: DataFrame | None = None, block_rows: int = 20_000) -> DataFrame:
     """The k nearest vectors (Euclidean) of each query, exactly.
 
-    Vectors are dealt to blocks of about ``block_rows``; each pair of a query block and a vector block is one task
-    of matrix products that returns k candidates a query, and the best k of those remain.
-    No row is paired with another as a row.
+    Queries and vectors are dealt to blocks of at most about ``block_rows``; each pair of a query block and a vector
+    block is one task of matrix products that returns k candidates a query, and the best k of those remain.
+    No row is paired with another as a row, and a task holds a million products at a time, whatever the table.
+    Products only choose; the distances of the chosen are sums of squared differences, so copies are at distance zero.
     """
     import numpy as np
     import pandas as pd
 
     queries = df if queries is None else queries
-    blocks = max(4, -(-max(df.count(), queries.count()) // block_rows))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    deal = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("qb"), deal.alias("vb"), F.lit(True).alias("query"))
-    right = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("vb"), deal.alias("qb"), F.lit(False).alias("query"))
+    q_blocks = max(1, -(-queries.count() // block_rows))
+    v_blocks = max(-(-16 // q_blocks), -(-df.count() // block_rows))
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), block(q_blocks).alias("qb"), deal(v_blocks).alias("vb"), F.lit(True).alias("query"))
+    right = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), block(v_blocks).alias("vb"), deal(q_blocks).alias("qb"), F.lit(False).alias("query"))
     kind = df.schema[key].dataType.simpleString()
 
+    def nearest(part: np.ndarray, own: np.ndarray, b: np.ndarray, norms: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        d = part @ b.T
+        d *= -2
+        d += norms
+        d[own[:, None] == ids] = np.inf
+        slack = 1e-12 * ((part**2).sum(1) + norms[np.isfinite(norms)].max(initial=0.0))
+        least = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+        rows, found = np.nonzero((d <= (least + slack)[:, None]) & (d < np.inf))
+        exact = np.concatenate([((part[rows[i : i + CANDIDATES]] - b[found[i : i + CANDIDATES]]) ** 2).sum(1) for i in range(0, len(rows), CANDIDATES)] or [np.zeros(0)])
+        # order by distance, then id, so ties are the same however rows are dealt
+        at = np.lexsort((ids[found], exact, rows))
+        rows, found, exact = rows[at], found[at], exact[at]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return pd.DataFrame({"query_id": own[rows[best]], "neighbour": ids[found[best]], "distance": np.sqrt(exact[best])})
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf["query"]], pdf[~pdf["query"]]
-        empty = pd.DataFrame({"query_id": [], "neighbour": [], "distance": []})
-        if not len(q) or not len(x):
-            return empty
-        a, b = np.stack(q.v.to_numpy()), np.stack(x.v.to_numpy())
-        ids = x.id.to_numpy()
-        out = []
-        for at in range(0, len(a), 512):
-            part = a[at : at + 512]
-            d = np.maximum((part**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * part @ b.T, 0)
-            d[q.id.to_numpy()[at : at + 512][:, None] == ids[None]] = np.inf
-            # order by distance, then id, so ties are the same however rows are dealt
-            best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(part)), best.shape[1])
-            out.append(pd.DataFrame({"query_id": q.id.to_numpy()[at : at + 512][rows], "neighbour": ids[best.ravel()], "distance": np.sqrt(d[rows, best.ravel()])}))
-        got = pd.concat(out)
-        return got[np.isfinite(got.distance)]
+        asked = pdf["query"].to_numpy(bool)
+        if asked.all() or not asked.any():
+            return pd.DataFrame({"query_id": [], "neighbour": [], "distance": []})
+        ids, v = pdf.id.to_numpy(), pdf.v.to_numpy()
+        a, b = np.stack(v[asked]).astype(float), np.stack(v[~asked]).astype(float)
+        own, ids, norms = ids[asked], ids[~asked], (b**2).sum(1)
+        step = max(1, CELLS // len(b))
+        return pd.concat([nearest(a[i : i + step], own[i : i + step], b, norms, ids) for i in range(0, len(a), step)])
 
     near = left.unionByName(right).groupBy("qb", "vb").applyInPandas(one, f"query_id {kind}, neighbour {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbour")
