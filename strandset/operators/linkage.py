@@ -158,27 +158,45 @@ def stream_linkage(stream: DataFrame, group: str, key: str, idx: str, size: str,
 
 
 def ward_merges(x: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]:
-    """``(height, i, j)`` of all merges by a chain of nearest neighbours; memory is that of the rows, no matrix of pairs."""
-    centre, mass, alive = x.copy(), weight.astype(float).copy(), np.ones(len(x), bool)
+    """``(height, i, j)`` of all merges by a chain of nearest neighbours; memory is that of the rows, no matrix of pairs.
+
+    Inner products choose the rows that may be nearest, and only their distances are taken
+    exactly; rows that were merged away are dropped once they are half of all.
+    """
+    centre, mass, alive, ids = x.copy(), weight.astype(float).copy(), np.ones(len(x), bool), np.arange(len(x))
+    norm = (centre**2).sum(1)
     merges, chain = [], []
-    for _ in range(len(x) - 1):
+    for left in range(len(x), 1, -1):
+        if 2 * left <= len(ids):
+            place = np.cumsum(alive) - 1
+            chain = [int(place[i]) for i in chain]
+            centre, mass, norm, ids, alive = centre[alive], mass[alive], norm[alive], ids[alive], alive[alive]
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
         while True:
             top = chain[-1]
-            d = ((centre - centre[top]) ** 2).sum(1) * (mass * mass[top] / (mass + mass[top]))
-            d[~alive] = np.inf
-            d[top] = np.inf
-            near = int(d.argmin())
-            if len(chain) > 1 and d[chain[-2]] <= d[near]:
+            scale = mass * mass[top] / (mass + mass[top])
+            rough = (norm - 2 * (centre @ centre[top]) + norm[top]) * scale
+            rough[~alive] = np.inf
+            rough[top] = np.inf
+            slack = 1e-12 * (norm + norm[top]) * scale
+            may = rough - slack <= (rough + slack).min()
+            if len(chain) > 1:
+                may[chain[-2]] = True
+            may = np.flatnonzero(may & alive)
+            d = ((centre[may] - centre[top]) ** 2).sum(1) * scale[may]
+            d[may == top] = np.inf
+            near, height = int(may[d.argmin()]), float(d.min())
+            if len(chain) > 1 and d[np.searchsorted(may, chain[-2])] <= height:
                 near = chain[-2]
             if len(chain) > 1 and near == chain[-2]:
                 break
             chain.append(near)
         a, b = sorted((chain.pop(), chain.pop()))
-        merges.append((float(d[near]), a, b))
+        merges.append((height, int(ids[a]), int(ids[b])))
         total = mass[a] + mass[b]
         centre[a] = (mass[a] * centre[a] + mass[b] * centre[b]) / total
+        norm[a] = (centre[a] ** 2).sum()
         mass[a], alive[b] = total, False
     return merges
 
