@@ -9,6 +9,7 @@ from ..functions import columns as fc
 from ..operators import aggregates as ag
 from ..operators import joins as jn
 from ..operators import sets as st
+from ..operators.scan import task_count
 from .registry import EVENTS_SQL, events, query, r6, table
 
 
@@ -209,7 +210,9 @@ def class_balanced_weights(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN greatest(abs(max(p) - arg_min(p, s)), abs(arg_min(p, s) - min(p))) > 1e-6 THEN 1 ELSE 0 END AS differs
 FROM (SELECT l_partkey, l_suppkey AS s, min(l_tax) AS p FROM lineitem GROUP BY ALL) GROUP BY 1""")
 def source_consistency(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_tax").alias("p"))
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_tax")
+    tasks = task_count(spark, rows.count())  # dealt before it is counted: a task's table of keys does not grow with the files
+    per = rows.repartition(tasks, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.min("l_tax").alias("p")).repartition(tasks, "l_partkey")
     return ag.source_consistency(per, ["l_partkey"], "p", "l_suppkey").withColumn("max_abs_diff", r6(F.col("max_abs_diff")))
 
 
