@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -102,20 +103,28 @@ class Index:
     short: dict  # by length: sorted hashes of items shorter than q, and their rows
     q: int
 
-    @property
+    @cached_property
     def allowed(self) -> np.ndarray:
         """Edits of each segment: as many as leave the lemma a bound."""
         return np.maximum((self.sizes - self.q) // self.q, 0)
 
-    @property
+    @cached_property
     def edits(self) -> int:
         return int(self.allowed.max()) if len(self.sizes) else 0
 
-    @property
+    @cached_property
     def need(self) -> np.ndarray:
         """Shared q-grams that a segment with ``allowed`` edits must have."""
         return self.sizes - self.q + 1 - self.q * self.allowed
 
+    @cached_property
+    def least(self) -> int:
+        return int(self.need.min())
+
+    @cached_property
+    def longest(self) -> int:
+        return int(self.sizes.max()) if len(self.sizes) else 0
+
 
 def build_index(items: list[tuple], q: int = Q, segment: int = SEGMENT) -> Index:
     ids, begins, sizes, owners, texts, item_begins, item_sizes, at = [], [], [], [], [], [], [], 0
@@ -158,10 +167,14 @@ def shared(x: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray
     real = index.grams[np.minimum(lo, len(index.grams) - 1)] == h[at]
     at, lo = at[real], lo[real]
     # a q-gram needs enough others near it, whatever the diagonal
-    if len(at) and (least := int(index.need.min())) > 1:
-        reach = int(index.sizes.max()) + 2 * index.edits
-        busy = np.searchsorted(at, at + reach) - np.searchsorted(at, at - reach)
-        at, lo = at[busy >= least], lo[busy >= least]
+    if len(at) < index.least:
+        return
+    if index.least > 1:
+        reach = index.longest + 2 * index.edits
+        busy = np.searchsorted(at, at + reach) - np.searchsorted(at, at - reach) >= index.least
+        at, lo = at[busy], lo[busy]
+    if not len(at):
+        return
     n = np.searchsorted(index.grams, h[at], side="right") - lo
     through = np.cumsum(n)
     begin = 0
@@ -180,7 +193,7 @@ def candidates(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     ``edits + 1`` diagonals of a match lie whole in one band.
     """
     width = index.edits + 1
-    shift, most = index.edits + int(index.sizes.max() if len(index.sizes) else 0), (len(x) + 4 * width) // width + 200
+    shift, most = index.edits + index.longest, (len(x) + 4 * width) // width + 200
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for place, own, seg in shared(x, index):
         band = (place - (own - index.begins[seg]) + shift) // width
@@ -188,6 +201,8 @@ def candidates(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
         keys.append(key)
         counts.append(count)
     key, count = np.concatenate(keys), np.concatenate(counts)
+    if not len(key):
+        return key, key
     if len(keys) > 2:
         key, back = np.unique(key, return_inverse=True)
         count = np.bincount(back, count, len(key))
@@ -213,30 +228,28 @@ def aligned(x: np.ndarray, index: Index, seg: np.ndarray, low: np.ndarray) -> tu
     pad = width + int(size.max()) + 2 if m else 0
     padded = np.concatenate([np.full(pad, 0xFFFFFFFF, np.uint32), x, np.full(pad, 0xFFFFFFFF, np.uint32)])
     cols = np.arange(width)
-    inside = lambda p: (p >= 0) & (p <= len(x))
     start = base[:, None] + cols
-    cost = np.where(inside(start), 0, big)
+    cost = np.where((start >= 0) & (start <= len(x)), 0, big)
     best, best_a, best_b = np.full(m, big), np.zeros(m, np.int64), np.zeros(m, np.int64)
-    for r in range(int(size.max()) if m else 0):
+    # what lies beyond the text is padding that no character equals, and costs too much to be entered
+    diagonal = start + pad
+    ended = np.unique(size).tolist()
+    for r in range(ended[-1] if m else 0):
         ch = index.text[np.minimum(index.begins[seg] + r, len(index.text) - 1)]
         at = base[:, None] + cols + r  # place of the document character of a diagonal step
-        same = padded[np.clip(at + pad, 0, len(padded) - 1)] == ch[:, None]
-        new, origin = cost + ~same, start.copy()
-        new[(at < 0) | (at >= len(x))] = big
+        new = cost + (padded[np.clip(diagonal + r, 0, len(padded) - 1)] != ch[:, None])
+        beyond = at >= len(x)
+        new[beyond | (at < 0)] = big
         # a segment character without a partner: from the diagonal to the right
-        skip = np.concatenate([cost[:, 1:] + 1, np.full((m, 1), big)], 1)
-        less = skip < new
-        new[less] = skip[less]
-        origin[less] = np.concatenate([start[:, 1:], np.zeros((m, 1), np.int64)], 1)[less]
-        # a document character without a partner: from the left
-        for c in range(1, width):
-            step = new[:, c - 1] + 1
-            less = (step < new[:, c]) & inside(base + c + r + 1)
-            new[less, c] = step[less]
-            origin[less, c] = origin[less, c - 1]
-        cost, start = np.minimum(new, big), origin
-        done = np.flatnonzero(size == r + 1)
-        if len(done):
+        less = cost[:, 1:] + 1 < new[:, :-1]
+        np.copyto(new[:, :-1], cost[:, 1:] + 1, where=less)
+        np.copyto(start[:, :-1], start[:, 1:].copy(), where=less)
+        # a document character without a partner: from the left, of equal ways the nearest
+        way = np.minimum.accumulate((new - cols) * width + (width - 1 - cols), axis=1)
+        cost = np.where(beyond, new, np.minimum(way // width + cols, big))
+        start = np.take_along_axis(start, width - 1 - way % width, 1)
+        if r + 1 in ended:
+            done = np.flatnonzero(size == r + 1)
             c = cost[done].argmin(1)
             best[done] = cost[done, c]
             best_a[done], best_b[done] = start[done, c], base[done] + c + r + 1

@@ -160,3 +160,35 @@ def test_rows_are_judged_by_their_own_text(spark):
     df = spark.createDataFrame([(1, item, "a", 1), (1, "clean words", "b", 2), (None, item, "c", 3), (None, None, "d", 4)], "doc_id long, text string, _leak string, _text int")
     out = d.without_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert out.columns == df.columns and sorted(map(str, (tuple(r) for r in out.collect()))) == ["(1, 'clean words', 'b', 2)", "(None, None, 'd', 4)"]
+
+
+def cheapest_ways(segment, x, low, width):
+    """Least cost of a band's cells after the whole segment, one cell after the other."""
+    cost = {c: 0 if 0 <= low + c <= len(x) else 10**9 for c in range(width)}
+    for r, ch in enumerate(segment):
+        new = {}
+        for c in range(width):
+            at = low + c + r
+            ways = [10**9, cost.get(c + 1, 10**9) + 1]
+            if 0 <= at < len(x):
+                ways += [cost[c] + int(x[at] != ch), new.get(c - 1, 10**9) + 1]
+            new[c] = min(ways)
+        cost = new
+    return min(cost.values())
+
+
+def test_alignment_equals_cell_by_cell_and_bounds_are_made_once():
+    rng = random.Random(6)
+    index = d.build_index([(i, "".join(rng.choice("abc ") for _ in range(n))) for i, n in enumerate((12, 32, 45, 90))])
+    assert index.need is index.need and index.allowed is index.allowed  # each text asks for them several times
+    x = d.codes(edit(rng, "".join(map(chr, index.text)), 12))
+    seg = np.repeat(np.arange(len(index.sizes)), 30)
+    low = np.array([rng.randint(-40, len(x) + 5) for _ in seg])
+    edits, a, b = d.aligned(x, index, seg, low)
+    width = 4 * index.edits + 2
+    for k, s in enumerate(seg):
+        segment = index.text[index.begins[s] : index.begins[s] + index.sizes[s]]
+        want = cheapest_ways(segment, x, int(low[k]) - index.edits, width)
+        assert edits[k] == want or min(edits[k], want) > 10**8
+        if edits[k] <= index.allowed[s]:
+            assert least_edits(segment, x[a[k] : b[k]]) <= edits[k] and 0 <= a[k] <= b[k] <= len(x)
