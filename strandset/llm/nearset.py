@@ -1,6 +1,8 @@
-"""Near-duplicate classes by exact Jaccard similarity of word-shingle sets.
+"""Near-duplicate classes by SimHash fingerprints and by exact Jaccard similarity of word-shingle sets.
 
-Two texts are linked when the sets of their five-word shingles (64-bit hashes) have Jaccard
+The classes of the fingerprints (:mod:`.simhash`: trie self-join with a Hamming budget) are the
+first links.  Two bits miss most copies of a few changed words, so two texts are linked as well
+when the sets of their five-word shingles (64-bit hashes) have Jaccard
 similarity 0.8 or more.  Candidates come from the prefix filter, which loses no pair: under
 one order of all shingles, two such sets share a shingle among the first
 ``n - ceil(0.8 n) + 1`` of each.  The order puts rare shingles first.  How common they are is
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, parts
-from .simhash import components
+from .simhash import _with_least, components, fingerprint_of, near_links
 
 SHINGLE = 5
 #: Texts whose shingles are counted for the order, and the most shingles it ranks.
@@ -121,7 +123,7 @@ def prefix_size(n: int) -> int:
 
 
 def prefixes_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, text_hash, key, size, rare, prefix, bits``: hash and size of each text's set, its first shingles, how many of these are not common, its bitmap, and that in 256 bits."""
+    """``doc_id, text_hash, fp, key, size, rare, prefix, bits, fold``: each text's SimHash, hash and size of its set, its first shingles, how many of these are not common, its bitmap, and that in 256 bits."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +131,9 @@ def prefixes_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataF
 
         known, often = shared.value
         for batch in parts(batches):
-            keys, sizes, rares, prefixes, bits, folds = [], [], [], [], [], []
+            fps, keys, sizes, rares, prefixes, bits, folds = [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
+                fps.append(fingerprint_of((text or "").encode("utf-8", "replace")))
                 x = shingle_set(text)
                 rank = np.zeros(len(x), np.int64)
                 if len(known):
@@ -143,11 +146,11 @@ def prefixes_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataF
                 prefixes.append(x[first].view(np.int64))
                 bits.append(bitmap(x))
                 folds.append(folded(x))
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rares, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(folds, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "key", "size", "rare", "prefix", "bits", "fold"])
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(rares, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(folds, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "fp", "key", "size", "rare", "prefix", "bits", "fold"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, key long, size int, rare int, prefix array<long>, bits binary, fold array<long>"
+    schema = f"doc_id {kind}, text_hash long, fp long, key long, size int, rare int, prefix array<long>, bits binary, fold array<long>"
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
@@ -240,7 +243,17 @@ def _prefix(size: str) -> Column:
     return F.col(size) - F.floor((4 * F.col(size) + 4) / 5) + 1
 
 
-def set_classes(docs: DataFrame) -> DataFrame:
+def simhash_links(prefixes: DataFrame) -> DataFrame:
+    """Links ``a, b`` of keys: the least key of each class of fingerprints with its others."""
+    both = materialize(prefixes.select("fp", "key").distinct(), "fingerprints")
+    roots = components(near_links(both.select("fp").distinct()))
+    rooted = both.join(roots, both.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("u"), F.col("key").alias("v"))
+    rooted = materialize(rooted.distinct(), "rooted")
+    return _with_least(rooted, rooted.count()).where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` (least ``doc_id`` of the class) for every document."""
     """``doc_id, component_id`` (least ``doc_id`` of the class) for every document."""
     return classes_of(docs, common_shingles(docs))
 
@@ -248,7 +261,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     prefixes = materialize(prefixes_of(docs, common), "prefixes")
     by_key = materialize(prefixes.groupBy("key").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(set_links(docs, prefixes))
+    roots = components(simhash_links(prefixes).unionByName(set_links(docs, prefixes)))
     rooted = by_key.join(roots, by_key.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("key", "component_id")

@@ -286,12 +286,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of ``docs`` that name their class; of rows that share an id, those stay together.
 
-    A class here is one of five-word shingle sets linked at Jaccard similarity 0.8, not one of fingerprints.
+    A class is joined by the links of fingerprints, and by those of five-word shingle sets of Jaccard similarity 0.8 or more.
     """
-    from .nearset import set_classes
+    from .nearset import near_classes
 
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = set_classes(docs).groupBy("doc_id").agg(F.max(kept).alias("kept")).where("NOT kept")
+    gone = near_classes(docs).groupBy("doc_id").agg(F.max(kept).alias("kept")).where("NOT kept")
     id_ = fresh_name(docs, "id")
     gone = materialize(gone.select(F.col("doc_id").alias(id_)), "gone")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")

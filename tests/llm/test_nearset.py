@@ -110,3 +110,23 @@ def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([(2, "a b c", "x", 1), (1, "a b c", "y", 2), (3, None, "z", 3)], "doc_id long, text string, _id string, component_id int")
     out = simhash.keep_one(df)
     assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, "a b c", "y", 2), (3, None, "z", 3)]
+
+
+def test_fingerprints_link_what_sets_do_not(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(10, some(8) + " red green blue" * 300), (11, some(8) + " red green blue" * 300), (12, "red green blue " * 300 + some(9))]
+    base = [rng.choice(words) for _ in range(120)]
+    rows += [(5, " ".join(base)), (6, " ".join([*base[:60], "other", *base[61:]])), (7, some(90)), (8, None), (9, "")]
+    rows += [(20, rows[1][1] + " more")]  # by its set it is near 11 only
+    sets, fps = [plain_set(t) for _, t in rows], [simhash.fingerprint_of((t or "").encode()) for _, t in rows]
+    least = {d: d for d, _ in rows}
+    for _ in rows:
+        for i, (d, _) in enumerate(rows):
+            for j, (e, _) in enumerate(rows):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= simhash.BUDGET:
+                    least[d] = least[e] = min(least[d], least[e])
+    assert plain_kept(rows) - set(least.values()) == {11, 12}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(least.values()) == {5, 7, 8, 10}
