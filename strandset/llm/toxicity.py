@@ -13,11 +13,12 @@
    model of a text's strongest words and of the sums over all its words and all their places
    gives the score.
 
-Sizes: the language model has ``ALPHABET ** 3`` entries whatever the corpus; the classifier
-is fitted on at most ``sample_rows`` labelled rows (a documented bound, chosen by hash),
-which bounds its features and the words for cutting: all features of two toxic rows or
-more with a log-odds above ``LEAST_ODDS``, all words of ``LEAST_WORDS`` places or more.
-Scoring is one pass without a shuffle.
+Sizes: the language model has ``ALPHABET ** 3`` entries whatever the corpus.  Features, words
+for cutting and the logistic model are counted and fitted in Spark over all labelled rows
+that are not held out; each Newton step is a sum over their evidence.  What is sent to tasks
+stays bounded by least shares: a feature has two toxic rows, and one in ``FEATURE_SHARE``
+of them, or more, with a log-odds above ``LEAST_ODDS``; a word for cutting has ``LEAST_WORDS``
+places, and one in ``WORD_SHARE`` of all, or more.  Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts get the score of a text without evidence; a label
 row with a null ``toxic`` or ``doc_id`` is left out, of several labels of a document the
@@ -31,7 +32,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +42,16 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, parts
 
-#: Labelled rows that the classifier sees at most (a third of them toxic if there are as many).
-SAMPLE_ROWS = 12_000
 LEAST_ODDS = 0.5
 LEAST_WORDS = 3
+#: Toxic rows for each one that a feature must have, and places of words for each one that a word must have.
+FEATURE_SHARE = 2_000
+WORD_SHARE = 1_000_000
 HELD_OUT_MOD = 5
 #: Strongest words that count each by itself; all words count in the sums.
 TOP = 3
 EVIDENCE = TOP + 2
-#: Tokens that each half of a scorer's memory holds.
+#: Tokens that a scorer's memory holds; half as many disguised ones in each half of a second one.
 MEMO = 60_000
 MEMO_CHARS = 64
 
@@ -113,6 +116,24 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return -np.log(three / three.sum(2, keepdims=True)).astype(np.float32)
 
 
+@lru_cache(4096)
+def _options(ch: str, repeated: bool, borders: bool) -> list[tuple[str, float, int]]:
+    """What a character may be read as: letter (or nothing, or a blank), price, code."""
+    options: list[tuple[str, float]] = []
+    if ch.isalpha():
+        options.append((ch, 0.0))
+    else:
+        options += [(c, COST_SIGN) for c in LEET.get(ch, "")]
+        options.append(("", COST_DROP_SIGN if ch in LEET else COST_SEPARATOR))
+        if borders:
+            options.append((" ", COST_DROP_SIGN if ch in LEET else COST_BORDER))
+    if repeated:
+        options.append(("", COST_REPEAT))
+    if ch in LEET:
+        options.append((ch, COST_KEEP))
+    return [(letter, price, CODE.get(letter, 1)) for letter, price in options]
+
+
 def restore(token: str, model: np.ndarray | list, borders: bool = False) -> str:
     """The cheapest reading of a disguised token (Viterbi over the last two letters), with ``borders`` perhaps of several words."""
     # a reading is a chain (letter, chain before), so a step costs the same at any length
@@ -122,30 +143,25 @@ def restore(token: str, model: np.ndarray | list, borders: bool = False) -> str:
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for ch in token:
-        options: list[tuple[str, float]] = []
-        if ch.isalpha():
-            options.append((ch, 0.0))
-            if ch == before:
-                options.append(("", COST_REPEAT))
-        else:
-            options += [(c, COST_SIGN) for c in LEET.get(ch, "")]
-            options.append(("", COST_DROP_SIGN if ch in LEET else COST_SEPARATOR))
-            if borders:
-                options.append((" ", COST_DROP_SIGN if ch in LEET else COST_BORDER))
-            if ch == before:
-                options.append(("", COST_REPEAT))
-            if ch in LEET:
-                options.append((ch, COST_KEEP))
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        if ch != before and ch.isalpha():  # it stands for itself
+            c = CODE.get(ch, 1)
+            for (a, b), (cost, read) in paths.items():
+                total = cost + model[a][b][c]
+                if (b, c) not in new or total < new[b, c][0]:
+                    new[b, c] = (total, (ch, read))
+            paths, before = new, ch
+            continue
+        options = _options(ch, ch == before, borders)
         for (a, b), (cost, read) in paths.items():
-            for letter, price in options:
+            costs = model[a][b]
+            for letter, price, c in options:
                 if letter == " ":
                     if not b:
                         continue
-                    state, total = (b, 0), cost + price + model[a][b][0]
+                    state, total = (b, 0), cost + price + costs[0]
                 elif letter:
-                    c = CODE.get(letter, 1)
-                    state, total = (b, c), cost + price + model[a][b][c]
+                    state, total = (b, c), cost + price + costs[c]
                 else:
                     state, total = (a, b), cost + price
                 if state not in new or total < new[state][0]:
@@ -200,6 +216,12 @@ def readings(token: str, model: np.ndarray, words: dict[str, float] | None = Non
     return {w for w in out if w}
 
 
+def plain_word(token: str) -> str:
+    """The word of a token without signs that could stand for letters; empty for any other."""
+    word = token.strip(PLAIN_EDGE)
+    return word.lower() if word.isalpha() and not TRIPLE.search(word) else ""
+
+
 def features_of(word: str) -> list[str]:
     """A word and its beginnings; words of one or two letters tell nothing."""
     return [] if len(word) < 3 else ["w:" + word, *(f"p{k}:{word[:k]}" for k in (4, 5, 6) if len(word) >= k)]
@@ -215,37 +237,62 @@ def tokens_of(text: str) -> Counter[str]:
 class Scorer:
     """Evidence of a text from the weights of all its words; the weight of a token is remembered."""
 
-    def __init__(self, model: np.ndarray, weights: dict[str, float], words: dict[str, float]):
+    def __init__(self, model: np.ndarray | list, weights: dict[str, float], words: dict[str, float]):
         # lists of lists are read faster than an array, one number at a time
-        self.model, self.weights, self.words = model.tolist(), weights, words
-        self.memo, self.older = {}, {}
+        self.model, self.weights, self.words = model if isinstance(model, list) else model.tolist(), weights, words
+        self.memo, self.newer, self.older = {}, {}, {}
         self.sizes = sorted({len(w) for w in words})
-        # the first letters of all weighted words and beginnings: most words begin otherwise and have no weight
-        self.heads = {k.partition(":")[2][:4] for k in weights}
-
-    def best(self, words: set[str]) -> float:
+        # weights of whole words and of beginnings of four, five and six letters, which differ in length
+        by_kind: dict[str, dict[str, float]] = {}
+        for feature, w in weights.items():
+            kind, _, letters = feature.partition(":")
+            by_kind.setdefault(kind, {})[letters] = w
+        self.whole = by_kind.get("w", {})
+        self.begins = [(k, own) for k in (4, 5, 6) if (own := by_kind.get(f"p{k}"))]
+
+    def best(self, words: Iterable[str]) -> float:
         """The largest weight of words and their beginnings."""
-        return max((self.weights.get(f, 0.0) for w in words if w[:4] in self.heads for f in features_of(w)), default=0.0)
+        most, whole, begins = 0.0, self.whole, self.begins
+        for word in words:
+            w = whole.get(word, 0.0)
+            if w > most:
+                most = w
+            for k, own in begins:
+                w = own.get(word[:k], 0.0)
+                if w > most:
+                    most = w
+        return most
 
     def weight(self, token: str) -> float:
-        got = self.memo.get(token)
+        if len(self.memo) > MEMO:
+            self.memo.clear()  # plain words are cheap to weigh again, and disguised ones lie in the halves as well
+        word = plain_word(token)
+        got = self.best((word,)) if word else self.disguised(token)
+        if len(token) <= MEMO_CHARS:
+            self.memo[token] = got
+        return got
+
+    def disguised(self, token: str) -> float:
+        got = self.newer.get(token)
         if got is None:
             got = self.older.get(token)
-            if len(self.memo) > MEMO:
-                self.memo, self.older = {}, self.memo  # what is asked for again moves over
-            if got is not None:
-                self.memo[token] = got
-                return got
-            word = token.strip(PLAIN_EDGE)
-            plain = word.isalpha() and not TRIPLE.search(word)  # no sign that could stand for a letter
-            got = self.best({word.lower()} if plain else readings(token, self.model, self.words, self.sizes))
+            if got is None:
+                got = self.best(readings(token, self.model, self.words, self.sizes))
+            if len(self.newer) > MEMO // 2:
+                self.newer, self.older = {}, self.newer  # what is asked for again moves over
             if len(token) <= MEMO_CHARS:
-                self.memo[token] = got
+                self.newer[token] = got
         return got
 
     def evidence(self, text: str | None) -> list[float]:
         """The strongest weights, and logarithms of the sums over all distinct words and over all their places."""
-        found = [(w, n) for t, n in tokens_of(text or "").items() if (w := self.weight(t)) > 0]
+        known, found = self.memo, []
+        for t, n in tokens_of(text or "").items():
+            w = known.get(t)
+            if w is None:
+                w = self.weight(t)
+            if w > 0:
+                found.append((w, n))
         strong = sorted((w for w, _ in found), reverse=True)[:TOP]
         return [*strong, *[0.0] * (TOP - len(strong)), math.log1p(sum(w for w, _ in found)), math.log1p(sum(w * n for w, n in found))]
 
@@ -256,16 +303,28 @@ def log_odds(n1: np.ndarray, n0: np.ndarray, rows1: int, rows0: int) -> np.ndarr
     return np.maximum(raw - 1.64 * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5)), 0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    """Coefficients (intercept first) by Newton steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+def fit_logistic(rows: DataFrame, penalty: float = 1e-2, rounds: int = 30) -> np.ndarray:
+    """Coefficients (intercept first) by Newton steps; ``rows`` has ``y`` and then the evidence."""
+    width = len(rows.columns)  # the intercept in place of y
+    beta, ridge = np.zeros(width), np.full(width, penalty)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (p - y) + ridge * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6), grad)
-        beta -= step
+
+        def sums(batches: Iterator[pa.RecordBatch], beta=beta) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((width + 1, width))
+            for batch in batches:
+                y, *e = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(width))
+                x = np.column_stack([np.ones(len(y)), *e])
+                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                total[0] += x.T @ (p - y)
+                total[1:] += (x * (p * (1 - p))[:, None]).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["at", "v"])
+
+        total = np.zeros((width + 1) * width)
+        for r in rows.mapInArrow(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # (width + 1) * width rows
+            total[r.at] = r.v
+        grad, square = total[:width] + ridge * beta, total[width:].reshape(width, width)
+        step = np.linalg.solve(square + np.diag(ridge + 1e-6), grad)
+        beta = beta - step
         if np.abs(step).max() < 1e-6:
             break
     return beta
@@ -275,34 +334,47 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, toxic, text`` of at most ``sample_rows`` labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic, text`` of all labelled documents that are not held out."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = marked.where(~held_out()).withColumn("_h", F.xxhash64("doc_id"))
-    parts = [marked.where(F.col("toxic") == k).orderBy("_h", "doc_id").limit(n).select("doc_id", "toxic") for k, n in ((1, sample_rows // 3), (0, sample_rows - sample_rows // 3))]
-    few = parts[0].unionByName(parts[1])  # at most sample_rows rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "text"])
+    marked = marked.where(~held_out()).where(F.col("toxic").isin(0, 1))
+    return docs.select("doc_id", "text").where(~held_out()).join(marked, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id", "text"])
 
 
-def word_costs(sample: DataFrame, least: int = LEAST_WORDS) -> dict[str, float]:
-    """Costs (negative log probability) of the plain words of ``sample`` that are at ``least`` so many places."""
+def word_costs(rows: DataFrame, least: int = LEAST_WORDS) -> dict[str, float]:
+    """Costs (negative log probability) of the plain words of ``rows`` that are at ``least`` so many places and one in ``WORD_SHARE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            count = Counter(w for text in batch.column(0).to_pylist() for t in (text or "").split() if (w := EDGE.sub("", t).lower()).isalpha())
+            count: Counter[str] = Counter()
+            for t, n in Counter(t for text in batch.column(0).to_pylist() for t in (text or "").split()).items():
+                w = EDGE.sub("", t).lower()
+                if w.isalpha():
+                    count[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
-    counted = sample.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= least).collect()  # the sample is bounded
-    total = sum(r.n for r in rows)
-    return {r.word: float(np.log(total / r.n)) for r in rows}
+    counted = materialize(rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    places = counted.agg(F.sum("n").alias("n")).first().n or 0
+    kept = counted.where((F.col("n") >= least) & (F.col("n") * WORD_SHARE >= places)).collect()  # at most WORD_SHARE words
+    discard(counted)
+    total = sum(r.n for r in kept)
+    return {r.word: float(np.log(total / r.n)) for r in kept}
+
+
+def row_features(words: set[str]) -> list[str]:
+    """The distinct features of all words of a text."""
+    long = [w for w in words if len(w) > 2]
+    out = ["w:" + w for w in long]
+    for k in (4, 5, 6):
+        out += {f"p{k}:{w[:k]}" for w in long if len(w) >= k}
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, dict[str, float], np.ndarray, dict[str, float]]:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], np.ndarray, dict[str, float]]:
     """Language model, feature weights, logistic coefficients and the costs of words."""
     spark = docs.sparkSession
     model = letter_model(docs)
-    sample = materialize(training_rows(docs, labels, sample_rows), "labelled")
+    sample = materialize(training_rows(docs, labels), "labelled")
     rows = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows1, rows0 = rows.get(1, 0), rows.get(0, 0)
     if not rows1 or not rows0:
@@ -313,56 +385,57 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     sizes = sorted({len(w) for w in words})
 
     def text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
+        memo: dict[str, set[str]] = {}
         for batch in parts(batches):
-            out, toxic = [], []
+            count = {0: Counter(), 1: Counter()}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own: set[str] = set()
                 for t in tokens_of(text or ""):
-                    if t not in memo:
+                    word = plain_word(t)
+                    if word:
+                        own.add(word)
+                        continue
+                    got = memo.get(t)
+                    if got is None:
                         if len(memo) > MEMO // 4:
                             memo.clear()
-                        got = [f for w in readings(t, *lm.value, sizes) for f in features_of(w)]
-                        if len(t) > MEMO_CHARS:
-                            own.update(got)
-                            continue
-                        memo[t] = got
-                    own.update(memo[t])
-                out += own
-                toxic += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32())], ["feature", "toxic"])
-
-    seen = sample.select("text", F.col("toxic").cast("int")).mapInArrow(text_features, "feature string, toxic int")
-    counted = seen.groupBy("feature").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).where("n1 > 1")
+                        got = readings(t, *lm.value, sizes)
+                        if len(t) <= MEMO_CHARS:
+                            memo[t] = got
+                    own |= got
+                count[y].update(row_features(own))
+            out = list(count[0].keys() | count[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *[pa.array([count[y].get(f, 0) for f in out], pa.int64()) for y in (1, 0)]], ["feature", "n1", "n0"])
+
+    seen = sample.select("text", F.col("toxic").cast("int")).mapInArrow(text_features, "feature string, n1 long, n0 long")
+    counted = seen.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(f"n1 > 1 AND n1 * {FEATURE_SHARE} >= {rows1}")
     bound = F.log((F.col("n1") + 0.5) / (rows1 + 1)) - F.log((F.col("n0") + 0.5) / (rows0 + 1)) - 1.64 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = counted.withColumn("w", bound).where(F.col("w") > LEAST_ODDS).collect()  # the sample is bounded
+    best = counted.withColumn("w", bound).where(F.col("w") > LEAST_ODDS).collect()  # bounded by the share of rows
     weights = {r.feature: float(r.w) for r in best}
-    counts = spark.sparkContext.broadcast({r.feature: (int(r.n1), int(r.n0)) for r in best})
+    n1, n0 = np.array([r.n1 for r in best], float), np.array([r.n0 for r in best], float)
+    # each row's evidence without its own counts, as an unseen text would have it
+    without = [log_odds(n1, np.maximum(n0 - 1, 0), rows1, rows0), log_odds(n1 - 1, n0, rows1, rows0)]
+    others = spark.sparkContext.broadcast([dict(zip(weights, w.tolist())) for w in without])
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # each row's evidence without its own counts, as an unseen text would have it
-        of = counts.value
-        own = {}
-        for k, (a, b) in of.items():
-            without = log_odds(np.array([a - 1, a]), np.array([b, max(b - 1, 0)]), rows1, rows0)
-            own[k] = (float(without[1]), float(without[0]))
-        scorers = {y: Scorer(np.array(lm.value[0], np.float32), {k: w[y] for k, w in own.items()}, lm.value[1]) for y in (0, 1)}
+        scorers = [Scorer(lm.value[0], w, lm.value[1]) for w in others.value]
         for batch in parts(batches):
             ys = batch.column(1).to_pylist()
             ev = np.array([scorers[y].evidence(t) for t, y in zip(batch.column(0).to_pylist(), ys)]).reshape(-1, EVIDENCE)
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), *[pa.array(ev[:, k]) for k in range(EVIDENCE)]], ["y", *[f"e{k}" for k in range(EVIDENCE)]])
 
     shape = "y int, " + ", ".join(f"e{k} double" for k in range(EVIDENCE))
-    got = np.array([tuple(r) for r in sample.select("text", F.col("toxic").cast("int")).mapInArrow(left_out, shape).collect()])  # at most sample_rows
-    for sent in (lm, counts):
+    evidence = materialize(sample.select("text", F.col("toxic").cast("int")).mapInArrow(left_out, shape), "evidence")
+    beta = fit_logistic(evidence)
+    for sent in (lm, others):
         sent.destroy()
-    discard(sample)
-    return model, weights, fit_logistic(got[:, 1:], got[:, 0]), words
+    discard(sample, evidence)
+    return model, weights, beta, words
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    model, weights, beta, words = fit(docs, labels, sample_rows)
+    model, weights, beta, words = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((model, weights, beta, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

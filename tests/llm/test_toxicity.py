@@ -163,3 +163,39 @@ def test_spaced_letters_over_any_blanks():
     assert "i-d-i-o-t" in t.tokens_of("you i  d\ti o   t now")
     long = "h e l l o " * 10 + "i d i o t"
     assert long.replace(" ", "-") in t.tokens_of("x1 " + long + " end")
+
+
+def test_all_labelled_rows_are_fitted(spark):
+    docs = [(i, f"river stone {'idiot' if i % 12 == 0 else 'house'}", 0.5, "en") for i in range(11_000)]
+    labels = [(i, 1, int(i % 12 == 0)) for i in range(11_000)] + [(5, 1, 1), (20_000, 1, 1), (6, 1, None)]
+    d, y = frames(spark, docs, labels)
+    rows = {r.doc_id: r.toxic for r in t.training_rows(d, y).select("doc_id", "toxic").collect()}
+    assert rows == {i: int(i % 12 == 0 or i == 5) for i in range(11_000) if zlib.crc32(str(i).encode()) % 5}
+    _, weights, _, words = t.fit(d, y)
+    n1, n0 = sum(rows.values()) - 1, len(rows) - sum(rows.values())  # all toxic rows but one have the word
+    assert abs(weights["w:idiot"] - float(t.log_odds(np.array([n1]), np.array([0]), n1 + 1, n0)[0])) < 1e-9
+    places = {"river": n1 + 1 + n0, "stone": n1 + 1 + n0, "idiot": n1, "house": n0 + 1}
+    assert all(abs(words[w] - np.log(sum(places.values()) / n)) < 1e-9 for w, n in places.items())
+
+
+def test_newton_sums_equal_one_matrix(spark):
+    rng = np.random.default_rng(4)
+    e = rng.random((400, t.EVIDENCE))
+    y = (rng.random(400) < 1 / (1 + np.exp(2 - 4 * e[:, 0]))).astype(int)
+    df = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(y, e)], "y int, " + ", ".join(f"e{k} double" for k in range(t.EVIDENCE))).repartition(5)
+    beta = t.fit_logistic(df)
+    x = np.column_stack([np.ones(400), e])
+    p = 1 / (1 + np.exp(-x @ beta))
+    assert np.abs(x.T @ (p - y) + 1e-2 * beta).max() < 1e-4
+
+
+def test_a_full_memory_changes_no_evidence(monkeypatch):
+    docs, _ = corpus(200)
+    model = np.random.default_rng(2).random((t.ALPHABET,) * 3).astype(np.float32)
+    weights, words = {"w:idiot": 2.0, "p4:stup": 1.5, "p5:moron": 1.0, "p6:pathet": 3.0}, {"stone": 2.0, "idiot": 3.0}
+    whole = t.Scorer(model, weights, words)
+    want = [whole.evidence(x) for _, x, *_ in docs]
+    monkeypatch.setattr(t, "MEMO", 4)
+    small = t.Scorer(model, weights, words)
+    assert [small.evidence(x) for _, x, *_ in docs] == want and any(map(any, want))
+    assert len(small.memo) <= 6 and len(small.newer) <= 4 and len(small.older) <= 4
