@@ -17,8 +17,10 @@ Sizes: the language model has ``ALPHABET ** 3`` entries whatever the corpus.  Fe
 for cutting and the logistic model are counted and fitted in Spark over all labelled rows
 that are not held out; each Newton step is a sum over their evidence.  What is sent to tasks
 stays bounded by least shares: a feature has two toxic rows, and one in ``FEATURE_SHARE``
-of them, or more, with a log-odds above ``LEAST_ODDS``; a word for cutting has ``LEAST_WORDS``
-places, and one in ``WORD_SHARE`` of all, or more.  Scoring is one pass without a shuffle.
+of them, or more, and to be scored a log-odds above ``LEAST_ODDS``, so the toxic rows are counted
+first and the other rows only for what these left; a word for cutting has ``LEAST_WORDS``
+places, and one in ``WORD_SHARE`` of all, or more.  Texts without a label are left out by a
+bitmap of hashed ids before the join with the labels.  Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts get the score of a text without evidence; a label
 row with a null ``toxic`` or ``doc_id`` is left out, of several labels of a document the
@@ -32,11 +34,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +59,13 @@ EVIDENCE = TOP + 2
 #: Tokens that a scorer's memory holds; half as many disguised ones in each half of a second one.
 MEMO = 60_000
 MEMO_CHARS = 64
+ENDING_CHARS = 16
+#: Entries of a task's counts before they are given on.
+COUNTED = 200_000
+#: Characters of the texts that are sifted together, and of the longest text that is sifted.
+SIFTED_CHARS = 200_000
+#: Bits of the map of labelled ids, a broadcast of at most one row for each 64 of them.
+ID_BITS = 1 << 25
 
 # letters of the language model: 0 is a word's border, 1 any letter not listed
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -69,18 +81,32 @@ COST_SIGN, COST_DROP_SIGN, COST_SEPARATOR, COST_KEEP, COST_REPEAT, COST_BORDER =
 #: A word that was not counted: a price for itself and for each letter.
 COST_UNKNOWN, COST_UNKNOWN_LETTER = 10.0, 3.0
 
+#: Signs at the edges of words that never stand for letters.
+PLAIN_EDGE = ".,;:?\"')[]"
+
 _table = np.ones(0x110000, np.uint8)
 for _c in [*range(0x250), *range(0x1E00, 0x2100)]:
     _low = chr(_c).lower()[:1]
     _table[_c] = CODE.get(_low, 1 if _low.isalpha() else 0)
 
+# white space, signs at the edges of words, other signs, letters; letters with a lower case of several or depending on others count as signs
+_kinds, _lower = np.full(0x110000, 2, np.uint8), np.arange(0x110000, dtype=np.uint32)
+for _c in range(0x40000):  # no letters are known beyond
+    _ch = chr(_c)
+    if _ch.isspace():
+        _kinds[_c] = 0
+    elif _ch in PLAIN_EDGE:
+        _kinds[_c] = 1
+    elif _ch.isalpha() and len(_ch.lower()) == 1 and _ch != "Σ":
+        _kinds[_c], _lower[_c] = 3, ord(_ch.lower())
+
 WORDS = re.compile(r"[^\s]+")
 INSIDE = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+€£¡#&*._~^=-]+[^\W_]|(?:^|(?<=\s))[\d@$!|]+[^\W\d_]|[^\W\d_][\d@$!|+€£¡#&%(]+$|(?:^|(?<=\s))[+€£¡#&%(]+[^\W\d_]|(.)\1\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
+#: Two single characters after blanks: any match of SPACED ends in them, and this is searched faster.
+SINGLES = re.compile(r"\s\S\s+\S(?!\S)")
 SEPARATOR = re.compile(r"\w[*._~^=-]+\w")
 TRIPLE = re.compile(r"(.)\1\1")
-#: Signs at the edges of words that never stand for letters.
-PLAIN_EDGE = ".,;:?\"')[]"
 DOUBLED = re.compile(r"(.)\1")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -134,15 +160,40 @@ def _options(ch: str, repeated: bool, borders: bool) -> list[tuple[str, float, i
     return [(letter, price, CODE.get(letter, 1)) for letter, price in options]
 
 
-def restore(token: str, model: np.ndarray | list, borders: bool = False) -> str:
-    """The cheapest reading of a disguised token (Viterbi over the last two letters), with ``borders`` perhaps of several words."""
-    # a reading is a chain (letter, chain before), so a step costs the same at any length
+def restore(token: str, model: np.ndarray | list, borders: bool = False, endings: dict | None = None) -> str:
+    """The cheapest reading of a disguised token (Viterbi over the last two letters), with ``borders`` perhaps of several words.
+
+    Up to the first character that leaves a choice there is one path; what follows depends on its last two letters only and is remembered in ``endings``.
+    """
     token = token.lower()
     if not borders and token.isalpha() and not DOUBLED.search(token):
         return token  # letters stand for themselves, and none can repeat the one before it
-    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    a = b = known = 0
     before = ""
     for ch in token:
+        if ch == before or not ch.isalpha():
+            break
+        a, b, before, known = b, CODE.get(ch, 1), ch, known + 1
+    rest = token[known:]
+    if not rest:
+        return token
+    if endings is None or len(rest) > ENDING_CHARS:
+        return token[:known] + ending(rest, model, a, b, rest[0] == before, borders)
+    key = (a, b, rest[0] == before, borders, rest)
+    got = endings.get(key)
+    if got is None:
+        if len(endings) > MEMO // 2:
+            endings.clear()
+        got = endings[key] = ending(rest, model, a, b, rest[0] == before, borders)
+    return token[:known] + got
+
+
+def ending(rest: str, model: np.ndarray | list, a: int, b: int, repeated: bool, borders: bool) -> str:
+    """The cheapest reading of ``rest`` after the letters ``a`` and ``b``; ``repeated`` tells that it begins with the character before it."""
+    # a reading is a chain (letter, chain before), so a step costs the same at any length
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(a, b): (0.0, None)}
+    before = rest[0] if repeated else ""
+    for ch in rest:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         if ch != before and ch.isalpha():  # it stands for itself
             c = CODE.get(ch, 1)
@@ -201,18 +252,20 @@ def cut_words(read: str, words: dict[str, float], sizes: list[int] | None = None
     return out
 
 
-def readings(token: str, model: np.ndarray, words: dict[str, float] | None = None, sizes: list[int] | None = None) -> set[str]:
+def readings(token: str, model: np.ndarray, words: dict[str, float] | None = None, sizes: list[int] | None = None, endings: dict | None = None) -> set[str]:
     """A token's plain word and, if it may be disguised, its restored ones and their words."""
     word = EDGE.sub("", token).lower()
     out = {word}
     if INSIDE.search(token):
-        for form in {token.strip(".,;:?\"'[]*"), token.strip(".,;:?\"'()[]*"), word}:
-            read = restore(form, model)
-            out.add(read)
-            if words and read not in words:
+        forms = {token.strip(".,;:?\"'[]*"), token.strip(".,;:?\"'()[]*"), word}
+        reads = {restore(form, model, False, endings) for form in forms}
+        out |= reads
+        for read in reads if words else ():
+            if read not in words:
                 out.update(cut_words(read, words, sizes))
+        for form in forms:
             if SEPARATOR.search(form):
-                out.update(restore(form, model, True).split())
+                out.update(restore(form, model, True, endings).split())
     return {w for w in out if w}
 
 
@@ -230,17 +283,118 @@ def features_of(word: str) -> list[str]:
 def tokens_of(text: str) -> Counter[str]:
     """White-space-separated tokens with their counts, and runs of single characters joined."""
     found = Counter(text.split())
-    found.update("-".join(m.group().split()) for m in SPACED.finditer(text) if len(set(m.group())) > 2)
+    if SINGLES.search(text):
+        add_runs(found, text)
     return found
 
 
+def add_runs(found: Counter[str], text: str) -> None:
+    found.update("-".join(m.group().split()) for m in SPACED.finditer(text) if len(set(m.group())) > 2)
+
+
+class Kept(dict):
+    """What ``made`` gives for a token, remembered for at most ``most`` tokens, none of them long."""
+
+    def __init__(self, made: Callable[[str], object], most: int):
+        super().__init__()
+        self.made, self.most = made, most
+
+    def __missing__(self, token: str) -> object:
+        got = self.made(token)
+        if len(token) <= MEMO_CHARS:
+            if len(self) > self.most:
+                self.clear()
+            self[token] = got
+        return got
+
+
+_powers = np.full(2 * SIFTED_CHARS + 2, 0x9E3779B97F4A7C15, np.uint64)
+_powers = np.cumprod(_powers)  # modulo 2 ** 64, where odd numbers have inverses
+_inverses = np.cumprod(np.full(len(_powers), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+_inverses = np.concatenate(([np.uint64(1)], _inverses[:-1]))  # of the power one lower
+
+
+class Sieve:
+    """Finds the tokens that may say something: all but plain words that are not in ``whole`` and have no beginning in ``begins``.
+
+    Hashes of all words of several texts are taken at a time; a word of equal hash more does no harm, since what is left is looked up.
+    """
+
+    SHIFT = np.uint64(64 - 22)
+
+    def __init__(self, whole: Iterable[str], begins: dict[int, Iterable[str]]):
+        self.whole, self.begins, self.sizes = self.marks(whole), self.marks(chain.from_iterable(begins.values())), sorted(begins)
+
+    def marks(self, words: Iterable[str]) -> np.ndarray:
+        out = np.zeros(1 << 22, bool)
+        for word in words:
+            x = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+            if len(x) <= SIFTED_CHARS:
+                out[(x * _powers[: len(x)]).sum(dtype=np.uint64) >> self.SHIFT] = True
+        return out
+
+    def tokens(self, texts: list[str | None]) -> Iterator[Counter[str]]:
+        """For each text, what :func:`tokens_of` gives, without plain words that say nothing."""
+        group, chars = [], 0
+        for text in texts:
+            text = text or ""
+            if chars + len(text) > SIFTED_CHARS or len(group) == SIFTED_CHARS // 2:
+                yield from self.sift(group)
+                group, chars = [], 0
+            if len(text) > SIFTED_CHARS:
+                yield tokens_of(text)
+            else:
+                group.append(text)
+                chars += len(text)
+        yield from self.sift(group)
+
+    def sift(self, texts: list[str]) -> Iterator[Counter[str]]:
+        if not texts:
+            return
+        joined = "\n" + "\n".join(texts) + "\n"
+        x = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = _kinds[x]
+        change = np.flatnonzero(np.diff(kinds != 0)) + 1
+        starts, ends = change[::2], change[1::2]
+        letter, inner = kinds == 3, kinds > 1
+        letters, inners, places = np.concatenate(([0], np.cumsum(letter))), np.concatenate(([0], np.cumsum(inner))), np.append(np.flatnonzero(inner), 0)
+        first, last = places[inners[starts]], places[inners[ends] - 1]
+        size = last - first + 1
+        plain = (inners[ends] > inners[starts]) & (letters[ends] - letters[starts] == size)
+        triple = np.flatnonzero(letter[2:] & (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]))
+        plain[np.searchsorted(starts, triple, "right") - 1] = False
+        # a sum of letters times powers by place, set back to the word's own places
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_lower[x] * _powers[: len(x)], dtype=np.uint64)))
+        at = np.flatnonzero(plain)
+        first, size = first[at], size[at]
+        before, back = sums[first], _inverses[first]
+        says = self.whole[((sums[first + size] - before) * back) >> self.SHIFT]
+        for k in self.sizes:
+            says |= (size >= k) & self.begins[((sums[np.minimum(first + k, len(x))] - before) * back) >> self.SHIFT]
+        kept = ~plain
+        kept[at[says]] = True
+        bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        single = ends - starts == 1
+        runs = np.searchsorted(starts[1:][single[1:] & single[:-1]], bounds)
+        starts, ends = starts[kept], ends[kept]
+        found = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        cuts = np.searchsorted(starts, bounds).tolist()
+        for k, text in enumerate(texts):
+            out = Counter(found[cuts[k] : cuts[k + 1]])
+            if runs[k] < runs[k + 1]:
+                add_runs(out, text)
+            yield out
+
+
 class Scorer:
     """Evidence of a text from the weights of all its words; the weight of a token is remembered."""
 
     def __init__(self, model: np.ndarray | list, weights: dict[str, float], words: dict[str, float]):
         # lists of lists are read faster than an array, one number at a time
         self.model, self.weights, self.words = model if isinstance(model, list) else model.tolist(), weights, words
-        self.memo, self.newer, self.older = {}, {}, {}
+        # plain words are cheap to weigh again, and disguised ones lie in the halves as well
+        self.memo, self.newer, self.older = Kept(self.weight, MEMO), {}, {}
+        self.endings = {}
         self.sizes = sorted({len(w) for w in words})
         # weights of whole words and of beginnings of four, five and six letters, which differ in length
         by_kind: dict[str, dict[str, float]] = {}
@@ -249,35 +403,33 @@ class Scorer:
             by_kind.setdefault(kind, {})[letters] = w
         self.whole = by_kind.get("w", {})
         self.begins = [(k, own) for k in (4, 5, 6) if (own := by_kind.get(f"p{k}"))]
+        self.starts = {letters[:4] for _, own in self.begins for letters in own}
+        self.sieve = Sieve(self.whole, dict(self.begins))
 
     def best(self, words: Iterable[str]) -> float:
         """The largest weight of words and their beginnings."""
-        most, whole, begins = 0.0, self.whole, self.begins
+        most, whole, starts = 0.0, self.whole, self.starts
         for word in words:
             w = whole.get(word, 0.0)
             if w > most:
                 most = w
-            for k, own in begins:
-                w = own.get(word[:k], 0.0)
-                if w > most:
-                    most = w
+            if word[:4] in starts:
+                for k, own in self.begins:
+                    w = own.get(word[:k], 0.0)
+                    if w > most:
+                        most = w
         return most
 
     def weight(self, token: str) -> float:
-        if len(self.memo) > MEMO:
-            self.memo.clear()  # plain words are cheap to weigh again, and disguised ones lie in the halves as well
         word = plain_word(token)
-        got = self.best((word,)) if word else self.disguised(token)
-        if len(token) <= MEMO_CHARS:
-            self.memo[token] = got
-        return got
+        return self.best((word,)) if word else self.disguised(token)
 
     def disguised(self, token: str) -> float:
         got = self.newer.get(token)
         if got is None:
             got = self.older.get(token)
             if got is None:
-                got = self.best(readings(token, self.model, self.words, self.sizes))
+                got = self.best(readings(token, self.model, self.words, self.sizes, self.endings))
             if len(self.newer) > MEMO // 2:
                 self.newer, self.older = {}, self.newer  # what is asked for again moves over
             if len(token) <= MEMO_CHARS:
@@ -286,15 +438,16 @@ class Scorer:
 
     def evidence(self, text: str | None) -> list[float]:
         """The strongest weights, and logarithms of the sums over all distinct words and over all their places."""
-        known, found = self.memo, []
-        for t, n in tokens_of(text or "").items():
-            w = known.get(t)
-            if w is None:
-                w = self.weight(t)
-            if w > 0:
-                found.append((w, n))
-        strong = sorted((w for w, _ in found), reverse=True)[:TOP]
-        return [*strong, *[0.0] * (TOP - len(strong)), math.log1p(sum(w for w, _ in found)), math.log1p(sum(w * n for w, n in found))]
+        return self.weighed(tokens_of(text or ""))
+
+    def all_evidence(self, texts: list[str | None]) -> np.ndarray:
+        """The evidence of each text as a row."""
+        return np.array([self.weighed(found) for found in self.sieve.tokens(texts)]).reshape(-1, EVIDENCE)
+
+    def weighed(self, found: Counter[str]) -> list[float]:
+        weights = list(map(self.memo.__getitem__, found))
+        strong = sorted(filter(None, weights), reverse=True)[:TOP]
+        return [*strong, *[0.0] * (TOP - len(strong)), math.log1p(sum(weights)), math.log1p(sum(map(mul, weights, found.values())))]
 
 
 def log_odds(n1: np.ndarray, n0: np.ndarray, rows1: int, rows0: int) -> np.ndarray:
@@ -334,24 +487,48 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == 0
 
 
+def may_be_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``marked``, and with all whose id is.
+
+    A bitmap of hashed ids is broadcast, of a most size that does not depend on the tables, so that
+    a join that follows shuffles few texts in vain.
+    """
+    if docs.schema["doc_id"].dataType != marked.schema["doc_id"].dataType or docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "string"):
+        return docs  # keys that are equal after a cast need not have equal hashes
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    at, bit = F.floor(place / 64).cast("int"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) AS int))")
+    cells = marked.select(at.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bit_or("_bit").alias("_bits"))
+    near = docs.withColumn("_at", at).withColumn("_bit", bit).join(F.broadcast(cells), "_at")
+    return near.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(docs.columns)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, toxic, text`` of all labelled documents that are not held out."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(~held_out()).where(F.col("toxic").isin(0, 1))
-    return docs.select("doc_id", "text").where(~held_out()).join(marked, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id", "text"])
+    docs = may_be_marked(docs.select("doc_id", "text").where(~held_out()), marked)
+    return docs.join(marked, "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id", "text"])
+
+
+def counts_batch(count: Counter[str]) -> pa.RecordBatch:
+    """Words and their counts as ``word, n``."""
+    return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
 
 def word_costs(rows: DataFrame, least: int = LEAST_WORDS) -> dict[str, float]:
     """Costs (negative log probability) of the plain words of ``rows`` that are at ``least`` so many places and one in ``WORD_SHARE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
         for batch in parts(batches):
-            count: Counter[str] = Counter()
-            for t, n in Counter(t for text in batch.column(0).to_pylist() for t in (text or "").split()).items():
-                w = EDGE.sub("", t).lower()
+            for t, n in Counter(chain.from_iterable((text or "").split() for text in batch.column(0).to_pylist())).items():
+                w = t.lower() if t.isalpha() else EDGE.sub("", t).lower()
                 if w.isalpha():
                     count[w] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            if len(count) > COUNTED:
+                yield counts_batch(count)
+                count.clear()
+        yield counts_batch(count)
 
     counted = materialize(rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     places = counted.agg(F.sum("n").alias("n")).first().n or 0
@@ -361,13 +538,39 @@ def word_costs(rows: DataFrame, least: int = LEAST_WORDS) -> dict[str, float]:
     return {r.word: float(np.log(total / r.n)) for r in kept}
 
 
-def row_features(words: set[str]) -> list[str]:
-    """The distinct features of all words of a text."""
-    long = [w for w in words if len(w) > 2]
-    out = ["w:" + w for w in long]
-    for k in (4, 5, 6):
-        out += {f"p{k}:{w[:k]}" for w in long if len(w) >= k}
-    return out
+def feature_counts(rows: DataFrame, shared: Broadcast, only: Broadcast | None = None) -> DataFrame:
+    """``feature, n``: the number of ``rows`` that have a feature; with ``only``, sets of words and of beginnings by length, for these alone.
+
+    ``shared`` holds the language model and the words for cutting.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, words = shared.value
+        sizes = sorted({len(w) for w in words})
+        endings: dict = {}
+        restored = Kept(lambda token: tuple(readings(token, model, words, sizes, endings)), MEMO // 4)
+        known = Kept(lambda token: (word,) if (word := plain_word(token)) else restored[token], MEMO)
+        counts: dict[int, Counter[str]] = {k: Counter() for k in (0, 4, 5, 6)}
+        sieve = Sieve(only.value[0], {k: only.value[k] for k in (4, 5, 6)}) if only else None
+        for batch in parts(batches):
+            texts = batch.column(0).to_pylist()
+            for found in sieve.tokens(texts) if sieve else (tokens_of(text or "") for text in texts):
+                own = set(chain.from_iterable(map(known.__getitem__, found)))
+                for k, count in counts.items():
+                    features = {w[:k] for w in own if len(w) >= k} if k else own
+                    count.update(features & only.value[k] if only else features)
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from given(counts)
+        yield from given(counts)
+
+    def given(counts: dict[int, Counter[str]]) -> Iterator[pa.RecordBatch]:
+        for k, count in counts.items():
+            # words of one or two letters tell nothing
+            own = {(f"p{k}:" if k else "w:") + w: n for w, n in count.items() if len(w) > 2}
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["feature", "n"])
+            count.clear()
+
+    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], np.ndarray, dict[str, float]]:
@@ -382,37 +585,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
         return model, {}, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), *[0.0] * EVIDENCE]), {}
     words = word_costs(sample)
     lm = spark.sparkContext.broadcast((model.tolist(), words))
-    sizes = sorted({len(w) for w in words})
-
-    def text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, set[str]] = {}
-        for batch in parts(batches):
-            count = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own: set[str] = set()
-                for t in tokens_of(text or ""):
-                    word = plain_word(t)
-                    if word:
-                        own.add(word)
-                        continue
-                    got = memo.get(t)
-                    if got is None:
-                        if len(memo) > MEMO // 4:
-                            memo.clear()
-                        got = readings(t, *lm.value, sizes)
-                        if len(t) <= MEMO_CHARS:
-                            memo[t] = got
-                    own |= got
-                count[y].update(row_features(own))
-            out = list(count[0].keys() | count[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *[pa.array([count[y].get(f, 0) for f in out], pa.int64()) for y in (1, 0)]], ["feature", "n1", "n0"])
-
-    seen = sample.select("text", F.col("toxic").cast("int")).mapInArrow(text_features, "feature string, n1 long, n0 long")
-    counted = seen.groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(f"n1 > 1 AND n1 * {FEATURE_SHARE} >= {rows1}")
-    bound = F.log((F.col("n1") + 0.5) / (rows1 + 1)) - F.log((F.col("n0") + 0.5) / (rows0 + 1)) - 1.64 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = counted.withColumn("w", bound).where(F.col("w") > LEAST_ODDS).collect()  # bounded by the share of rows
-    weights = {r.feature: float(r.w) for r in best}
-    n1, n0 = np.array([r.n1 for r in best], float), np.array([r.n0 for r in best], float)
+    # few features have toxic rows enough, so the other rows are counted for these alone
+    many = feature_counts(sample.where("toxic = 1"), lm).where(f"n > 1 AND n * {FEATURE_SHARE} >= {rows1}").toArrow()  # bounded by the share of rows
+    toxic = dict(zip(many["feature"].to_pylist(), many["n"].to_pylist()))
+    only = {k: {f.partition(":")[2] for f in toxic if f.startswith(f"p{k}:" if k else "w:")} for k in (0, 4, 5, 6)}
+    only = spark.sparkContext.broadcast(only)
+    some = feature_counts(sample.where("toxic = 0"), lm, only).toArrow()
+    clean = dict(zip(some["feature"].to_pylist(), some["n"].to_pylist()))
+    n1, n0 = np.array(list(toxic.values()), float), np.array([clean.get(f, 0) for f in toxic], float)
+    odds = log_odds(n1, n0, rows1, rows0)
+    best = np.flatnonzero(odds > LEAST_ODDS)
+    names, n1, n0 = list(toxic), n1[best], n0[best]
+    weights = {names[k]: float(odds[k]) for k in best}
     # each row's evidence without its own counts, as an unseen text would have it
     without = [log_odds(n1, np.maximum(n0 - 1, 0), rows1, rows0), log_odds(n1 - 1, n0, rows1, rows0)]
     others = spark.sparkContext.broadcast([dict(zip(weights, w.tolist())) for w in without])
@@ -420,14 +604,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(lm.value[0], w, lm.value[1]) for w in others.value]
         for batch in parts(batches):
-            ys = batch.column(1).to_pylist()
-            ev = np.array([scorers[y].evidence(t) for t, y in zip(batch.column(0).to_pylist(), ys)]).reshape(-1, EVIDENCE)
+            texts, ys = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int32)
+            ev = np.zeros((len(ys), EVIDENCE))
+            for y in (0, 1):
+                ev[ys == y] = scorers[y].all_evidence([texts[k] for k in np.flatnonzero(ys == y)])
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), *[pa.array(ev[:, k]) for k in range(EVIDENCE)]], ["y", *[f"e{k}" for k in range(EVIDENCE)]])
 
     shape = "y int, " + ", ".join(f"e{k} double" for k in range(EVIDENCE))
     evidence = materialize(sample.select("text", F.col("toxic").cast("int")).mapInArrow(left_out, shape), "evidence")
     beta = fit_logistic(evidence)
-    for sent in (lm, others):
+    for sent in (lm, only, others):
         sent.destroy()
     discard(sample, evidence)
     return model, weights, beta, words
@@ -442,7 +628,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         model, weights, beta, words = shared.value
         scorer = Scorer(model, weights, words)
         for batch in parts(batches):
-            ev = np.array([scorer.evidence(t) for t in batch.column(1).to_pylist()]).reshape(-1, EVIDENCE)
+            ev = scorer.all_evidence(batch.column(1).to_pylist())
             p = 1 / (1 + np.exp(-np.clip(beta[0] + ev @ beta[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
@@ -461,7 +647,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scorer = Scorer(model, weights, words)
         for batch in parts(batches):
             at = batch.schema.get_field_index("text")
-            ev = np.array([scorer.evidence(t) for t in batch.column(at).to_pylist()]).reshape(-1, EVIDENCE)
+            ev = scorer.all_evidence(batch.column(at).to_pylist())
             yield batch.filter(pa.array(beta[0] + ev @ beta[1:] < 0))
 
     return docs.mapInArrow(run, docs.schema)

@@ -199,3 +199,54 @@ def test_a_full_memory_changes_no_evidence(monkeypatch):
     small = t.Scorer(model, weights, words)
     assert [small.evidence(x) for _, x, *_ in docs] == want and any(map(any, want))
     assert len(small.memo) <= 6 and len(small.newer) <= 4 and len(small.older) <= 4
+
+
+def test_sifted_tokens_give_the_same_evidence(monkeypatch):
+    docs, _ = corpus(200)
+    texts = [x for _, x, *_ in docs] + [None, "", "  \n", "a", "i d i o t", "x i\x1cd\ti o t", "stupid, (Idiot) 'PATHETIC'", "İdiot ΟΔΟΣ ßtupid \U0001d41aidiot", "stuupid stuuupid", "...", "1d1ot idiot. idiot.", "pathetical " * 40]
+    model = np.random.default_rng(2).random((t.ALPHABET,) * 3).astype(np.float32)
+    weights = {"w:idiot": 2.0, "p4:stup": 1.5, "p5:moron": 1.0, "p6:pathet": 3.0, "w:οδος": 1.0, "w:ßtupid": 2.5}
+    scorer = t.Scorer(model, weights, {"stone": 2.0, "idiot": 3.0})
+    want = [scorer.evidence(x) for x in texts]
+    assert scorer.all_evidence(texts).tolist() == want and sum(map(any, want)) > 40
+    # plain words that say nothing are not looked up one by one
+    found = list(scorer.sieve.tokens(["the river Stone walks, idiot idiot under 1d1ot stupidly"]))
+    assert found == [{"idiot": 2, "1d1ot": 1, "stupidly": 1}]
+    monkeypatch.setattr(t, "SIFTED_CHARS", 60)  # groups of a few texts, and texts that are too long for one
+    assert scorer.all_evidence(texts).tolist() == want and scorer.all_evidence([]).shape == (0, t.EVIDENCE)
+
+
+def test_feature_counts_equal_plain(spark, monkeypatch):
+    docs, labels = corpus(300)
+    d, _ = frames(spark, docs, labels)
+    model = t.letter_model(d)
+    shared = spark.sparkContext.broadcast((model.tolist(), {"stone": 2.0, "idiot": 3.0}))
+    want = {}
+    for _, text, *_ in docs:
+        words = {w for x in t.tokens_of(text) for w in t.readings(x, model, {"stone": 2.0, "idiot": 3.0})}
+        for f in {f for w in words for f in t.features_of(w)}:
+            want[f] = want.get(f, 0) + 1
+    assert {r.feature: r.n for r in t.feature_counts(d, shared).collect()} == want
+    some = {k: {f.split(":")[1] for f in list(sorted(want))[::3] if f.startswith(f"p{k}:" if k else "w:")} for k in (0, 4, 5, 6)}
+    got = {r.feature: r.n for r in t.feature_counts(d, shared, spark.sparkContext.broadcast(some)).collect()}
+    assert got == {f: want[f] for f in sorted(want)[::3]}
+
+
+def test_texts_without_a_label_are_left_out_before_the_join(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'text' AS text").union(spark.createDataFrame([(None, "none"), (5, "again")], "doc_id long, text string"))
+    marked = spark.range(0, 4000, 10).selectExpr("id AS doc_id", "1 AS toxic")
+    left = t.may_be_marked(docs, marked)
+    ids = [r.doc_id for r in left.collect()]
+    assert left.columns == docs.columns and set(range(0, 3000, 10)) <= set(ids) and len(ids) < 320
+    other = marked.withColumn("doc_id", F.col("doc_id").cast("decimal(10,0)"))
+    assert t.may_be_marked(docs, other).count() == 3002
+
+
+def test_endings_are_remembered_without_a_change():
+    model = np.random.default_rng(9).random((t.ALPHABET,) * 3).astype(np.float32).tolist()
+    endings = {}
+    for token in ("heello", "heel$$$", "feel$$$", "wheel$$$", "s-t-u", "$$", "a", "st.u.pid", "bee", "be3", "e3"):
+        for borders in (False, True):
+            assert t.restore(token, model, borders, endings) == t.restore(token, model, borders)
+    held = len(endings)
+    assert t.restore("awheel$$$", model, False, endings) == t.restore("awheel$$$", model) and len(endings) == held  # after "he" as well
