@@ -78,12 +78,11 @@ def factor_sets(spark: SparkSession, d: str) -> DataFrame:
     return iv.factor_sets(points, spans, ["event_type"], "us", "a", "b", "f", list(range(20)), HOUR).select("event_id", "n_factors", "top_bits")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS q, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS q, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY d) AS k FROM p), t AS (SELECT q, max(d) AS far FROM r WHERE k <= 8 GROUP BY 1 HAVING count(*) = 8 AND min(d) > 0), m AS (SELECT q, sum(ln(far / d)) / 7 AS inv FROM r JOIN t USING (q) WHERE k <= 8 GROUP BY 1)
 SELECT CASE WHEN count(*) >= 20 THEN round(1 / avg(inv), 6) END AS dimension, count(*) AS n FROM m""")
 def likelihood_dimension(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    near = se.nearest_neighbours(e, "vec_id", "embedding", 8, e.where("vec_id % 20 = 0"))
+    near = se.nearest_neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
     return cl.likelihood_dimension(near, 8).select(r6(F.col("dimension")).alias("dimension"), "n")
 
 
