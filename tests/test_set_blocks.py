@@ -1,6 +1,7 @@
 """Set tests of large groups: blocks, standardised weights, means by Lanczos' steps."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -50,3 +51,21 @@ def test_standardised_weights_and_blocks_are_the_dense_ones(spark, monkeypatch):
     for row in (whole, parts):
         assert row.n_variants == 460 and row.weight == "w"
         assert all(math.isclose(row[c], v, rel_tol=1e-7) for c, v in want.items())
+
+
+def test_a_large_block_holds_one_matrix():
+    rng = np.random.default_rng(8)
+    m = 900
+    i, j = (np.append(c, np.arange(m)) for c in np.sort(rng.integers(0, m, (2, 9000)), axis=0))
+    x, z = np.append(rng.random(9000) * 0.1, np.full(m, 5.0)), rng.random(m) * 0.05
+    tracemalloc.start()
+    lam, at, taken = st._block_spectrum(i, j, x, z, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * 8 * m * m  # the products, their scaled copy and the eigenvectors made it more than four
+    full = np.zeros((m, m))
+    full[i, j] = full[j, i] = x
+    own, vectors = np.linalg.eigh(full)
+    assert np.allclose(lam, own, rtol=1e-9)
+    assert np.isclose((taken / (7 + at)).sum(), ((vectors.T @ z) ** 2 / (7 + own)).sum(), rtol=1e-12)
+    assert np.allclose(st._block_spectrum(i, j, x, z, True)[0], np.linalg.eigvalsh(full - np.outer(z, z)), rtol=1e-9)
